@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import langid, store
+from emberline.llm import langid, store, toxicity
 from emberline.llm.scratch import Scratch
 
 
@@ -39,5 +39,16 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), langs, model, ["doc_id", "held_out"])
 
 
-QUERIES = {"op5_token_store": op5_token_store, "op10_langid": op10_langid}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxicity.labelled(docs.where(_fold(3) != 1), _table(spark, sf_dir, "labels")))
+    return toxicity.score(docs.withColumn("held_out", _fold(3) == 1), model, ["doc_id", "held_out"])
+
+
+QUERIES = {
+    "op5_token_store": op5_token_store,
+    "op7_toxicity": op7_toxicity,
+    "op10_langid": op10_langid,
+}
 ORACLE_SQL: dict[str, str] = {}
