@@ -25,37 +25,74 @@ _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GATE = "licen[sc]e|spdx|copyright|rights reserved|public domain|cc0|cc[ -]by|creative commons|gpl|wtfpl|hereby granted|redistributions|proprietary|rail|unencumbered|noncommercial|non-commercial|verbatim or|express or|neither the name|copying of this|permission notice|free software|should have received|source code form"
 
 
-def _places(text: Column, regex: str | Column) -> tuple[Column, Column]:
-    """The strings before each match and the matches; from their lengths follow all places."""
-    return F.split(text, regex), F.regexp_extract_all(text, regex if isinstance(regex, Column) else F.lit(regex), F.lit(0))
+
+
+def _blanks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+
+
+def _detections(joined: Column) -> Column:
+    """All matches of all rules whose keyword is there: label, priority, first and last character."""
+    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("regex"), F.lit(c).alias("keyword"), F.lit(d).alias("priority")) for a, b, c, d in rules()])
+
+    def places(rule: Column) -> Column:
+        before = F.transform(F.split(joined, rule["regex"], -1), F.length)
+        sizes = F.transform(F.regexp_extract_all(joined, rule["regex"], F.lit(0)), F.length)
+        # Sums of what stands before a match and of the matches so far give its place.
+        sums = F.aggregate(
+            F.arrays_zip(before.alias("b"), sizes.alias("s")),
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<label:string,priority:int,first:int,last:int>>").alias("out")),
+            lambda acc, x: F.when(x["s"].isNull(), acc).otherwise(F.struct((acc["at"] + x["b"] + x["s"]).alias("at"), F.array_append(acc["out"], F.struct(rule["label"].alias("label"), rule["priority"].alias("priority"), (acc["at"] + x["b"]).alias("first"), (acc["at"] + x["b"] + x["s"] - 1).alias("last"))).alias("out"))),
+        )
+        return sums["out"]
+
+    return F.flatten(F.transform(F.filter(table, lambda r: F.contains(joined, r["keyword"]) & F.regexp(joined, r["regex"])), places))
+
+
+def _beaten(x: Column, by: Column) -> Column:
+    """x lies within ``by``, which has a higher priority, or the same and is longer, or comes first by label."""
+    inside = (by["first"] <= x["first"]) & (by["last"] >= x["last"])
+    longer = by["last"] - by["first"] > x["last"] - x["first"]
+    same = (by["first"] == x["first"]) & (by["last"] == x["last"])
+    return inside & ((by["priority"] > x["priority"]) | ((by["priority"] == x["priority"]) & (longer | (same & (by["label"] < x["label"])))))
 
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns, n_words, the base phrases' places, all labels, detections and a score."""
+    """``keep`` columns, n_words, the base phrases' places and labels, all labels, detections and a score (0 to 1)."""
     lower = F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER)
-    gated = F.when(lower.rlike(_GATE), F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, _GAP, " ")), F.lit(" ")))
-    docs = docs.select(*keep, F.regexp_count(lower, F.lit(_WORD)).cast("long").alias("n_words"), gated.alias("_joined"))
-
-    # Base phrases: (first word's number) of each place, by phrase.
-    found = []
+    joined = F.when(lower.rlike(_GATE), F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, _GAP, " ")), F.lit(" ")))
+    out = docs.select(*keep, F.regexp_count(lower, F.lit(_WORD)).cast("long").alias("n_words"), joined.alias("_joined"))
+    j = F.col("_joined")
+    counts, firsts, lasts, labels = [], [], [], []
     for phrase, label in BASE:
-        pieces, _ = _places(F.col("_joined"), f"(?<= ){phrase}(?= )")
-        words = F.transform(pieces, lambda p: F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit(""))))
-        inner = len(phrase.split()) - 1
-        # Each piece's blanks and the phrase's own make up the words before the next place.
-        starts = F.expr("transform(sequence(1, size(_w) - 1), i -> aggregate(slice(_w, 1, i), 0, (a, x) -> a + x) + (i - 1) * %d - 1)" % inner)
-        found.append((label, words, starts, phrase))
-    out = docs
-    for k, (label, words, starts, phrase) in enumerate(found):
-        out = out.withColumn("_w", F.when(F.contains(F.col("_joined"), F.lit(f" {phrase} ")), words))
-        out = out.withColumn(f"_base{k}", F.when(F.size("_w") > 1, starts)).drop("_w")
-    base = F.flatten(F.array(*[F.coalesce(F.col(f"_base{k}"), F.array().cast("array<int>")) for k in range(len(BASE))]))
-    base_labels = F.filter(F.array(*[F.when(F.size(F.col(f"_base{k}")) > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)]), lambda x: x.isNotNull())
-    out = out.withColumn("_places", base).withColumn("_base_labels", F.array_sort(base_labels))
-
-    # All rules, each gated by its keyword; a detection is (start, end, label, priority) in the joined words.
-    hits = []
-    for label, regex, keyword, priority in rules():
-        pieces, matches = _places(F.col("_joined"), regex)
-        hits.append(F.when(F.contains(F.col("_joined"), F.lit(keyword)), F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.transform(pieces, F.length).alias("before"), F.transform(matches, F.length).alias("size"))))
-    return out, hits
+        here = F.contains(j, F.lit(f" {phrase} "))
+        pieces = F.split(j, f"(?<= ){phrase}(?= )", -1)
+        inner = phrase.count(" ")
+        counts.append(F.coalesce(F.when(here, F.size(pieces) - 1), F.lit(0)))
+        firsts.append(F.when(here, _blanks(F.get(pieces, F.lit(0))) - 1))
+        lasts.append(F.when(here, _blanks(j) - _blanks(F.element_at(pieces, -1)) - inner - 1))
+        labels.append(F.when(here, F.lit(label)))
+    found = F.when(j.isNotNull(), _detections(j))
+    out = out.select(
+        *keep,
+        "n_words",
+        sum(counts[1:], counts[0]).cast("long").alias("n_base"),
+        F.least(*firsts).cast("long").alias("first_word"),
+        F.greatest(*lasts).cast("long").alias("last_word"),
+        F.array_sort(F.array_compact(F.array(*labels))).alias("_base"),
+        F.coalesce(found, F.array().cast("array<struct<label:string,priority:int,first:int,last:int>>")).alias("_found"),
+    )
+    kept = F.filter("_found", lambda x: ~F.exists("_found", lambda y: _beaten(x, y)))
+    out = out.withColumn("detections", kept)
+    return out.select(
+        *keep,
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("_base", ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat("_base", F.transform("detections", lambda x: x["label"])))), ",").alias("labels"),
+        F.greatest(F.when(F.size("_base") > 0, F.lit(1.0)).otherwise(F.lit(0.0)), F.aggregate("detections", F.lit(0.0), lambda a, x: F.greatest(a, F.least(F.lit(1.0), x["priority"] / F.lit(60.0))))).alias("score"),
+        F.size("detections").alias("n_detections"),
+        "detections",
+    )

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import langid, store, toxicity
+from emberline.llm import langid, licenses, store, toxicity
 from emberline.llm.scratch import Scratch
 
 
@@ -39,6 +39,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), langs, model, ["doc_id", "held_out"])
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License detections of all documents."""
+    return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]).drop("detections")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from the labels outside the held-out fold."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -48,6 +53,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_token_store": op5_token_store,
+    "op6_licenses": op6_licenses,
     "op7_toxicity": op7_toxicity,
     "op10_langid": op10_langid,
 }
