@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import langid, licenses, store, toxicity
+from emberline.llm import langid, licenses, minhash, store, toxicity
 from emberline.llm.scratch import Scratch
 
 
@@ -32,6 +32,11 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.digests(spark, root)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: five words, similarity 0.85."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), 85, 5)
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from those outside the held-out fold."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_fold(4) == 2).alias("held_out"))
@@ -55,6 +60,7 @@ QUERIES = {
     "op5_token_store": op5_token_store,
     "op6_licenses": op6_licenses,
     "op7_toxicity": op7_toxicity,
+    "op8_minhash": op8_minhash,
     "op10_langid": op10_langid,
 }
 ORACLE_SQL: dict[str, str] = {}
