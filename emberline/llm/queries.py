@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import langid, licenses, minhash, store, toxicity
+from emberline.llm import langid, licenses, minhash, packing, store, toxicity, vafile
 from emberline.llm.scratch import Scratch
 
 
@@ -25,6 +25,16 @@ def _tokenizer_path(name: str) -> str:
     return os.fspath(public_tokenizers.path(name))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into bins of 2048 words."""
+    return packing.pack(packing.word_lengths(_table(spark, sf_dir, "documents")), 2048)
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors by inner product for each vec_id divisible by 50."""
+    return vafile.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, 256)
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes all documents into a content-addressed store and reads its files back."""
     root = Scratch(spark, "token-store").path("store")
@@ -57,10 +67,54 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_topk": op3_topk,
     "op5_token_store": op5_token_store,
     "op6_licenses": op6_licenses,
     "op7_toxicity": op7_toxicity,
     "op8_minhash": op8_minhash,
     "op10_langid": op10_langid,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 50 = 0
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+    "op8_minhash": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ), g AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+            FROM w
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+        ), p AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2
+        ), e AS (
+            SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)
+        ), l AS (
+            SELECT a, b FROM e UNION SELECT b, a FROM e
+        ), r AS (
+            SELECT doc_id, doc_id AS other FROM w
+            UNION
+            SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a
+        ), c AS (
+            SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id
+        )
+        SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+        FROM w JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
+}
