@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import langid, licenses, minhash, packing, store, toxicity, vafile
+from emberline.llm import decontam, langid, licenses, minhash, packing, store, toxicity, vafile
 from emberline.llm.scratch import Scratch
 
 
@@ -30,6 +30,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.word_lengths(_table(spark, sf_dir, "documents")), 2048)
 
 
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in all documents, with up to 5 % edits."""
+    found = decontam.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.withColumn("contaminated", F.col("n_hits") > 0)
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors by inner product for each vec_id divisible by 50."""
     return vafile.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, 256)
@@ -68,6 +74,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_decontam": op2_decontam,
     "op3_topk": op3_topk,
     "op5_token_store": op5_token_store,
     "op6_licenses": op6_licenses,
