@@ -1,13 +1,15 @@
 """Links of near duplicates: band buckets to verified links to components, without all pairs of a group.
 
 A bucket's members are compared with its smallest node. What is verified gives
-components; then only members of different components that share a bucket
-are compared. So the members of a large group of mutual copies cost one
-comparison each, and no link between different groups is lost.
+components. Where a bucket still holds several components, its members are
+compared across components, by an exact prefix filter over their sets. So the
+members of a large group of mutual copies cost one comparison each, and no link
+between different groups is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -60,13 +62,35 @@ def agreement(a: str, b: str, k: int) -> Column:
     return ((1 - differ / F.lit(k)) - 0.25) / 0.75
 
 
-def link(bands: DataFrame, sketches: DataFrame, k: int, least: float, verify: Callable[[DataFrame, str], DataFrame], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Labels (node, root) and verified links (a, b).
+def prefix_pairs(nodes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b), a < b, of different roots, among ``nodes`` (node, root) with sets ``tokens`` (node, n, token).
 
-    ``bands``: bucket, node (written). ``sketches``: node, sketch. Candidates
-    whose estimated similarity is under ``least`` are passed by; ``verify`` keeps
-    the true links of a table of candidates (a, b).
+    Two sets of the similarity share one of the tokens that come first when each
+    set is ordered by frequency among ``nodes``, rare ones first; and what follows
+    that token in both must suffice for the overlap. Sets with more tokens of
+    their own than the similarity allows meet nobody. No link is lost.
     """
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    counted = tokens.join(often, "token")
+    head = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100) - F.lit(1e-9)) + 1
+    first = counted.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all")).select("node", "n", F.posexplode(F.slice("all", F.lit(1), head.cast("int"))).alias("at", "x"))
+    first = first.where("x.df > 1").select("node", "n", "at", F.col("x.token").alias("token")).join(nodes, "node")
+    a, b = (first.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "at")]) for side in "ab")
+    overlap = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
+    enough = overlap * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    return a.join(b, "token").where("node_a < node_b and root_a <> root_b").where(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def link(bands: DataFrame, sketches: DataFrame, k: int, percent: int, verify: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Labels (node, root) and verified links (a, b) of ``percent`` similarity.
+
+    ``bands``: bucket, node (written). ``sketches``: node, sketch of ``k`` minima.
+    Candidates whose estimated similarity is five standard deviations under the
+    limit are passed by; ``verify`` keeps the true links of a table of candidates
+    (a, b); ``tokens`` gives the sets (node, n, token) of a table with ``node``.
+    """
+    chance = percent / 100 * 0.75 + 0.25
+    least = percent / 100 - 5 * math.sqrt(chance * (1 - chance) / k) / 0.75
 
     def promising(pairs: DataFrame) -> DataFrame:
         s = sketches.select("node", "sketch")
@@ -78,18 +102,16 @@ def link(bands: DataFrame, sketches: DataFrame, k: int, least: float, verify: Ca
     shared = bands.join(bounded(heads), "bucket").withColumnRenamed("node", "b")
     shared = scratch.write(shared, "shared")  # of all bands only those in buckets of two nodes or more
     tested = scratch.write(promising(shared.where("a <> b").select("a", "b").distinct()), "pairs")
-    edges = scratch.write(verify(tested, "first"), "links")
+    edges = scratch.write(verify(tested), "links")
     labels = scratch.write(components(edges, scratch), "labels")
 
     members = shared.join(labels.withColumnRenamed("node", "b"), "b", "left").select("bucket", F.col("b").alias("node"), F.coalesce("root", "b").alias("root"))
     apart = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    left = scratch.write(members.join(apart, "bucket").join(sketches.select("node", "sketch"), "node"), "left")
-    pairs = left.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa")).join(left.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb")), "bucket")
-    pairs = pairs.where("ra <> rb and a < b").where(agreement("sa", "sb", k) >= least).select("a", "b").distinct()
-    # A head is the smallest node of its bucket, so tested pairs have a < b as well.
-    pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    rest = scratch.write(members.join(apart, "bucket").select("node", "root").distinct(), "rest")
+    # Both have a < b: a head is the smallest node of its bucket.
+    pairs = scratch.write(prefix_pairs(rest, tokens(rest), percent).join(tested, ["a", "b"], "left_anti"), "pairs")
     if pairs.isEmpty():
         return labels, edges
-    more = scratch.write(verify(pairs, "rest"), "links")
+    more = scratch.write(verify(pairs), "links")
     edges = edges.union(more)
     return scratch.write(components(edges, scratch), "labels"), edges

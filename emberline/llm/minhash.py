@@ -18,7 +18,6 @@ unless no row of the component has another.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +118,18 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "k1 long, k2 long, set binary")
 
 
+def unpacked(sets: DataFrame) -> DataFrame:
+    """node, n (its set's size) and a row for each token of packed sets (node, set)."""
+
+    def run(batches):
+        for batch in batches:
+            for node, packed in zip(batch.column("node").to_pylist(), batch.column("set").to_pylist()):
+                values = np.frombuffer(packed, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), node)), pa.array(np.full(len(values), len(values))), pa.array(values)], ["node", "n", "token"])
+
+    return sets.mapInArrow(run, "node long, n long, token long")
+
+
 def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on packed sorted sets (node, set)."""
 
@@ -157,21 +168,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
     one = scratch.write(one, "one")
     bands = one.select("node", F.explode("bands").alias("bucket"))
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """node and packed set, made again from the texts of one document of each class."""
         need = scratch.write(nodes.join(classes, "node"), "need")
         rows = need.count()
-        chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(bounded(need.select("doc_id"), rows), "doc_id", "left_semi")
-        nameless = need.where("doc_id is null")
-        if not nameless.isEmpty():
-            chosen = chosen.union(docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-        sets = _sets(chosen, size).join(bounded(need.select("node", "k1", "k2"), rows), ["k1", "k2"]).dropDuplicates(["node"])
-        return overlaps(pairs, scratch.write(sets.select("node", "set"), "sets"), percent)
-
-    k = BANDS * ROWS
-    p = percent / 100 * 0.75 + 0.25
-    least = percent / 100 - 5 * math.sqrt(p * (1 - p) / k) / 0.75
-    labels, _ = link(bands, one.select("node", "sketch"), k, least, verify, scratch)
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        chosen = texts.join(bounded(need.select("doc_id"), rows), "doc_id", "left_semi")
+        if not need.where("doc_id is null").isEmpty():
+            chosen = chosen.union(texts.where("doc_id is null"))
+        return _sets(chosen, size).join(bounded(need.select("node", "k1", "k2"), rows), ["k1", "k2"]).dropDuplicates(["node"]).select("node", "set")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        return overlaps(pairs, scratch.write(sets_of(nodes), "sets"), percent)
+
+    def tokens(nodes: DataFrame) -> DataFrame:
+        return scratch.write(unpacked(sets_of(nodes.select("node"))), "tokens")
+
+    labels, _ = link(bands, one.select("node", "sketch"), BANDS * ROWS, percent, verify, tokens, scratch)
 
     rooted = classes.join(labels, "node", "left").select("k1", "k2", "doc_id", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("k1", "k2", "component_id")
