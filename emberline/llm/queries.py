@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontam, langid, licenses, minhash, packing, store, toxicity, vafile
+from emberline.llm import decontam, langid, licenses, lm, minhash, packing, store, toxicity, vafile
 from emberline.llm.scratch import Scratch
 
 
@@ -41,6 +41,14 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, 256)
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents, learned from those outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (_fold(7) == 2).alias("held_out"))
+    model = lm.fit(docs.where("not held_out"), Scratch(spark, "lm"))
+    scores = lm.score(docs, model, ["doc_id", "held_out"])
+    return scores.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes all documents into a content-addressed store and reads its files back."""
     root = Scratch(spark, "token-store").path("store")
@@ -76,6 +84,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontam": op2_decontam,
     "op3_topk": op3_topk,
+    "op4_lm": op4_lm,
     "op5_token_store": op5_token_store,
     "op6_licenses": op6_licenses,
     "op7_toxicity": op7_toxicity,
