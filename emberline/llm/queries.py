@@ -76,7 +76,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from the labels outside the held-out fold."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(toxicity.labelled(docs.where(_fold(3) != 1), _table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(_fold(3) != 1))
     return toxicity.score(docs.withColumn("held_out", _fold(3) == 1), model, ["doc_id", "held_out"])
 
 

@@ -20,12 +20,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import textkernel as K
 from emberline.llm.boosting import Isotonic, Trees
+from emberline.llm.scratch import Scratch
 
 #: Second-person words of the usual web languages.
 SECOND_PERSON = frozenset("you your yours yourself u ur ya du dich dir dein deine ihr euch sie tu te ti tus usted ustedes vosotros vous votre vos toi ton ta tes".split())
@@ -59,20 +61,24 @@ def _tokens(text: str) -> list[str]:
     return [w for w in (x.strip(_EDGE) for x in text.lower().split()) if w]
 
 
-def _count_terms(batches):
-    """Numbers of toxic and of clean texts with each term, by fold."""
-    total: dict[tuple, list[int]] = {}
-    for batch in batches:
-        for fold, toxic, text in zip(batch.column("fold").to_pylist(), batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-            for t in {t for w in set(_tokens(text or "")) for t in terms(w)}:
-                total.setdefault((fold, t), [0, 0])[0 if toxic else 1] += 1
-    keys = list(total)
-    for k in range(0, len(keys), 20_000):
-        part = keys[k : k + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.string()), pa.array([total[x][0] for x in part], pa.int64()), pa.array([total[x][1] for x in part], pa.int64())], ["fold", "term", "bad", "good"])
+def _counted(wanted: frozenset | None):
+    """Counts, by fold, of the texts with each term: of all terms of toxic texts, or of ``wanted`` ones in clean texts."""
+
+    def run(batches):
+        total: Counter = Counter()
+        for batch in batches:
+            for fold, text in zip(batch.column("fold").to_pylist(), batch.column("text").to_pylist()):
+                found = {t for w in set(_tokens(text or "")) for t in terms(w)}
+                total.update((fold, t) for t in (found if wanted is None else found & wanted))
+        keys = list(total)
+        for k in range(0, len(keys), 20_000):
+            part = keys[k : k + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.string()), pa.array([total[x] for x in part], pa.int64())], ["fold", "term", "n"])
+
+    return run
 
 
-def _lexicon(counts, sizes: tuple[int, int]) -> dict[str, float]:
+def _lexicon(counts: pd.DataFrame, sizes: tuple[int, int]) -> dict[str, float]:
     """Log odds of the terms that mark toxic texts; the strongest MAX_TERMS."""
     bad, good = counts["bad"].to_numpy(float), counts["good"].to_numpy(float)
     odds = np.log((bad + 0.5) / (sizes[0] + 1)) - np.log((good + 0.5) / (sizes[1] + 1))
@@ -152,30 +158,41 @@ class Model:
         return self.calibration.apply(self.trees.margin(self.features.matrix(column)))
 
 
-def fit(train: DataFrame, max_rows: int = 8000) -> Model:
-    """Learns from ``train`` (text, toxic 0/1).
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Model:
+    """Learns from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic 0/1) covers.
 
-    ``max_rows`` bounds the labelled sample in each class to about half as many
-    rows, drawn by a hash of the text; all of a sampled text is used. The driver
-    gets the sample's features and the terms that stand in two or more toxic
-    texts of the sample.
+    ``max_rows`` bounds the labelled sample: about half as many rows of each
+    class, drawn by a hash, whose ids are sent to the tasks; all of a sampled
+    text is used. Several labels of a document count as toxic if one does. The
+    driver gets the sample's features, and the terms that stand in at least two
+    (and in one of 500) of its toxic texts.
     """
-    train = train.where(F.col("toxic").isNotNull())
-    sizes = {int(r["toxic"]): r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    sizes = {int(r["toxic"]): r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Model({}, None, None, float(next(iter(sizes), 0)))
     clean_step, toxic_step = (max(1, -(-2 * sizes.get(k, 0) // max_rows)) for k in (0, 1))
-    mark = F.xxhash64(F.coalesce("text", F.lit("")))
     step = F.when(F.col("toxic") == 1, F.lit(toxic_step)).otherwise(F.lit(clean_step)).cast("long")
-    sample = train.where(F.pmod(mark, step) == 0).select("text", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int").alias("fold"))
-    counts = sample.mapInArrow(_count_terms, "fold int, term string, bad long, good long").groupBy("fold", "term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    wide = counts.groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col("fold") == h, F.col(c))), F.lit(0)).alias(f"{c}{h}") for h in range(FOLDS) for c in ("bad", "good")])
-    bad, good = (" + ".join(f"{c}{h}" for h in range(FOLDS)) for c in ("bad", "good"))
-    got = wide.where(f"{bad} >= 2 and {bad} >= 2 * ({good})").toPandas()
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    drawn = labels.where(F.pmod(F.xxhash64("doc_id"), step) == 0)
+    fold = F.pmod(F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
+    sample = scratch.write(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic", fold.alias("fold")), "sample")
     of = {(r["fold"], r["toxic"]): r["n"] for r in sample.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic_rows = sum(n for (_, t), n in of.items() if t == 1)
+    if toxic_rows in (0, sum(of.values())):
+        return Model({}, None, None, float(toxic_rows > 0))
+
+    def by_fold(rows: DataFrame, wanted: frozenset | None) -> DataFrame:
+        counts = rows.mapInArrow(_counted(wanted), "fold int, term string, n long")
+        return counts.groupBy("term").agg(*[F.sum(F.when(F.col("fold") == h, F.col("n")).otherwise(0)).alias(f"n{h}") for h in range(FOLDS)])
+
+    total = sum((F.col(f"n{h}") for h in range(1, FOLDS)), F.col("n0"))
+    bad = by_fold(sample.where("toxic = 1"), None).where(total >= max(2, toxic_rows // 500)).toPandas()
+    good = by_fold(sample.where("toxic = 0"), frozenset(bad["term"])).toPandas()
+    got = bad.merge(good, on="term", how="left", suffixes=("_bad", "_good")).fillna(0).sort_values("term", ignore_index=True)
 
     def lexicon(*folds: int) -> dict[str, float]:
-        part = got[["term"]].assign(bad=sum(got[f"bad{h}"] for h in folds), good=sum(got[f"good{h}"] for h in folds))
+        part = got[["term"]].assign(bad=sum(got[f"n{h}_bad"] for h in folds), good=sum(got[f"n{h}_good"] for h in folds))
         return _lexicon(part, tuple(sum(of.get((h, t), 0) for h in folds) for t in (1, 0)))
 
     crossed = [lexicon(*[h for h in range(FOLDS) if h != k]) for k in range(FOLDS)]
@@ -224,9 +241,3 @@ def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = 0.7
 
     columns = [F.col(c) for c in keep] + ([] if "text" in keep else [F.col("text")])
     return docs.select(*columns).mapInArrow(run, f"{fields}, score double, predicted int")
-
-
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with their label; several label rows of a document count as toxic if one does."""
-    one = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(one, "doc_id")
