@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontam, langid, licenses, lm, minhash, packing, store, toxicity, vafile
+from emberline.llm import decontam, langid, licenses, lm, minhash, packing, paragraphs, store, toxicity, vafile
 from emberline.llm.scratch import Scratch
 
 
@@ -61,6 +61,11 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), 85, 5)
 
 
+def op9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated paragraphs of all documents: five words, similarity 0.8."""
+    return paragraphs.duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), 80).drop("spans")
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from those outside the held-out fold."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_fold(4) == 2).alias("held_out"))
@@ -89,6 +94,7 @@ QUERIES = {
     "op6_licenses": op6_licenses,
     "op7_toxicity": op7_toxicity,
     "op8_minhash": op8_minhash,
+    "op9_paragraphs": op9_paragraphs,
     "op10_langid": op10_langid,
 }
 ORACLE_SQL: dict[str, str] = {
