@@ -1,4 +1,6 @@
 """All registered queries of the engine and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from emberline.plans import correlation
+
+QUERIES: dict = {**correlation.QUERIES}
+ORACLE_SQL: dict[str, str] = {**correlation.ORACLE_SQL}
