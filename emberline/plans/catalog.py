@@ -1,6 +1,7 @@
 """All registered queries of the engine and their DuckDB counterparts."""
 
-from emberline.plans import correlation
+from emberline.plans import correlation, topology
 
-QUERIES: dict = {**correlation.QUERIES}
-ORACLE_SQL: dict[str, str] = {**correlation.ORACLE_SQL}
+_MODULES = (correlation, topology)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
