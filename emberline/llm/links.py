@@ -19,6 +19,7 @@ from emberline.llm.scratch import Scratch
 
 #: Rows up to which a set of ids is sent to all tasks; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+PARITY_LONGS = 8
 
 
 def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -62,32 +63,37 @@ def agreement(a: str, b: str, k: int) -> Column:
     return ((1 - differ / F.lit(k)) - 0.25) / 0.75
 
 
-def prefix_pairs(nodes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+def prefix_pairs(nodes: DataFrame, tokens: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b), a < b, of different roots, among ``nodes`` (node, root) with sets ``tokens`` (node, n, token).
 
     Two sets of the similarity share one of the tokens that come first when each
     set is ordered by frequency among ``nodes``, rare ones first; and what follows
     that token in both must suffice for the overlap. Sets with more tokens of
-    their own than the similarity allows meet nobody. No link is lost.
+    their own than the similarity allows meet nobody. ``parities`` (node, odd) has
+    PARITY_LONGS longs of parities of the tokens by hash: two sets differ in at
+    least as many tokens as parities. No link is lost.
     """
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     counted = tokens.join(often, "token")
     head = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100) - F.lit(1e-9)) + 1
     first = counted.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all")).select("node", "n", F.posexplode(F.slice("all", F.lit(1), head.cast("int"))).alias("at", "x"))
-    first = first.where("x.df > 1").select("node", "n", "at", F.col("x.token").alias("token")).join(nodes, "node")
-    a, b = (first.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "at")]) for side in "ab")
+    first = first.where("x.df > 1").select("node", "n", "at", F.col("x.token").alias("token")).join(nodes.join(parities, "node"), "node")
+    a, b = (first.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "at", "odd")]) for side in "ab")
     overlap = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
     enough = overlap * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    return a.join(b, "token").where("node_a < node_b and root_a <> root_b").where(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    apart = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(1, PARITY_LONGS)), F.bit_count(F.col("odd_a")[0].bitwiseXOR(F.col("odd_b")[0])))
+    # |A| + |B| - 2 * overlap, with the least overlap of the similarity.
+    close = apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return a.join(b, "token").where("node_a < node_b and root_a <> root_b").where(enough & close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def link(bands: DataFrame, sketches: DataFrame, k: int, percent: int, verify: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def link(bands: DataFrame, sketches: DataFrame, k: int, percent: int, verify: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], tuple[DataFrame, DataFrame]], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Labels (node, root) and verified links (a, b) of ``percent`` similarity.
 
     ``bands``: bucket, node (written). ``sketches``: node, sketch of ``k`` minima.
     Candidates whose estimated similarity is five standard deviations under the
     limit are passed by; ``verify`` keeps the true links of a table of candidates
-    (a, b); ``tokens`` gives the sets (node, n, token) of a table with ``node``.
+    (a, b); ``tokens`` gives the sets (node, n, token) and parities (node, odd) of a table with ``node``.
     """
     chance = percent / 100 * 0.75 + 0.25
     least = percent / 100 - 5 * math.sqrt(chance * (1 - chance) / k) / 0.75
@@ -109,7 +115,7 @@ def link(bands: DataFrame, sketches: DataFrame, k: int, percent: int, verify: Ca
     apart = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
     rest = scratch.write(members.join(apart, "bucket").select("node", "root").distinct(), "rest")
     # Both have a < b: a head is the smallest node of its bucket.
-    pairs = scratch.write(prefix_pairs(rest, tokens(rest), percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    pairs = scratch.write(prefix_pairs(rest, *tokens(rest), percent).join(tested, ["a", "b"], "left_anti"), "pairs")
     if pairs.isEmpty():
         return labels, edges
     more = scratch.write(verify(pairs), "links")

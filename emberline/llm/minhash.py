@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import textkernel as K
-from emberline.llm.links import bounded, link
+from emberline.llm.links import PARITY_LONGS, bounded, link
 from emberline.llm.scratch import Scratch
 
 BANDS, ROWS = 20, 4
@@ -130,6 +130,20 @@ def unpacked(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, "node long, n long, token long")
 
 
+def parities(sets: DataFrame) -> DataFrame:
+    """node and the parities of its tokens' numbers in each of 64 * PARITY_LONGS hash cells."""
+
+    def run(batches):
+        for batch in batches:
+            odd = np.zeros((batch.num_rows, 64 * PARITY_LONGS), np.uint8)
+            for i, packed in enumerate(batch.column("set").to_pylist()):
+                cells = (np.frombuffer(packed, np.uint64) >> np.uint64(7)) % np.uint64(64 * PARITY_LONGS)
+                odd[i] = np.bincount(cells.astype(np.int64), minlength=64 * PARITY_LONGS) & 1
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _rows(np.packbits(odd, axis=1).view(np.int64))], ["node", "odd"])
+
+    return sets.mapInArrow(run, "node long, odd array<long>")
+
+
 def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on packed sorted sets (node, set)."""
 
@@ -182,8 +196,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         return overlaps(pairs, scratch.write(sets_of(nodes), "sets"), percent)
 
-    def tokens(nodes: DataFrame) -> DataFrame:
-        return scratch.write(unpacked(sets_of(nodes.select("node"))), "tokens")
+    def tokens(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sets = scratch.write(sets_of(nodes.select("node")), "rest-sets")
+        return unpacked(sets), parities(sets)
 
     labels, _ = link(bands, one.select("node", "sketch"), BANDS * ROWS, percent, verify, tokens, scratch)
 
