@@ -34,18 +34,19 @@ def first_valid(sources: list[DataFrame], key: str, valid: str) -> DataFrame:
 
 def front_matter(spark: SparkSession, path: str) -> DataFrame:
     """path, fields (map), body of Markdown files with ``key: value`` lines between two lines of dashes."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("raw"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("raw"))
     head = F.regexp_extract("raw", r"(?s)\A---\n(.*?)\n---\n?", 1)
     lines = F.filter(F.split(head, "\n"), lambda x: x.rlike(r"^[A-Za-z_][A-Za-z0-9_]*:"))
     entries = F.transform(lines, lambda x: F.struct(F.trim(F.split_part(x, F.lit(":"), F.lit(1))).alias("key"), F.trim(F.regexp_replace(F.regexp_replace(x, r"^[^:]*:", ""), r"""^\s*["']|["']\s*$""", "")).alias("value")))
-    first = F.filter(entries, lambda e: e["key"].isNotNull())
-    return files.select("path", F.aggregate(first, F.create_map().cast("map<string,string>"), lambda m, e: F.when(F.map_contains_key(m, e["key"]), m).otherwise(F.map_concat(m, F.create_map(e["key"], e["value"])))).alias("fields"), F.regexp_replace("raw", r"(?s)\A---\n.*?\n---\n?", "").alias("body"))
+    # A key that comes again is passed over.
+    first = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, F.lit(1), i), lambda x: x["key"] == e["key"]))
+    return files.select("path", F.map_from_entries(first).alias("fields"), F.regexp_replace("raw", r"(?s)\A---\n.*?\n---\n?", "").alias("body"))
 
 
 def listed(value) -> "F.Column":
     """Items of a front-matter list, with or without brackets."""
     bare = F.regexp_replace(F.coalesce(value, F.lit("")), r"[\[\]\"']", "")
-    return F.filter(F.transform(F.split(bare, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(bare, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def truthy(value) -> "F.Column":
