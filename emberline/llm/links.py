@@ -1,16 +1,17 @@
 """Links of near duplicates: band buckets to verified links to components, without all pairs of a group.
 
 A bucket's members are compared with its smallest node. What is verified gives
-components. Where a bucket still holds several components, its members are
-compared across components, by an exact prefix filter over their sets. So the
+components. Where a bucket holds several, its members are compared with another
+of its nodes, a few times over, and at last across all its components, by an
+exact prefix filter over their sets. So the
 members of a large group of mutual copies cost one comparison each, and no link
 between different groups is lost.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from emberline.llm.scratch import Scratch
 #: Rows up to which a set of ids is sent to all tasks; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 PARITY_LONGS = 8
+#: Further rounds in which the members of a bucket are compared with another of its nodes.
+STAR_TURNS = 2
 
 
 def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -81,43 +84,66 @@ def prefix_pairs(nodes: DataFrame, tokens: DataFrame, parities: DataFrame, perce
     a, b = (first.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "at", "odd")]) for side in "ab")
     overlap = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
     enough = overlap * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    apart = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(1, PARITY_LONGS)), F.bit_count(F.col("odd_a")[0].bitwiseXOR(F.col("odd_b")[0])))
-    # |A| + |B| - 2 * overlap, with the least overlap of the similarity.
-    close = apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    close = close_sets(F.col("n_a"), F.col("n_b"), parity_distance(F.col("odd_a"), F.col("odd_b")), percent)
     return a.join(b, "token").where("node_a < node_b and root_a <> root_b").where(enough & close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def link(bands: DataFrame, sketches: DataFrame, k: int, percent: int, verify: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], tuple[DataFrame, DataFrame]], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def parity_distance(a: Column, b: Column, first: int = 0, longs: int = PARITY_LONGS) -> Column:
+    """How many parities two arrays differ in, held in ``longs`` longs from ``first`` on."""
+    return reduce(lambda x, y: x + y, [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(first, first + longs)])
+
+
+def close_sets(n_a: Column, n_b: Column, apart: Column, percent: int) -> Column:
+    """Whether sets that differ in ``apart`` tokens at least can be of the similarity: |A| + |B| - 2 * overlap."""
+    return apart * (100 + percent) <= (n_a + n_b) * (100 - percent)
+
+
+def link(bands: DataFrame, sketches: DataFrame, near: Callable[[str, str], Column], percent: int, verify: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], tuple[DataFrame, DataFrame]], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Labels (node, root) and verified links (a, b) of ``percent`` similarity.
 
-    ``bands``: bucket, node (written). ``sketches``: node, sketch of ``k`` minima.
-    Candidates whose estimated similarity is five standard deviations under the
-    limit are passed by; ``verify`` keeps the true links of a table of candidates
-    (a, b); ``tokens`` gives the sets (node, n, token) and parities (node, odd) of a table with ``node``.
+    ``bands``: bucket, node (written). ``sketches``: node, sketch, also more than once. Candidates of
+    which ``near`` does not hold for their sketches are passed by; ``verify``
+    keeps the true links of a table of candidates (a, b); ``tokens`` gives the
+    sets (node, n, token) and parities (node, odd) of a table with ``node``.
     """
-    chance = percent / 100 * 0.75 + 0.25
-    least = percent / 100 - 5 * math.sqrt(chance * (1 - chance) / k) / 0.75
 
     def promising(pairs: DataFrame) -> DataFrame:
-        s = sketches.select("node", "sketch")
+        s = own.select("node", "sketch")
         both = pairs.join(s.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a").join(s.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b")
-        return both.where(agreement("sa", "sb", k) >= least).select("a", "b")
+        return both.where(near("sa", "sb")).select("a", "b")
+
+    def apart(members: DataFrame) -> DataFrame:
+        """Of bucket, node: those in buckets of several components, with their root."""
+        placed = members.select("bucket", F.col("node").alias("_n")).join(bounded(labels.withColumnRenamed("node", "_n")), "_n", "left").select("bucket", F.col("_n").alias("node"), F.coalesce("root", "_n").alias("root"))
+        several = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+        return scratch.write(placed.join(several, "bucket"), "apart")
 
     heads = bands.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("bucket", "a")
     heads = scratch.write(heads, "heads")
-    shared = bands.join(bounded(heads), "bucket").withColumnRenamed("node", "b")
-    shared = scratch.write(shared, "shared")  # of all bands only those in buckets of two nodes or more
-    tested = scratch.write(promising(shared.where("a <> b").select("a", "b").distinct()), "pairs")
+    # Of all bands only those in buckets of two nodes or more.
+    shared = scratch.write(bands.join(bounded(heads), "bucket").distinct(), "shared")
+    nodes = scratch.write(shared.select("node").distinct(), "nodes")
+    own = scratch.write(sketches.join(bounded(nodes), "node", "left_semi").dropDuplicates(["node"]), "sketches")
+    tested = scratch.write(promising(shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()), "pairs")
     edges = scratch.write(verify(tested), "links")
     labels = scratch.write(components(edges, scratch), "labels")
+    live = apart(shared)
+    for turn in range(STAR_TURNS):
+        mark = F.xxhash64("node", F.lit(turn))
+        centres = live.groupBy("bucket").agg(F.min_by("node", mark).alias("centre"), F.min_by("root", mark).alias("centre_root"))
+        pairs = live.join(centres, "bucket").where("root <> centre_root").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        pairs = scratch.write(promising(pairs.join(tested, ["a", "b"], "left_anti")), "pairs")
+        found = scratch.write(verify(pairs), "links")
+        tested, edges = tested.union(pairs), edges.union(found)
+        if found.isEmpty():
+            break
+        labels = scratch.write(components(edges, scratch), "labels")
+        live = apart(live)
 
-    members = shared.join(labels.withColumnRenamed("node", "b"), "b", "left").select("bucket", F.col("b").alias("node"), F.coalesce("root", "b").alias("root"))
-    apart = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    rest = scratch.write(members.join(apart, "bucket").select("node", "root").distinct(), "rest")
-    # Both have a < b: a head is the smallest node of its bucket.
+    rest = scratch.write(live.select("node", "root").distinct(), "rest")
+    # All tested pairs have a < b as well.
     pairs = scratch.write(prefix_pairs(rest, *tokens(rest), percent).join(tested, ["a", "b"], "left_anti"), "pairs")
     if pairs.isEmpty():
         return labels, edges
-    more = scratch.write(verify(pairs), "links")
-    edges = edges.union(more)
+    edges = edges.union(scratch.write(verify(pairs), "links"))
     return scratch.write(components(edges, scratch), "labels"), edges

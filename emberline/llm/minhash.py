@@ -18,6 +18,7 @@ unless no row of the component has another.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import textkernel as K
-from emberline.llm.links import PARITY_LONGS, bounded, link
+from emberline.llm.links import PARITY_LONGS, agreement, bounded, link
 from emberline.llm.scratch import Scratch
 
 BANDS, ROWS = 20, 4
@@ -130,16 +131,23 @@ def unpacked(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, "node long, n long, token long")
 
 
+def odd_cells(tokens: np.ndarray, at: np.ndarray, longs: int = PARITY_LONGS) -> np.ndarray:
+    """For each set of distinct tokens, the parities of its numbers in hash cells, packed into ``longs`` longs."""
+    bits = 64 * longs
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    cells = owner * bits + ((tokens >> np.uint64(7)) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(cells, minlength=(len(at) - 1) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(at) - 1, bits), axis=1).view(np.int64).reshape(len(at) - 1, longs)
+
+
 def parities(sets: DataFrame) -> DataFrame:
     """node and the parities of its tokens' numbers in each of 64 * PARITY_LONGS hash cells."""
 
     def run(batches):
         for batch in batches:
-            odd = np.zeros((batch.num_rows, 64 * PARITY_LONGS), np.uint8)
-            for i, packed in enumerate(batch.column("set").to_pylist()):
-                cells = (np.frombuffer(packed, np.uint64) >> np.uint64(7)) % np.uint64(64 * PARITY_LONGS)
-                odd[i] = np.bincount(cells.astype(np.int64), minlength=64 * PARITY_LONGS) & 1
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _rows(np.packbits(odd, axis=1).view(np.int64))], ["node", "odd"])
+            data, offsets = K.flat(batch.column("set"))
+            odd = odd_cells(np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.uint64), (offsets - offsets[0]) // 8)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _rows(odd)], ["node", "odd"])
 
     return sets.mapInArrow(run, "node long, odd array<long>")
 
@@ -150,8 +158,8 @@ def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("x", "y"))
                 if len(x) > len(y):
                     x, y = y, x
                 both = 0
@@ -200,7 +208,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
         sets = scratch.write(sets_of(nodes.select("node")), "rest-sets")
         return unpacked(sets), parities(sets)
 
-    labels, _ = link(bands, one.select("node", "sketch"), BANDS * ROWS, percent, verify, tokens, scratch)
+    # The estimate may be five standard deviations under the limit.
+    k, chance = BANDS * ROWS, percent / 100 * 0.75 + 0.25
+    least = percent / 100 - 5 * math.sqrt(chance * (1 - chance) / k) / 0.75
+    labels, _ = link(bands, one.select("node", "sketch"), lambda a, b: agreement(a, b, k) >= least, percent, verify, tokens, scratch)
 
     rooted = classes.join(labels, "node", "left").select("k1", "k2", "doc_id", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("k1", "k2", "component_id")

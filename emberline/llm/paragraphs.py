@@ -18,15 +18,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import textkernel as K
-from emberline.llm.links import bounded, link
-from emberline.llm.minhash import _distinct, _rows, band_keys, minima, overlaps, parities, sketch, unpacked
-from emberline.llm.scratch import Scratch
+from emberline.llm.links import bounded, close_sets, link, parity_distance
+from emberline.llm.minhash import _distinct, _rows, band_keys, minima, odd_cells, overlaps, parities, unpacked
+from emberline.llm.scratch import Scratch, fresh
 
-LEAST_WORDS, BANDS, ROWS = 20, 10, 4
+LEAST_WORDS, BANDS, ROWS, SKETCH_LONGS = 20, 10, 4, 4
 _NEWLINE = 10
 
 
@@ -63,6 +63,16 @@ def _sets_of(hashes: np.ndarray, first: np.ndarray, count: np.ndarray, keep: np.
     return shingles, starts, node
 
 
+def _marks(shingles: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 40-bit marks of each line's shingles, and where each line's start; lines of a block fit in 24 bits."""
+    owner = np.repeat(np.arange(len(starts) - 1, dtype=np.uint64), np.diff(starts))
+    key = np.sort((owner << np.uint64(40)) | (shingles >> np.uint64(24)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    return key & np.uint64((1 << 40) - 1), np.searchsorted(key >> np.uint64(40), np.arange(len(starts), dtype=np.uint64))
+
+
 def units(docs: DataFrame, least: int) -> DataFrame:
     """A row for each paragraph: doc_id, th (hash of the text), line, first and last byte, words, node, bands, sketch."""
 
@@ -75,10 +85,12 @@ def units(docs: DataFrame, least: int) -> DataFrame:
                 hashes, first, count, keep, owner, number, begin, end = got
                 shingles, starts, node = _sets_of(hashes, first, count, keep)
                 mins = minima(shingles, starts, BANDS * ROWS)
+                tokens, token_at = _marks(shingles, starts)
+                sketches = np.column_stack([np.diff(token_at), odd_cells(tokens, token_at, SKETCH_LONGS)])
                 ids = pa.array(row + owner)
                 base = offsets[owner]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(ids), batch.column("th").take(ids), pa.array(number, pa.int32()), pa.array(begin - base), pa.array(end - base), pa.array(count[keep]), pa.array(node.view(np.int64)), _rows(band_keys(mins, ROWS)), _rows(sketch(mins))],
+                    [batch.column("doc_id").take(ids), batch.column("th").take(ids), pa.array(number, pa.int32()), pa.array(begin - base), pa.array(end - base), pa.array(count[keep]), pa.array(node.view(np.int64)), _rows(band_keys(mins, ROWS)), _rows(sketches)],
                     ["doc_id", "th", "line", "first", "last", "words", "node", "bands", "sketch"],
                 )
 
@@ -127,7 +139,11 @@ def repeats(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS) -> tup
         sets = scratch.write(sets_of(nodes), "rest-sets")
         return unpacked(sets), parities(sets)
 
-    labels, _ = link(bands, table.select("node", "sketch"), BANDS * ROWS, percent, verify, tokens, scratch)
+    # A sketch is the set's size and its parities, which bound the similarity from above.
+    def near(a: str, b: str) -> Column:
+        return close_sets(F.col(a)[0], F.col(b)[0], parity_distance(F.col(a), F.col(b), 1, SKETCH_LONGS), percent)
+
+    labels, _ = link(bands, table.select("node", "sketch"), near, percent, verify, tokens, scratch)
     places = table.select("doc_id", "th", "line", "first", "last", "node")
     rooted = places.join(bounded(labels), "node", "left").select("doc_id", "th", "line", "first", "last", F.coalesce("root", "node").alias("root"))
     many = scratch.write(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root"), "many")
@@ -165,16 +181,17 @@ def duplicates(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS) ->
 def remove(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the removed paragraphs cut out of ``text``; all rows and other columns stay."""
     found, _ = repeats(docs, percent, least)
-    spans = found.where(~F.col("kept")).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_spans")).withColumnsRenamed({"doc_id": "_d", "th": "_t"})
+    d, t, th, gone = (fresh(docs, x) for x in ("_d", "_t", "_th", "_spans"))
+    spans = found.where(~F.col("kept")).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias(gone)).withColumnsRenamed({"doc_id": d, "th": t})
     names = docs.columns
-    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(spans, keyed["doc_id"].cast("long").eqNullSafe(spans["_d"]) & (keyed["_th"] == spans["_t"]), "left").drop("_d", "_t", "_th")
+    keyed = docs.withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = keyed.join(spans, keyed["doc_id"].cast("long").eqNullSafe(spans[d]) & (keyed[th] == spans[t]), "left").drop(d, t, th)
 
     def cut(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
-            for i, spans_ in enumerate(batch.column("_spans").to_pylist()):
+            for i, spans_ in enumerate(batch.column(gone).to_pylist()):
                 if spans_:
                     raw, last, parts = texts[i].encode(), 0, []
                     for s in spans_:
@@ -183,4 +200,4 @@ def remove(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS) -> Data
                     texts[i] = b"".join([*parts, raw[last:]]).decode()
             yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(names)
 
-    return joined.select(*names, "_spans").mapInArrow(cut, docs.schema)
+    return joined.select(*names, gone).mapInArrow(cut, docs.schema)
