@@ -20,7 +20,7 @@ CAPACITY = 2048
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject (score under 0.7)."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, docs.columns).where("predicted = 0").select(*docs.columns)
+    return toxicity.accepted(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +39,13 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Texts without the paragraphs that an earlier document has as well; documents of which nothing is left go."""
     cut = paragraphs.remove(docs)
     had = F.coalesce(F.col("n_chars"), F.lit(0)) > 0
-    return cut.where(~had | (F.length(F.trim(F.col("text"))) > 0))
+    left = cut.where(~had | (F.length(F.trim(F.col("text"))) > 0))
+    return left.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontam.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.columns).where("n_hits = 0").select(*docs.columns)
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

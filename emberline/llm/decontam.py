@@ -168,6 +168,12 @@ class Index:
         return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, errors: float = 0.05, least_chars: int = 32) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns, whatever those are called."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    return find(whole, benchmark, ["row"], errors, least_chars).where("n_hits = 0").select("row.*")
+
+
 def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], errors: float = 0.05, least_chars: int = 32) -> DataFrame:
     """``keep`` columns with n_hits, item_ids and hits (item_id, first, last, distance) of each row of ``docs``."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]

@@ -241,3 +241,9 @@ def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = 0.7
 
     columns = [F.col(c) for c in keep] + ([] if "text" in keep else [F.col("text")])
     return docs.select(*columns).mapInArrow(run, f"{fields}, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` under the threshold, with all their columns, whatever those are called."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    return score(whole, model, ["row"], threshold).where("predicted = 0").select("row.*")
