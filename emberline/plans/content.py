@@ -204,3 +204,37 @@ def clean_labels(spark, d):
 def type_scoped_names(spark, d):
     n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
     return A.table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("-"), F.format_string("%03d", n)).alias("name"))
+
+
+_LINKS = [(0, 1), (1, 2), (2, 3)]
+
+
+@query("typed_neighbours", f"WITH t AS ({_BOX.format('0')}), c AS (SELECT image, id, class_id, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM t), n AS (SELECT a.image, a.id AS source_id, b.id AS target_id, sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2)) AS dist FROM c a JOIN c b ON a.image = b.image AND b.class_id = a.class_id + 1) SELECT image, source_id, target_id, round(dist, 6) AS distance FROM n QUALIFY row_number() OVER (PARTITION BY image, source_id ORDER BY dist, target_id) <= 2")
+def typed_neighbours(spark, d):
+    b = _boxes(spark, d, 0).withColumnRenamed("class_id", "kind")
+    return D.typed_neighbours(b, "image", spark.createDataFrame(_LINKS, "kind int, to int")).withColumn("distance", F.round("distance", 6))
+
+
+@query("degree_capped_links")
+def degree_capped_links(spark, d):
+    b = _boxes(spark, d, 0).select("image", "id", "x1", "y1")
+    a, c = b.alias("a"), b.alias("c")
+    pairs = a.join(c, (F.col("a.image") == F.col("c.image")) & (F.col("a.id") < F.col("c.id"))).select(F.col("a.image").alias("image"), F.col("a.id").alias("a"), F.col("c.id").alias("b"), F.hypot(F.col("a.x1") - F.col("c.x1"), F.col("a.y1") - F.col("c.y1")).alias("distance"))
+    return D.degree_capped(pairs.where("distance <= 120"), "image")
+
+
+@query("case_library", "WITH c AS (SELECT strftime(ts, '%Y-%m-%d') AS day, 'D' || (user_id % 5) AS diagram, count(*) AS n FROM events GROUP BY ALL) SELECT 'ent_' || day AS case_id, 'enterprise' AS mode, CAST(sum(n) AS BIGINT) AS event_count FROM c GROUP BY day UNION ALL SELECT 'topo_' || day || '_' || diagram, 'topology', n FROM c")
+def case_library(spark, d):
+    e = A.table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.concat(F.lit("D"), (F.col("user_id") % 5).cast("string")).alias("diagram"))
+    n = e.rollup("day", "diagram").agg(F.count(F.lit(1)).alias("event_count")).where("day is not null")
+    whole = F.col("diagram").isNull()
+    return n.select(F.when(whole, F.concat(F.lit("ent_"), "day")).otherwise(F.concat(F.lit("topo_"), "day", F.lit("_"), "diagram")).alias("case_id"), F.when(whole, "enterprise").otherwise("topology").alias("mode"), "event_count")
+
+
+@query("preference_pairs", "WITH r AS (SELECT conv_id, arg_max(text, turn) AS chosen, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY ALL), u AS (SELECT conv_id, arg_min(text, turn) AS prompt FROM conversations WHERE role = 'user' GROUP BY ALL) SELECT conv_id, md5(prompt) AS prompt, md5(chosen) AS chosen, CASE WHEN conv_id % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM r JOIN u USING (conv_id)")
+def preference_pairs(spark, d):
+    c = A.table(spark, d, "conversations")
+    r = c.where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("chosen"))
+    u = c.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
+    md5 = lambda n: F.md5(F.col(n).cast("binary")).alias(n)
+    return r.join(u, "conv_id").select("conv_id", md5("prompt"), md5("chosen"), F.when(F.col("conv_id") % 5 == 0, "val").otherwise("train").alias("split"))
