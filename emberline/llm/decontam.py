@@ -196,7 +196,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], errors: float =
                     rows = [sorted((*(b or []), *r), key=lambda h: tuple(h.values())) for b, r in zip(batch.column("hits").to_pylist(), rows)]
                 yield pa.RecordBatch.from_arrays([*K.take(batch, 0, batch.num_rows, columns), pa.array(rows, pa.list_(hit))], [*columns, "hits"])
 
-        return source.mapInArrow(run, f"{spec}, hits array<struct<item_id:long,first:long,last:long,distance:long>>")
+        return source.mapInArrow(K.released(run), f"{spec}, hits array<struct<item_id:long,first:long,last:long,distance:long>>")
 
     source = docs.select(*keep, F.col("text").alias("_text"))
     for p in range(passes):

@@ -98,13 +98,15 @@ def close_sets(n_a: Column, n_b: Column, apart: Column, percent: int) -> Column:
     return apart * (100 + percent) <= (n_a + n_b) * (100 - percent)
 
 
-def link(bands: DataFrame, sketches: DataFrame, near: Callable[[str, str], Column], percent: int, verify: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], tuple[DataFrame, DataFrame]], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def link(bands: DataFrame, sketches: DataFrame, near: Callable[[str, str], Column], percent: int, sets_of: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], tokens: Callable[[DataFrame], tuple[DataFrame, DataFrame]], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Labels (node, root) and verified links (a, b) of ``percent`` similarity.
 
     ``bands``: bucket, node (written). ``sketches``: node, sketch, also more than once. Candidates of
-    which ``near`` does not hold for their sketches are passed by; ``verify``
-    keeps the true links of a table of candidates (a, b); ``tokens`` gives the
-    sets (node, n, token) and parities (node, odd) of a table with ``node``.
+    which ``near`` does not hold for their sketches are passed by. ``sets_of``
+    gives the sets of a table with ``node``; they are made once, for all nodes
+    that share a bucket. ``verify`` keeps the true links of a table of candidates
+    (a, b), given the sets; ``tokens`` unpacks sets to (node, n, token) and their
+    parities (node, odd).
     """
 
     def promising(pairs: DataFrame) -> DataFrame:
@@ -124,8 +126,9 @@ def link(bands: DataFrame, sketches: DataFrame, near: Callable[[str, str], Colum
     shared = scratch.write(bands.join(bounded(heads), "bucket").distinct(), "shared")
     nodes = scratch.write(shared.select("node").distinct(), "nodes")
     own = scratch.write(sketches.join(bounded(nodes), "node", "left_semi").dropDuplicates(["node"]), "sketches")
+    sets = scratch.write(sets_of(nodes), "sets")
     tested = scratch.write(promising(shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()), "pairs")
-    edges = scratch.write(verify(tested), "links")
+    edges = scratch.write(verify(tested, sets), "links")
     labels = scratch.write(components(edges, scratch), "labels")
     live = apart(shared)
     for turn in range(STAR_TURNS):
@@ -133,7 +136,7 @@ def link(bands: DataFrame, sketches: DataFrame, near: Callable[[str, str], Colum
         centres = live.groupBy("bucket").agg(F.min_by("node", mark).alias("centre"), F.min_by("root", mark).alias("centre_root"))
         pairs = live.join(centres, "bucket").where("root <> centre_root").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         pairs = scratch.write(promising(pairs.join(tested, ["a", "b"], "left_anti")), "pairs")
-        found = scratch.write(verify(pairs), "links")
+        found = scratch.write(verify(pairs, sets), "links")
         tested, edges = tested.union(pairs), edges.union(found)
         if found.isEmpty():
             break
@@ -142,8 +145,8 @@ def link(bands: DataFrame, sketches: DataFrame, near: Callable[[str, str], Colum
 
     rest = scratch.write(live.select("node", "root").distinct(), "rest")
     # All tested pairs have a < b as well.
-    pairs = scratch.write(prefix_pairs(rest, *tokens(rest), percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    pairs = scratch.write(prefix_pairs(rest, *tokens(sets.join(rest.select("node"), "node", "left_semi")), percent).join(tested, ["a", "b"], "left_anti"), "pairs")
     if pairs.isEmpty():
         return labels, edges
-    edges = edges.union(scratch.write(verify(pairs), "links"))
+    edges = edges.union(scratch.write(verify(pairs, sets), "links"))
     return scratch.write(components(edges, scratch), "labels"), edges

@@ -101,7 +101,7 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
                 keyed = [pa.array(keys[:, i], mask=~some) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*K.take(batch, first, len(n), ["doc_id"]), pa.array(n, pa.int64()), *keyed, _rows(band_keys(mins, ROWS)), _rows(sketch(mins))], ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(K.released(run), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -116,7 +116,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 keys = _set_keys(sets, inner) if some.any() else np.zeros((0, 2), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([sets[inner[i] : inner[i + 1]].tobytes() for i in range(len(inner) - 1)], pa.binary())], ["k1", "k2", "set"])
 
-    return docs.select("text").mapInArrow(run, "k1 long, k2 long, set binary")
+    return docs.select("text").mapInArrow(K.released(run), "k1 long, k2 long, set binary")
 
 
 def unpacked(sets: DataFrame) -> DataFrame:
@@ -124,11 +124,12 @@ def unpacked(sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for node, packed in zip(batch.column("node").to_pylist(), batch.column("set").to_pylist()):
-                values = np.frombuffer(packed, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), node)), pa.array(np.full(len(values), len(values))), pa.array(values)], ["node", "n", "token"])
+            for first, data, offsets in K.blocks(batch.column("set")):
+                n = np.diff(offsets) // 8
+                nodes = K.take(batch, first, len(n), ["node"])[0].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, n)), pa.array(np.repeat(n, n)), pa.array(np.frombuffer(data.tobytes(), np.int64))], ["node", "n", "token"])
 
-    return sets.mapInArrow(run, "node long, n long, token long")
+    return sets.mapInArrow(K.released(run), "node long, n long, token long")
 
 
 def odd_cells(tokens: np.ndarray, at: np.ndarray, longs: int = PARITY_LONGS) -> np.ndarray:
@@ -145,11 +146,11 @@ def parities(sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            data, offsets = K.flat(batch.column("set"))
-            odd = odd_cells(np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.uint64), (offsets - offsets[0]) // 8)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _rows(odd)], ["node", "odd"])
+            for first, data, offsets in K.blocks(batch.column("set")):
+                odd = odd_cells(np.frombuffer(data.tobytes(), np.uint64), offsets // 8)
+                yield pa.RecordBatch.from_arrays([*K.take(batch, first, len(odd), ["node"]), _rows(odd)], ["node", "odd"])
 
-    return sets.mapInArrow(run, "node long, odd array<long>")
+    return sets.mapInArrow(K.released(run), "node long, odd array<long>")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,7 +172,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(K.released(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
@@ -200,18 +201,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
             chosen = chosen.union(texts.where("doc_id is null"))
         return _sets(chosen, size).join(bounded(need.select("node", "k1", "k2"), rows), ["k1", "k2"]).dropDuplicates(["node"]).select("node", "set")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        return overlaps(pairs, scratch.write(sets_of(nodes), "sets"), percent)
+    def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        return overlaps(pairs, sets, percent)
 
-    def tokens(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        sets = scratch.write(sets_of(nodes.select("node")), "rest-sets")
+    def tokens(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         return unpacked(sets), parities(sets)
 
     # The estimate may be five standard deviations under the limit.
     k, chance = BANDS * ROWS, percent / 100 * 0.75 + 0.25
     least = percent / 100 - 5 * math.sqrt(chance * (1 - chance) / k) / 0.75
-    labels, _ = link(bands, one.select("node", "sketch"), lambda a, b: agreement(a, b, k) >= least, percent, verify, tokens, scratch)
+    labels, _ = link(bands, one.select("node", "sketch"), lambda a, b: agreement(a, b, k) >= least, percent, sets_of, verify, tokens, scratch)
 
     rooted = classes.join(labels, "node", "left").select("k1", "k2", "doc_id", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("k1", "k2", "component_id")

@@ -94,7 +94,7 @@ def units(docs: DataFrame, least: int) -> DataFrame:
                     ["doc_id", "th", "line", "first", "last", "words", "node", "bands", "sketch"],
                 )
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, th long, line int, first long, last long, words long, node long, bands array<long>, sketch array<long>")
+    return _keyed(docs).mapInArrow(K.released(run), "doc_id long, th long, line int, first long, last long, words long, node long, bands array<long>, sketch array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def _paragraph_sets(docs: DataFrame, least: int) -> DataFrame:
                 sets, at = _distinct(shingles, starts)
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array([sets[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)], pa.binary())], ["node", "set"])
 
-    return docs.select("text").mapInArrow(run, "node long, set binary")
+    return docs.select("text").mapInArrow(K.released(run), "node long, set binary")
 
 
 def repeats(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -128,22 +128,20 @@ def repeats(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS) -> tup
     table = scratch.write(units(docs, least), "units")
     bands = table.select("node", F.explode("bands").alias("bucket"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        nodes = scratch.write(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "need")
-        return overlaps(pairs, scratch.write(sets_of(nodes), "sets"), percent)
-
     def sets_of(nodes: DataFrame) -> DataFrame:
         return _paragraph_sets(docs, least).join(bounded(nodes.select("node")), "node", "left_semi").dropDuplicates(["node"])
 
-    def tokens(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        sets = scratch.write(sets_of(nodes), "rest-sets")
+    def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        return overlaps(pairs, sets, percent)
+
+    def tokens(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         return unpacked(sets), parities(sets)
 
     # A sketch is the set's size and its parities, which bound the similarity from above.
     def near(a: str, b: str) -> Column:
         return close_sets(F.col(a)[0], F.col(b)[0], parity_distance(F.col(a), F.col(b), 1, SKETCH_LONGS), percent)
 
-    labels, _ = link(bands, table.select("node", "sketch"), near, percent, verify, tokens, scratch)
+    labels, _ = link(bands, table.select("node", "sketch"), near, percent, sets_of, verify, tokens, scratch)
     places = table.select("doc_id", "th", "line", "first", "last", "node")
     rooted = places.join(bounded(labels), "node", "left").select("doc_id", "th", "line", "first", "last", F.coalesce("root", "node").alias("root"))
     many = scratch.write(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root"), "many")
@@ -200,4 +198,4 @@ def remove(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS) -> Data
                     texts[i] = b"".join([*parts, raw[last:]]).decode()
             yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(names)
 
-    return joined.select(*names, gone).mapInArrow(cut, docs.schema)
+    return joined.select(*names, gone).mapInArrow(K.released(cut), docs.schema)

@@ -8,10 +8,14 @@ bounds the memory of a Python worker whatever the size of an Arrow batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -140,5 +144,25 @@ def shingles(hashes: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[np.n
     return mix(out), at
 
 
+def release() -> None:
+    """Gives memory that a task no longer uses back to the machine; workers serve later tasks too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(task):
+    """``task``, an iterator over batches, with ``release`` at its end."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
+
+
 def take(batch: pa.RecordBatch, first: int, count: int, names: list[str]) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(n)).slice(first, count) for n in names]

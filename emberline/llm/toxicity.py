@@ -38,7 +38,7 @@ _REPEAT = re.compile(r"([A-Za-z])\1\1")
 PREFIXES = (4, 5, 6)
 LIMITS = (2.5, 4.0)
 MAX_TERMS = 20_000
-MEMO = 300_000
+MEMO = 100_000
 FOLDS = 4
 
 _CLASS = np.zeros(256, np.int64)
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Model:
         return Model({}, None, None, float(toxic_rows > 0))
 
     def by_fold(rows: DataFrame, wanted: frozenset | None) -> DataFrame:
-        counts = rows.mapInArrow(_counted(wanted), "fold int, term string, n long")
+        counts = rows.mapInArrow(K.released(_counted(wanted)), "fold int, term string, n long")
         return counts.groupBy("term").agg(*[F.sum(F.when(F.col("fold") == h, F.col("n")).otherwise(0)).alias(f"n{h}") for h in range(FOLDS)])
 
     total = sum((F.col(f"n{h}") for h in range(1, FOLDS)), F.col("n0"))
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Model:
                     x[rows] = makers[h].matrix(batch.column("text").take(pa.array(rows)))
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column("toxic"), batch.column("fold")], ["x", "toxic", "fold"])
 
-    rows = sample.mapInArrow(features, "x array<double>, toxic int, fold int").toPandas().sort_values(["fold", "toxic", "x"], key=lambda c: c.map(str) if c.name == "x" else c)
+    rows = sample.mapInArrow(K.released(features), "x array<double>, toxic int, fold int").toPandas().sort_values(["fold", "toxic", "x"], key=lambda c: c.map(str) if c.name == "x" else c)
     x, y, fold = np.array(rows["x"].tolist()), rows["toxic"].to_numpy(float), rows["fold"].to_numpy()
     keep = _weights(y, clean_step, toxic_step)
     margins = np.zeros(len(y))
@@ -240,7 +240,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = 0.7
             yield pa.RecordBatch.from_arrays([*K.take(batch, 0, batch.num_rows, keep), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], [*keep, "score", "predicted"])
 
     columns = [F.col(c) for c in keep] + ([] if "text" in keep else [F.col("text")])
-    return docs.select(*columns).mapInArrow(run, f"{fields}, score double, predicted int")
+    return docs.select(*columns).mapInArrow(K.released(run), f"{fields}, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
