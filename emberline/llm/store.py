@@ -22,10 +22,12 @@ in an arbitrary but fixed order.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,29 @@ _RING = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, 1 << 16, dtyp
 _UNSAFE = re.compile(r" \s|\0")
 #: Marks that stand next to others, after a space, or at a line's end with more white space: pieces aren't cut at marks then.
 _MARKS = re.compile(r"(?:[^\w\s]|_){2}| [.,]|\s\n|\n[^\S ]")
+# Kinds of bytes, for a test of whole blocks: marks, white space, and what only the patterns above can judge.
+_MARK, _WHITE, _ODD = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+_WHITE[[32, *range(9, 14)]] = True
+_ODD[[0, *range(1, 9), *range(14, 32), 127]] = True
+_ODD[192:] = True
+_ODD[0xC3] = False  # letters of Western languages, but for two signs
+
+
+def plain_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts of a block that surely can be cut at spaces, points, commas and line ends."""
+    bad = _ODD[data]
+    if len(data) > 1:
+        here, after = data[:-1], data[1:]
+        white, mark = _WHITE[data], _MARK[data]
+        pairs = (mark[:-1] & mark[1:]) | ((here == 32) & (white[1:] | (after == 46) | (after == 44))) | (white[:-1] & (after == 10)) | ((here == 10) & white[1:] & (after != 32))
+        # Multiplication and division signs are no letters.
+        pairs |= (here == 0xC3) & ((after == 0x97) | (after == 0xB7))
+        bad[:-1] |= pairs
+    at = np.flatnonzero(bad)
+    return np.searchsorted(at, offsets[1:]) == np.searchsorted(at, offsets[:-1])
+
+
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -69,18 +94,31 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
         self.memo: dict[str, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        before = made.get("pre_tokenizer") or {}
+        self.cuts = made["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not made.get("normalizer")
+        # A byte-level vocabulary writes each byte as one printable character: its own, or one of those from 256.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in own]
+        self.shown = {b: chr(256 + k) for k, b in enumerate(others)}
+
+    def _word(self, piece: str) -> bytes:
+        """Ids of letters, with or without a space before them: one pre-token."""
+        tokens = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))
+        return array("H" if self.width == 2 else "I", [t.id for t in tokens]).tobytes()
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array("H" if self.width == 2 else "I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian integers of ``width`` bytes."""
+    def encode(self, texts: list[str], plain: np.ndarray | None = None) -> list[bytes]:
+        """The ids of each text as little-endian integers of ``width`` bytes; ``plain`` texts need no test."""
         split: list[list[str] | None] = []
-        for t in texts:
-            if _UNSAFE.search(t):
+        for i, t in enumerate(texts):
+            sure = plain is not None and plain[i]
+            if not self.cuts or (not sure and _UNSAFE.search(t)):
                 split.append(None)
                 continue
-            marks = _MARKS.search(t)
+            marks = not sure and _MARKS.search(t)
             t = t.replace(" ", "\0 ")
             if not marks:
                 t = t.replace(".", "\0.\0").replace(",", "\0,\0").replace("\n", "\0\n\0")
@@ -88,9 +126,15 @@ class Encoder:
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo = self.memo
-        new = list({p for pieces in split if pieces for p in pieces if p not in memo})
-        for k in range(0, len(new), 4096):
-            memo.update(zip(new[k : k + 4096], self._raw(new[k : k + 4096])))
+        new = list(set(chain.from_iterable(p for p in split if p is not None)).difference(memo))
+        rest = []
+        for p in new:
+            if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
+                memo[p] = self._word(p)
+            else:
+                rest.append(p)
+        for k in range(0, len(rest), 4096):
+            memo.update(zip(rest[k : k + 4096], self._raw(rest[k : k + 4096])))
         whole = iter(self._raw([t for t, pieces in zip(texts, split) if pieces is None]))
         return [next(whole) if pieces is None else b"".join(map(memo.__getitem__, pieces)) for pieces in split]
 
@@ -198,10 +242,10 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int) -> None:
         sent: set[bytes] = set()
         for batch in batches:
             keys, column = batch.column("doc_id"), batch.column("text")
-            for first, _, offsets in K.blocks(column):
+            for first, data, offsets in K.blocks(column, 1 << 21):
                 texts = [t or "" for t in column.slice(first, len(offsets) - 1).to_pylist()]
                 doc, place, n, digest, ids = [], [], [], [], []
-                for i, raw in enumerate(encoder.encode(texts)):
+                for i, raw in enumerate(encoder.encode(texts, plain_texts(data, offsets))):
                     raw += end
                     last = 0
                     for p, c in enumerate(cut_points(np.frombuffer(raw, encoder.kind))):

@@ -2,25 +2,31 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from emberline.llm import store
+from emberline.llm import textkernel as K
 from emberline.llm.queries import _tokenizer_path
 from emberline.llm.scratch import Scratch
 
 from .helpers import docs, prose
 
 PATH = _tokenizer_path("byte_bpe_50k.json")
-HARD = ["", "a", "  two  spaces ", "tab\t and \n\n lines\r\n", "it's we'll 'd", "3.5, 4,000.00...", "x<|endoftext|>y <|endoftext|> ", "a\0b", "é ñ. ß,ü", " lead", "end\n", ".,", "a .b ,c", " x  y", "日本語。テスト 12", "_a_ b_c.", "é. x", "p.\nq,\n r", "... \n"]
+HARD = ["", "a", "  two  spaces ", "tab\t and \n\n lines\r\n", "it's we'll 'd", "3.5, 4,000.00...", "x<|endoftext|>y <|endoftext|> ", "a\0b", "é ñ. ß,ü", " lead", "end\n", ".,", "a .b ,c", " x  y", "日本語。テスト 12", "_a_ b_c.", "é. x", "p.\nq,\n r", "a×. b", "a—.b", "ok. Fine, then.\nNext é ñ", "... \n"]
 
 
 def test_pieces_give_the_library_s_ids():
     t = Tokenizer.from_file(PATH)
     e = store.Encoder(PATH)
     r = random.Random(3)
-    texts = HARD + ["".join(r.choice(["a", "The", " ", " ", ".", ",", "\n", "'s", "9", "é", "|", "\t", "-"]) for _ in range(r.randint(0, 60))) for _ in range(3000)]
-    for text, raw in zip(texts, e.encode(texts)):
+    texts = HARD + ["".join(r.choice(["a", "The", "an", "of", " ", " ", ".", ",", "\n", "'s", "9", "é", "|", "\t", "-"]) for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    column = pa.array(texts)
+    plain = np.concatenate([store.plain_texts(data, offsets) for _, data, offsets in K.blocks(column, 500)])
+    assert plain.any() and not plain.all()
+    for text, raw, raw2 in zip(texts, e.encode(texts), e.encode(texts, plain)):
+        assert raw == raw2, repr(text)
         assert np.frombuffer(raw, e.kind).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
