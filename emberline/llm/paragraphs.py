@@ -9,6 +9,12 @@ and of each class every occurrence but the first (by document and line) goes.
 Paragraphs with the same words are one node, named by a 64-bit hash of them, so
 that copies cost no comparisons.
 
+Besides, every run of PASSAGE words that stands in an earlier place is a
+repeated passage, however its lines are broken and whatever stands around it.
+Each such run names a seed, the least hash of its runs of SEED words; only runs
+whose seed is in two places are looked at, so equal runs always meet. A text
+equal to another document's is one passage and costs no runs.
+
 Defined results: null and empty texts have no paragraph; rows equal in doc_id
 and text are one document, so that each keeps its text; a null doc_id comes
 before all others; extra columns stay as they are.
@@ -27,6 +33,7 @@ from emberline.llm.minhash import _distinct, _rows, band_keys, minima, odd_cells
 from emberline.llm.scratch import Scratch, fresh
 
 LEAST_WORDS, BANDS, ROWS, SKETCH_LONGS = 20, 10, 4, 4
+PASSAGE, SEED = 50, 25
 _NEWLINE = 10
 
 
@@ -152,11 +159,132 @@ def repeats(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS) -> tup
     return scratch.write(out, "occurrences"), table
 
 
+def _runs(data: np.ndarray, offsets: np.ndarray):
+    """Word hashes, starts and ends, each text's first word and number of runs of PASSAGE words."""
+    starts, ends, first = K.word_spans(data, offsets)
+    return K.span_hashes(K.LOWER[data], starts, ends), starts, ends, first, np.maximum(np.diff(first) - PASSAGE + 1, 0)
+
+
+def _seeds(hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The seed of each run of PASSAGE words."""
+    least, at = K.shingles(hashes, first, SEED)
+    done, span = 1, PASSAGE - SEED + 1
+    while done < span:
+        step = min(done, span - done)
+        least = np.minimum(least[:-step], least[step:])
+        done += step
+    begin = np.concatenate([[0], np.cumsum(count)])
+    return least[np.repeat(at[:-1] - begin[:-1], count) + np.arange(int(begin[-1]))]
+
+
+def _seed_rows(docs: DataFrame) -> DataFrame:
+    """th, seed, at (first run << 32 | runs) of adjacent runs of one seed, and whether the text has the seed again."""
+
+    def run(batches):
+        for batch in batches:
+            for row, data, offsets in K.blocks(batch.column("text")):
+                hashes, _, _, first, count = _runs(data, offsets)
+                if not count.any():
+                    continue
+                seed, owner = _seeds(hashes, first, count), np.repeat(np.arange(len(count)), count)
+                new = np.ones(len(seed), bool)
+                new[1:] = (seed[1:] != seed[:-1]) | (owner[1:] != owner[:-1])
+                cut = np.flatnonzero(new)
+                size, text, seed = np.diff(np.append(cut, len(new))), owner[cut], seed[cut]
+                _, which, times = np.unique(seed ^ K.mix(text.astype(np.uint64) + np.uint64(1)), return_inverse=True, return_counts=True)
+                number = cut - np.searchsorted(owner, text)
+                again = (times[which] > 1) | (size > PASSAGE - SEED + 1)
+                yield pa.RecordBatch.from_arrays([batch.column("th").take(pa.array(row + text)), pa.array(seed.view(np.int64)), pa.array((number << 32) | size), pa.array(again)], ["th", "seed", "at", "again"])
+
+    return _keyed(docs).select("th", "text").mapInArrow(K.released(run), "th long, seed long, at long, again boolean")
+
+
+def _run_rows(texts: DataFrame) -> DataFrame:
+    """doc_id, th, first and last byte and hash of the runs that ``at`` names."""
+
+    def run(batches):
+        for batch in batches:
+            for row, data, offsets in K.blocks(batch.column("text")):
+                hashes, starts, ends, first, count = _runs(data, offsets)
+                if not count.any():
+                    continue
+                named = batch.column("at").slice(row, len(count))
+                at, owner = named.flatten().to_numpy(), np.repeat(np.arange(len(count)), named.value_lengths().to_numpy())
+                size = at & 0xFFFFFFFF
+                number = np.repeat((at >> 32) - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                owner = np.repeat(owner, size)
+                passages, begin = K.shingles(hashes, first, PASSAGE)
+                word, base, ids = first[owner] + number, offsets[owner], pa.array(row + owner)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(ids), batch.column("th").take(ids), pa.array(starts[word] - base), pa.array(ends[word + PASSAGE - 1] - base), pa.array(passages[begin[owner] + number].view(np.int64))],
+                    ["doc_id", "th", "first", "last", "run"],
+                )
+
+    return texts.select("doc_id", "th", "text", "at").mapInArrow(K.released(run), "doc_id long, th long, first long, last long, run long")
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """doc_id, th, first and last byte of the words of each text with PASSAGE words or more."""
+
+    def run(batches):
+        for batch in batches:
+            for row, data, offsets in K.blocks(batch.column("text")):
+                starts, ends, first = K.word_spans(data, offsets)
+                keep = np.flatnonzero(np.diff(first) >= PASSAGE)
+                if len(keep):
+                    ids = pa.array(row + keep)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(ids), batch.column("th").take(ids), pa.array(starts[first[keep]] - offsets[keep]), pa.array(ends[first[keep + 1] - 1] - offsets[keep])], ["doc_id", "th", "first", "last"])
+
+    return _keyed(docs).mapInArrow(K.released(run), "doc_id long, th long, first long, last long")
+
+
+def merged(spans: list[dict]) -> list[dict]:
+    """Sorted spans, those that touch as one."""
+    out: list[dict] = []
+    for s in spans:
+        if out and s["first"] <= out[-1]["last"]:
+            out[-1]["last"] = max(out[-1]["last"], s["last"])
+        else:
+            out.append(dict(s))
+    return out
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """doc_id, th, passages (spans of words that stand in an earlier place) and holders (documents of those places), written."""
+    scratch = Scratch(docs.sparkSession, "passages")
+    whole = scratch.write(_whole(docs), "whole")
+    owners = scratch.write(whole.groupBy("th").agg(F.min(F.struct("doc_id")).alias("owner")), "owners")
+    copies = whole.join(bounded(owners), "th").where(~F.col("doc_id").eqNullSafe(F.col("owner.doc_id"))).select("doc_id", "th", "first", "last", F.col("owner.doc_id").alias("holder"))
+    seeds = scratch.write(_seed_rows(docs), "seeds")
+    many = scratch.write(seeds.groupBy("seed").agg(F.min("th").alias("a"), F.max("th").alias("b"), F.max("again").alias("again")).where("a <> b or again").select("seed"), "many")
+    # Copies of a text have the same seeds; its owner alone gives runs.
+    named = seeds.join(bounded(many), "seed", "left_semi").select("th", "at").distinct().groupBy("th").agg(F.collect_list("at").alias("at"))
+    named = scratch.write(named.join(owners, "th").select(F.col("owner.doc_id").alias("_d"), F.col("th").alias("_t"), "at"), "named")
+    keyed = _keyed(docs)
+    runs = scratch.write(_run_rows(keyed.join(bounded(named), keyed["doc_id"].eqNullSafe(F.col("_d")) & (keyed["th"] == F.col("_t")))), "runs")
+    scratch.drop(seeds, many)
+    place = F.struct("doc_id", "th", "first", "last")
+    heads = scratch.write(runs.groupBy("run").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head <> tail").select("run", "head"), "heads")
+    apart = ~(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("th") == F.col("head.th")))
+    # A run that overlaps its own first place, as in a text of one word over and over, stays.
+    later = runs.join(bounded(heads), "run").where(apart | (F.col("first") >= F.col("head.last"))).select("doc_id", "th", "first", "last", F.col("head.doc_id").alias("holder"))
+    rows = later.unionByName(copies).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("passages"), F.array_sort(F.collect_set("holder")).alias("holders"))
+
+    def joined(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("passages")
+            kind = batch.schema.field(at).type
+            yield batch.set_column(at, "passages", pa.array([merged(x) for x in batch.column(at).to_pylist()], kind))
+
+    return scratch.write(rows.mapInArrow(K.released(joined), "doc_id long, th long, passages array<struct<first:long,last:long>>, holders array<long>"), "passages")
+
+
 def duplicates(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS) -> DataFrame:
     """For each row of ``docs``: doc_id, numbers of paragraphs, of repeated and of removed ones, keepers and spans of the removed.
 
-    ``keepers`` are the documents that hold the kept copies; ``classes`` name the
-    components of all repeated paragraphs; ``spans`` are bytes of the text.
+    ``keepers`` are the documents that hold the kept copies, of passages too;
+    ``classes`` name the components of all repeated paragraphs; ``spans`` (of
+    removed paragraphs) and ``passages`` are bytes of the text.
     """
     found, table = repeats(docs, percent, least)
     gone = ~F.col("kept")
@@ -169,18 +297,29 @@ def duplicates(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS) ->
     )
     totals = table.dropDuplicates(["doc_id", "th", "line"]).groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n_paragraphs"))
     rows = _keyed(docs).select("doc_id", "th")
-    for other in (totals, by_doc):
+    for other in (totals, by_doc, passages(docs)):
         renamed = other.withColumnsRenamed({"doc_id": "_d", "th": "_t"})
         rows = rows.join(renamed, rows["doc_id"].eqNullSafe(renamed["_d"]) & (rows["th"] == renamed["_t"]), "left").drop("_d", "_t")
-    empty = {"keepers": "array<long>", "classes": "array<long>", "spans": "array<struct<first:long,last:long>>"}
-    return rows.select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_paragraphs", "n_repeated", "n_removed")], *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in empty.items()])
+    rows = rows.withColumn("keepers", F.array_sort(F.array_union(F.coalesce("keepers", F.array().cast("array<long>")), F.coalesce("holders", F.array().cast("array<long>")))))
+    rows = rows.withColumn("n_passages", F.size(F.coalesce("passages", F.array())))
+    empty = {"keepers": "array<long>", "classes": "array<long>", "spans": "array<struct<first:long,last:long>>", "passages": "array<struct<first:long,last:long>>"}
+    return rows.select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_paragraphs", "n_repeated", "n_removed", "n_passages")], *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in empty.items()])
+
+
+def _after(raw: bytes, first: int, last: int) -> int:
+    """Where a removed passage ends with the blanks after it, and with its line break if it began its line."""
+    while last < len(raw) and raw[last] != _NEWLINE and K.SEPARATOR[raw[last]]:
+        last += 1
+    return last + (last < len(raw) and raw[last] == _NEWLINE and (not first or raw[first - 1] == _NEWLINE))
 
 
 def remove(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with the removed paragraphs cut out of ``text``; all rows and other columns stay."""
+    """``docs`` with the removed paragraphs and repeated passages cut out of ``text``; all rows and other columns stay."""
     found, _ = repeats(docs, percent, least)
     d, t, th, gone = (fresh(docs, x) for x in ("_d", "_t", "_th", "_spans"))
-    spans = found.where(~F.col("kept")).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias(gone)).withColumnsRenamed({"doc_id": d, "th": t})
+    lines = found.where(~F.col("kept")).select("doc_id", "th", "first", "last", F.lit(False).alias("inner"))
+    inner = passages(docs).select("doc_id", "th", F.inline("passages"), F.lit(True).alias("inner"))
+    spans = lines.unionByName(inner).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("first", "last", "inner"))).alias(gone)).withColumnsRenamed({"doc_id": d, "th": t})
     names = docs.columns
     keyed = docs.withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = keyed.join(spans, keyed["doc_id"].cast("long").eqNullSafe(spans[d]) & (keyed[th] == spans[t]), "left").drop(d, t, th)
@@ -192,7 +331,7 @@ def remove(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS) -> Data
             for i, spans_ in enumerate(batch.column(gone).to_pylist()):
                 if spans_:
                     raw, last, parts = texts[i].encode(), 0, []
-                    for s in spans_:
+                    for s in merged([{"first": x["first"], "last": _after(raw, x["first"], x["last"]) if x["inner"] else x["last"]} for x in spans_]):
                         parts.append(raw[last : s["first"]])
                         last = s["last"]
                     texts[i] = b"".join([*parts, raw[last:]]).decode()

@@ -62,8 +62,8 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated paragraphs of all documents: five words, similarity 0.8."""
-    return paragraphs.duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), 80).drop("spans")
+    """Repeated paragraphs of all documents: five words, similarity 0.8; repeated passages of 50 words or more."""
+    return paragraphs.duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), 80).drop("spans", "passages")
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
