@@ -6,6 +6,7 @@ Each round's result is checkpointed in the shared folder of
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 import numpy as np
@@ -33,12 +34,15 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.union(e.select("target", "source")).distinct()
 
 
-def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 7) -> DataFrame:
-    """root, node, depth: all that each root (a table with ``root``) reaches, itself left out, at its least depth."""
+def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """root, node, depth: all that each root (a table with ``root``) reaches, itself left out, at its least depth.
+
+    Without ``max_depth`` rounds go on until none finds a further node.
+    """
     edges = cut(edges.select("source", "target"))
     seen = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["source"]).select("root", F.col("target").alias("node")).distinct()
         frontier = cut(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():

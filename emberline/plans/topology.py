@@ -227,7 +227,7 @@ def propagation_features(spark, d):
 def topology_root_cause(spark, d):
     al = A.alerts(spark, d)
     nodes = G.cut(al.select(F.col("node").alias("root")).distinct())
-    reached = G.reach(G.directed(A.edges(spark, d)), nodes, 7).groupBy("root").agg(F.count(F.lit(1)).alias("desc_n"))
+    reached = G.reach(G.directed(A.edges(spark, d)), nodes).groupBy("root").agg(F.count(F.lit(1)).alias("desc_n"))
     weight = F.when(F.col("severity") == "critical", 4).when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).otherwise(1)
     j = al.join(reached, al["node"] == reached["root"], "left")
     s = j.groupBy("case_id", "node").agg(F.round(F.sum(2 * weight + 10.0 / (1 + F.col("t")) + 3.0 * F.coalesce("desc_n", F.lit(0)) / 130), 6).alias("score"))
