@@ -8,6 +8,8 @@ string without which the regex cannot match; it gates the rule.
 
 from __future__ import annotations
 
+import re
+
 #: Label, SPDX identifier's words, and the names that a notice may use (regex, and its keyword).
 LICENSES = [
     ("mit", "mit", r"(?:mit|expat|x11) licen[sc]e", "licen"),
@@ -132,3 +134,24 @@ def rules() -> list[tuple[str, str, str, int]]:
             out.append((label, rf"(?<= ){frame}(?:{names})(?= )", keyword, rank + int(5 * exact)))
     out.extend((label, rf"(?<= ){regex}(?= )", keyword, 20) for label, regex, keyword in NOTICES)
     return out
+
+
+#: For keywords too short to tell anything, phrases of which each match of their rules holds one.
+_SHORT = {"c": ("cc0", "cc by", "cc attribution", "creative commons"), "w": ("wtfpl", "do what the fuck")}
+
+
+def _needs_license(names: str) -> bool:
+    """Whether each alternative has the word license outside of its groups."""
+    before = ""
+    while before != names:
+        before, names = names, re.sub(r"\(\?:[^()]*\)\??", "", names)
+    return all("licen[sc]e" in p for p in names.split("|"))
+
+
+def gate(gap: str) -> str:
+    """A regex that any lower-cased text with a match of a rule has; words of a keyword may have any ``gap`` between them."""
+    phrases = {"licen[sc]e"}  # tags have it too
+    for regex, keyword in [x[2:] for x in LICENSES] + [x[1:] for x in NOTICES]:
+        if not _needs_license(regex):
+            phrases.update(_SHORT.get(keyword, (keyword,)))
+    return "|".join(p.replace(" ", gap) for p in sorted(phrases))

@@ -15,14 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.license_rules import rules
+from emberline.llm.license_rules import gate, rules
 
 #: Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_GATE = "licen[sc]e|spdx|copyright|rights reserved|public domain|cc0|cc[ -]by|creative commons|gpl|wtfpl|hereby granted|redistributions|proprietary|rail|unencumbered|noncommercial|non-commercial|verbatim or|express or|neither the name|copying of this|permission notice|free software|should have received|source code form"
+_GATE = gate(_GAP)
 
 
 
