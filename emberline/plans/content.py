@@ -39,6 +39,19 @@ def knn_l2(spark, d):
     return V.nearest(e, e.where("vec_id < 10"), 5, "l2").withColumn("score", F.round("score", 5))
 
 
+@query("knn_cosine_hundredths")
+def knn_cosine_hundredths(spark, d):
+    """The job's query set: every id divisible by 100."""
+    e = A.table(spark, d, "embeddings")
+    return V.nearest(e, e.where("vec_id % 100 = 0"), 8).withColumn("score", F.round("score", 5))
+
+
+@query("knn_l2_hundredths")
+def knn_l2_hundredths(spark, d):
+    e = A.table(spark, d, "embeddings")
+    return V.nearest(e, e.where("vec_id % 100 = 0"), 5, "l2").withColumn("score", F.round("score", 5))
+
+
 @query("knn_filtered", "WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id < 10 AND c.label = 3) SELECT query_id, vec_id, round(score, 5) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 3")
 def knn_filtered(spark, d):
     e = A.table(spark, d, "embeddings")
