@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from emberline.llm.scratch import Scratch
 
-#: Rows up to which a set of ids is sent to all tasks; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Narrow rows (ids and a few numbers) up to which a written table is sent to all tasks, some 20 MB; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 250_000
+#: The same for tables with lists, in bytes of the lists.
+BROADCAST_BYTES = 24_000_000
 PARITY_LONGS = 8
 #: Further rounds in which the members of a bucket are compared with another of its nodes.
 STAR_TURNS = 2
@@ -30,6 +32,12 @@ def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def bounded_lists(df: DataFrame, column: str, width: int = 8) -> DataFrame:
+    """``df`` (written before) with a broadcast hint if its rows and the items of ``column``, of ``width`` bytes, are under the bounds."""
+    rows, items = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(column).cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and items * width <= BROADCAST_BYTES else df
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root (the smallest node of its component) of all nodes in ``edges`` (a, b).
 
@@ -53,7 +61,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             break
         mark = tuple(now)
     heads = old.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return old.select(F.col("u").alias("node"), F.col("v").alias("root")).union(heads)
+    out = scratch.write(old.select(F.col("u").alias("node"), F.col("v").alias("root")).union(heads), "labels")
+    scratch.drop(old)
+    return out
 
 
 def agreement(a: str, b: str, k: int) -> Column:
@@ -118,35 +128,54 @@ def link(bands: DataFrame, sketches: DataFrame, near: Callable[[str, str], Colum
         """Of bucket, node: those in buckets of several components, with their root."""
         placed = members.select("bucket", F.col("node").alias("_n")).join(bounded(labels.withColumnRenamed("node", "_n")), "_n", "left").select("bucket", F.col("_n").alias("node"), F.coalesce("root", "_n").alias("root"))
         several = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-        return scratch.write(placed.join(several, "bucket"), "apart")
+        # Written first, so that the rows of a large bucket are joined where they are, or can be split.
+        several = scratch.write(several, "several")
+        out = scratch.write(placed.join(bounded(several), "bucket"), "apart")
+        scratch.drop(several)
+        return out
 
     heads = bands.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("bucket", "a")
     heads = scratch.write(heads, "heads")
     # Of all bands only those in buckets of two nodes or more.
     shared = scratch.write(bands.join(bounded(heads), "bucket").distinct(), "shared")
+    scratch.drop(heads)
     nodes = scratch.write(shared.select("node").distinct(), "nodes")
     own = scratch.write(sketches.join(bounded(nodes), "node", "left_semi").dropDuplicates(["node"]), "sketches")
     sets = scratch.write(sets_of(nodes), "sets")
-    tested = scratch.write(promising(shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()), "pairs")
-    edges = scratch.write(verify(tested, sets), "links")
-    labels = scratch.write(components(edges, scratch), "labels")
+    scratch.drop(nodes)
+    tested = [scratch.write(promising(shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()), "pairs")]
+    edges = [scratch.write(verify(tested[0], sets), "links")]
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        return pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
+
+    labels = components(edges[0], scratch)
     live = apart(shared)
+    scratch.drop(shared)
     for turn in range(STAR_TURNS):
         mark = F.xxhash64("node", F.lit(turn))
         centres = live.groupBy("bucket").agg(F.min_by("node", mark).alias("centre"), F.min_by("root", mark).alias("centre_root"))
-        pairs = live.join(centres, "bucket").where("root <> centre_root").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        pairs = scratch.write(promising(pairs.join(tested, ["a", "b"], "left_anti")), "pairs")
-        found = scratch.write(verify(pairs, sets), "links")
-        tested, edges = tested.union(pairs), edges.union(found)
+        centres = scratch.write(centres, "centres")
+        pairs = live.join(bounded(centres), "bucket").where("root <> centre_root").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        tested.append(scratch.write(promising(untested(pairs)), "pairs"))
+        found = scratch.write(verify(tested[-1], sets), "links")
+        edges.append(found)
+        scratch.drop(centres)
         if found.isEmpty():
             break
-        labels = scratch.write(components(edges, scratch), "labels")
+        old = [labels, live]
+        labels = components(reduce(DataFrame.union, edges), scratch)
         live = apart(live)
+        scratch.drop(*old)
 
     rest = scratch.write(live.select("node", "root").distinct(), "rest")
+    scratch.drop(live, own)
     # All tested pairs have a < b as well.
-    pairs = scratch.write(prefix_pairs(rest, *tokens(sets.join(rest.select("node"), "node", "left_semi")), percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-    if pairs.isEmpty():
-        return labels, edges
-    edges = edges.union(scratch.write(verify(pairs, sets), "links"))
-    return scratch.write(components(edges, scratch), "labels"), edges
+    pairs = scratch.write(untested(prefix_pairs(rest, *tokens(sets.join(bounded(rest.select("node")), "node", "left_semi")), percent)), "pairs")
+    scratch.drop(rest, *tested)
+    if not pairs.isEmpty():
+        edges.append(scratch.write(verify(pairs, sets), "links"))
+        scratch.drop(labels)
+        labels = components(reduce(DataFrame.union, edges), scratch)
+    scratch.drop(pairs, sets)
+    return labels, reduce(DataFrame.union, edges)

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local sessions without spark.checkpoint.dir, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests on one machine), a temporary folder set for it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir of the session; where it is unset, a temporary folder if driver and executors are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="emberline-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: a folder that the driver and all executors share is needed")
+        base = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="emberline-")
+        _OWN[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
 
 
@@ -32,6 +38,12 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Has the session remove a query's shuffle files when the query has ended; what is needed later is written."""
+    with contextlib.suppress(Exception):  # versions without the setting keep them until the driver collects its garbage
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have, in any case of letters."""
     taken = {c.lower() for c in df.columns}
@@ -47,6 +59,7 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         bound_batches(spark)
+        free_shuffles(spark)
 
     def path(self, name: str) -> str:
         self.count += 1
