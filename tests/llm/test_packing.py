@@ -50,3 +50,22 @@ def test_empty_table_and_texts(spark):
     assert packing.pack(packing.word_lengths(docs(spark, [])), 10).count() == 0
     got = {r.doc_id: r.length for r in packing.word_lengths(docs(spark, [None, "", " \t", "a b", "A  b\n"])).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
+
+
+def test_null_ids_keep_the_others_whole(spark):
+    ids = [None, 2**60 + 1, 2**60 + 3, None]
+    table = spark.createDataFrame([(d, n, None, None) for d, n in zip(ids, (5, 5, None, 5))], "doc_id long, length long, source string, cluster long")
+    got = packing.pack(table, 20).collect()
+    assert sorted((r.doc_id for r in got), key=lambda x: (x is not None, x)) == sorted(ids, key=lambda x: (x is not None, x))
+    assert {(r.doc_id, r.bin_offset) for r in got} == {(None, 0), (None, 5), (2**60 + 1, 10), (2**60 + 3, None)}
+
+
+def test_shards_share_their_emptiest_bins(spark):
+    r = random.Random(4)
+    rows = [(i, r.randint(30, 70), f"s{i % 400}", None) for i in range(2000)] + [(5000, 1000, "s1", None)]
+    table = spark.createDataFrame(rows, "doc_id long, length long, source string, cluster long")
+    out = packing.pack(table, 100, 100).toPandas()
+    assert sorted(zip(out.doc_id, out.piece)) == sorted([(i, 0) for i in range(2000)] + [(5000, k) for k in range(10)])
+    assert out.groupby("bin_id").length.sum().max() <= 100
+    alone = max(b for _, b, _ in plain_best_fit([(i, n, s, None) for i, n, s, _ in rows[:2000]], 100)) + 11
+    assert out.bin_id.nunique() <= 1.03 * alone
