@@ -8,9 +8,16 @@ other. Shared q-grams are counted in diagonal bands that overlap by half, each
 wide enough for all those diagonals; a band that reaches the bound gives a
 region, and a banded alignment decides.
 
-Defined results: items with fewer than ``least_chars`` folded characters (or
-null) are not searched, as they would be found in clean texts; null and empty
-texts hold nothing; repeated items each count; repeated rows each get a row.
+Items with fewer than ``exact_under`` folded characters have no bound; they are
+found where their words stand exactly. Documents that hold only such items of
+fewer than ``least_chars`` characters, which clean texts hold as well, are kept
+by ``clean``.
+
+Defined results: null items and those without a letter or digit are in no text;
+null and empty texts hold nothing; repeated items each count, also with one
+item_id or a null one; repeated rows each get a row; of overlapping places of
+one item each end counts once; very long texts are searched whole; an empty
+table gives an empty one, and with no item nothing is found; extra columns stay.
 """
 
 from __future__ import annotations
@@ -19,8 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberline.llm import textkernel as K
+from emberline.llm.scratch import fresh
 
 Q = 12
 #: Bytes of items in one index, which goes to all tasks; more items are searched in further passes.
@@ -56,46 +65,58 @@ def grams(folded: np.ndarray) -> np.ndarray:
         return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def align(item: np.ndarray, text: np.ndarray, e: int) -> tuple[int, int] | None:
+def align(item: np.ndarray, text: np.ndarray, e: int, low: int | None = None, high: int | None = None, anchored: bool = False) -> tuple[int, int] | None:
     """(distance, end) of the part of ``text`` nearest to the whole ``item``, if within ``e`` edits.
 
-    Row by row over the characters of the item; every column is a place of the
-    text, which the caller has cut to the band's diagonals.
+    Row by row over the characters of the item, each with the diagonals (place
+    in the text less place in the item) from ``low`` to ``high`` only; all that
+    the text has, if not given. The part begins anywhere, or at 0 if ``anchored``.
     """
-    n = len(text)
-    steps = np.arange(n + 1)
-    row = np.zeros(n + 1, np.int64)  # a part may begin anywhere
-    band = n - len(item) + e
+    n, m, far = len(text), len(item), len(item) + len(text) + 1
+    low, high = -m if low is None else low, n if high is None else high
+    steps = np.arange(high - low + 1)
+    padded = np.zeros(m + n + high - low + 2, np.int64) - 1
+    padded[max(0, -low) : max(0, -low) + n] = text
+    lead = max(0, -low)
+    place = low + steps
+    row = np.where((place < 0) | (place > n), far, place if anchored else 0)
     for i, c in enumerate(item, 1):
-        new = np.empty(n + 1, np.int64)
-        new[0] = i
-        new[1:] = np.minimum(row[:-1] + (text != c), row[1:] + 1)
+        new = row + (padded[lead + i - 1 + low : lead + i + high] != c)
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+        place = i + low + steps
+        outside = (place < 0) | (place > n)
+        new[place == 0] = i
+        new[outside] = far
         row = np.minimum.accumulate(new - steps) + steps
-        # Outside the band's diagonals no alignment within e edits passes.
-        row[: max(0, i - e)] += e + 1
-        row[min(n + 1, i + band + 1) :] += e + 1
+        row[outside] = far
         if row.min() > e:
             return None
-    end = int(row.argmin())
-    return (int(row[end]), end) if row[end] <= e else None
+    best = int(row.argmin())
+    return (int(row[best]), m + low + best) if row[best] <= e else None
+
+
+def _order(hit: tuple) -> tuple:
+    """Hits by item, a null one first, and place."""
+    return (hit[0] is not None, hit[0] or 0, *hit[1:])
 
 
 class Index:
     """The q-grams of folded items, with a bit table before the exact lookup."""
 
-    def __init__(self, items: list[tuple[int, str]], errors: float, least_chars: int):
+    def __init__(self, items: list[tuple[int | None, str]], errors: float, exact_under: int):
         self.ids, self.texts, self.edits, self.bounds = [], [], [], []
         codes, owners, places = [], [], []
+        self.short: list[tuple[int | None, bytes]] = []
         for item_id, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             folded, _, _ = fold(raw, np.array([0, len(raw)]))
             folded = np.frombuffer(folded.tobytes().strip(), np.uint8)
             m = len(folded)
-            if m < max(least_chars, Q):
-                continue
             e = int(m * errors)
-            while e and m - Q + 1 - Q * e < 1:
-                e -= 1
+            if m < exact_under or m - Q + 1 - Q * e < 1:
+                if m:
+                    self.short.append((item_id, folded.tobytes()))
+                continue
             g = grams(folded)
             codes.append(g), owners.append(np.full(len(g), len(self.ids))), places.append(np.arange(len(g)))
             self.ids.append(item_id), self.texts.append(folded), self.edits.append(e), self.bounds.append(m - Q + 1 - Q * e)
@@ -109,13 +130,31 @@ class Index:
         self.table[self.codes >> np.uint64(64 - _BITS)] = True
         self.width = np.array([2 * (e + 1) for e in self.edits], np.int64)
         self.bound = np.array(self.bounds, np.int64)
+        #: Diagonals are counted from this, so that none is negative.
+        self.origin = max([len(x) for x in self.texts], default=0) + 1
 
     def find(self, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
         """For each text of a block its hits: item_id, first and last + 1 character, distance."""
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in range(len(offsets) - 1)]
         folded, at, cuts = fold(data, offsets)
+
+        def add(d: int, item_id: int | None, begin: int, end: int, distance: int) -> None:
+            base = int(offsets[d])
+            lead = (data[base : int(at[end - 1]) + 1] & 0xC0) != 0x80
+            out[d].append((item_id, int(lead[: int(at[begin]) - base].sum()), int(lead.sum()), distance))
+
+        if self.short:
+            for d in range(len(out)):
+                words = b" " + folded[cuts[d] : cuts[d + 1]].tobytes() + b" "
+                for item_id, text in self.short:
+                    place = words.find(b" " + text + b" ")
+                    while place >= 0:
+                        add(d, item_id, int(cuts[d]) + place, int(cuts[d]) + place + len(text), 0)
+                        place = words.find(b" " + text + b" ", place + 1)
         g = grams(folded)
         if not len(self.codes) or not len(g):
+            for hits in out:
+                hits.sort(key=_order)
             return out
         near = np.flatnonzero(self.table[g >> np.uint64(64 - _BITS)])
         found = np.searchsorted(self.codes, g[near])
@@ -128,7 +167,7 @@ class Index:
         near, found = near[inside], found[inside]
         n = self.count[found]
         place = np.repeat(self.first[found] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        item, diagonal = self.owner[place], np.repeat(near, n) - self.place[place] + (1 << 20)
+        item, diagonal = self.owner[place], np.repeat(near, n) - self.place[place] + self.origin
         w = self.width[item]
         half = w // 2
         bands = np.concatenate([2 * (diagonal // w), 2 * ((diagonal + half) // w) + 1])
@@ -138,7 +177,7 @@ class Index:
         seen: set[tuple[int, int, int]] = set()
         for k, b in zip(items[good].tolist(), (keys[good] & ((1 << 34) - 1)).tolist()):
             width, e, m = int(self.width[k]), self.edits[k], len(self.texts[k])
-            low = (b >> 1) * width - (width // 2 if b & 1 else 0) - (1 << 20)
+            low = (b >> 1) * width - (width // 2 if b & 1 else 0) - self.origin
             # The band may touch two texts of the block.
             first = max(0, int(np.searchsorted(cuts, max(0, low), "right")) - 1)
             last = int(np.searchsorted(cuts, min(len(folded), low + width + m + e), "left"))
@@ -147,60 +186,74 @@ class Index:
                 if stop - start < m - e:
                     continue
                 part = folded[start:stop]
-                exact = part.tobytes().find(self.texts[k].tobytes())
-                if exact >= 0:
-                    begin, end, distance = start + exact, start + exact + m, 0
-                else:
-                    got = align(self.texts[k], part, e)
+                raw, needle = part.tobytes(), self.texts[k].tobytes()
+                exact, places = raw.find(needle), []
+                while exact >= 0:
+                    places.append((start + exact, start + exact + m, 0))
+                    exact = raw.find(needle, exact + 1)
+                if not places:
+                    got = align(self.texts[k], part, e, low - e - start, low + width + e - start)
                     if got is None:
                         continue
-                    distance, end = got[0], start + got[1]
-                    back = align(self.texts[k][::-1], folded[start:end][::-1], e)
-                    begin = end - back[1] if back else max(start, end - m)
-                if (k, d, end) in seen:
-                    continue
-                seen.add((k, d, end))
-                base = int(offsets[d])
-                lead = (data[base : int(at[end - 1]) + 1] & 0xC0) != 0x80
-                out[d].append((self.ids[k], int(lead[: int(at[begin]) - base].sum()), int(lead.sum()), distance))
+                    end = start + got[1]
+                    back = align(self.texts[k][::-1], folded[max(start, end - m - e) : end][::-1], e, -e, e, True)
+                    places = [(end - back[1] if back else max(start, end - m), end, got[0])]
+                for begin, end, distance in places:
+                    if (k, d, end) not in seen:
+                        seen.add((k, d, end))
+                        add(d, self.ids[k], begin, end, distance)
         for hits in out:
-            hits.sort()
+            hits.sort(key=_order)
         return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, errors: float = 0.05, least_chars: int = 32) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns, whatever those are called."""
+def clean(docs: DataFrame, benchmark: DataFrame, errors: float = 0.05, least_chars: int = 16) -> DataFrame:
+    """The rows of ``docs`` that hold no item of ``least_chars`` folded characters or more, with all their columns, whatever those are called."""
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
-    return find(whole, benchmark, ["row"], errors, least_chars).where("n_hits = 0").select("row.*")
+    return find(whole, _telling(benchmark, least_chars), ["row"], errors).where("n_hits = 0").select("row.*")
+
+
+def _telling(benchmark: DataFrame, least_chars: int) -> DataFrame:
+    folded = F.trim(F.regexp_replace("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
+    return benchmark.where(F.octet_length(folded) >= least_chars)
+
 
+_HIT = pa.struct([("item_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("distance", pa.int64())])
+_HITS = T.ArrayType(T.StructType([T.StructField(f.name, T.LongType()) for f in _HIT]))
 
-def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], errors: float = 0.05, least_chars: int = 32) -> DataFrame:
-    """``keep`` columns with n_hits, item_ids and hits (item_id, first, last, distance) of each row of ``docs``."""
+
+def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], errors: float = 0.05, exact_under: int = 32) -> DataFrame:
+    """``keep`` columns with n_hits, item_ids and hits (item_id, first, last, distance) of each row of ``docs``.
+
+    A new column whose name ``keep`` has gets an underscore more.
+    """
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     passes = max(1, -(-size // INDEX_BYTES))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    hit = pa.struct([("item_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("distance", pa.int64())])
+    source = docs.select(F.struct(*keep).alias("row"), F.col("text"))
+    row = source.schema["row"]
 
-    def one_pass(p: int, source: DataFrame, columns: list[str], spec: str, before: str | None) -> DataFrame:
+    def one_pass(p: int, source: DataFrame) -> DataFrame:
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).select(F.col("item_id").cast("long"), "text")
-        items = sorted(((r[0], r[1]) for r in part.collect() if r[0] is not None), key=lambda r: (r[0], r[1] or ""))
+        items = sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+        columns = ["row"] if p == passes - 1 else ["row", "text"]
 
         def run(batches):
-            index = Index(items, errors, least_chars)
+            index = Index(items, errors, exact_under)
             for batch in batches:
                 hits = []
-                for _, data, offsets in K.blocks(batch.column("_text")):
+                for _, data, offsets in K.blocks(batch.column("text")):
                     hits.extend(index.find(data, offsets))
                 rows = [[dict(zip(("item_id", "first", "last", "distance"), h)) for h in x] for x in hits]
-                if before:
-                    rows = [sorted((*(b or []), *r), key=lambda h: tuple(h.values())) for b, r in zip(batch.column("hits").to_pylist(), rows)]
-                yield pa.RecordBatch.from_arrays([*K.take(batch, 0, batch.num_rows, columns), pa.array(rows, pa.list_(hit))], [*columns, "hits"])
+                if p:
+                    rows = [sorted((*(b or []), *r), key=lambda h: _order(tuple(h.values()))) for b, r in zip(batch.column("hits").to_pylist(), rows)]
+                yield pa.RecordBatch.from_arrays([*K.take(batch, 0, batch.num_rows, columns), pa.array(rows, pa.list_(_HIT))], [*columns, "hits"])
 
-        return source.mapInArrow(K.released(run), f"{spec}, hits array<struct<item_id:long,first:long,last:long,distance:long>>")
+        kinds = [row, T.StructField("text", T.StringType())][: len(columns)]
+        return source.mapInArrow(K.released(run), T.StructType([*kinds, T.StructField("hits", _HITS)]))
 
-    source = docs.select(*keep, F.col("text").alias("_text"))
     for p in range(passes):
-        last = p == passes - 1
-        columns = keep if last else [*keep, "_text"]
-        source = one_pass(p, source, columns, fields if last else f"{fields}, _text string", "hits" if p else None)
-    return source.select(*keep, F.size("hits").cast("long").alias("n_hits"), F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"]))).alias("item_ids"), "hits")
+        source = one_pass(p, source)
+    ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
+    new = {"n_hits": F.size("hits").cast("long"), "item_ids": ids, "hits": F.col("hits")}
+    kept = docs.select(*keep)
+    return source.select(*[F.col("row").getField(c).alias(c) for c in kept.columns], *[x.alias(fresh(kept, n)) for n, x in new.items()])
