@@ -80,11 +80,12 @@ class Trees:
 class Isotonic:
     """Pool-adjacent-violators fit of labels to scores; linear between the pools' means."""
 
-    def fit(self, score: np.ndarray, y: np.ndarray) -> "Isotonic":
+    def fit(self, score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> "Isotonic":
         order = np.argsort(score, kind="stable")
+        weight = np.ones(len(y)) if weight is None else weight
         pools: list[list[float]] = []  # mean label, weight, mean score
-        for s, v in zip(score[order].tolist(), y[order].tolist()):
-            pools.append([v, 1.0, s])
+        for s, v, n in zip(score[order].tolist(), y[order].tolist(), weight[order].tolist()):
+            pools.append([v, n, s])
             while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
                 v1, w1, s1 = pools.pop()
                 v0, w0, s0 = pools.pop()

@@ -10,7 +10,10 @@ calibration uses margins from outside each part as well.
 
 Defined results: null and empty texts have features 0 and get the score that
 the model gives those; without a labelled training row, or with one class only,
-every score is that class's share (0 without any row).
+every score is that class's share (0 without any row). Rows that repeat are
+scored one by one, and all count as labelled rows; a label without a doc_id or
+value is not read; a null doc_id has no label and is scored; very long texts
+are read whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -220,14 +223,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Model:
             margins[:] = Trees().fit(x, y).margin(x)
             break
         margins[~other] = Trees().fit(x[other], y[other]).margin(x[~other])
-    calibration = Isotonic().fit(np.repeat(margins, keep), np.repeat(y, keep))
+    calibration = Isotonic().fit(margins, y, keep)
     return Model(lexicon(*range(FOLDS)), Trees().fit(x, y), calibration, float(y.mean()))
 
 
 def _weights(y: np.ndarray, clean_step: int, toxic_step: int) -> np.ndarray:
     """How many rows a sampled row stands for, so that calibration has the classes' true shares."""
-    least = min(clean_step, toxic_step)
-    return np.where(y > 0, max(1, toxic_step // least), max(1, clean_step // least)).astype(int)
+    return np.where(y > 0, float(toxic_step), float(clean_step))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = 0.7) -> DataFrame:
