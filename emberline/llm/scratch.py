@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import re
 import tempfile
 import uuid
@@ -52,6 +53,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that plans, broadcasts and shuffles of ended queries don't pile up in a long job."""
+    gc.collect()
+    with contextlib.suppress(Exception):  # where the session has no gateway the driver does so in its own time
+        spark.sparkContext._jvm.java.lang.System.gc()
+
+
+#: Tables after which the driver is tidied.
+TIDY = 10
+
+
 class Scratch:
     """A folder of written tables of one run; each can be dropped when no result needs it any more."""
 
@@ -70,6 +82,8 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._emberline_path = path
+        if self.count % TIDY == 0:
+            tidy(self.spark)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
