@@ -9,14 +9,18 @@ folder of two Parquet tables:
              further rows, without ids, say where else a chunk stands
 ``recipes``  one row for each document in ascending doc_id order: segment, place,
              doc_id, offset in the segment, hashes and lengths of its chunks and
-             the root of a Merkle tree over them; a last row for each segment,
-             with place -1, holds its number of ids and the root over its documents
+             the root of a Merkle tree over them; a row for each LEAVES documents
+             of a segment, with place -2, -3 and so on, holds the root over those,
+             and a last one, with place -1, its number of ids and the root over
+             these roots
+``manifest`` one row: the root over all segments and the number of ids
 
-A document is rebuilt from its recipe; hashes, roots and lengths are verified.
+A document is rebuilt from its recipe; hashes, lengths and all roots are verified.
 
 Defined results: null texts count as empty and hold the end id only; rows with
 a null doc_id come first; rows that repeat a doc_id are documents of their own,
-in an arbitrary but fixed order.
+in an arbitrary but fixed order; very long texts are encoded whole; a store of an
+empty table has no document; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ from emberline.llm import textkernel as K
 
 WINDOW, CUT_BITS, LEAST, MOST = 8, 9, 64, 4096
 MEMO = 1_000_000
+#: Documents under one node of a segment's tree.
+LEAVES = 1024
 _RING = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, 1 << 16, dtype=np.int64).astype(np.uint64)
 _UNSAFE = re.compile(r" \s|\0")
 #: Marks that stand next to others, after a space, or at a line's end with more white space: pieces aren't cut at marks then.
@@ -96,7 +102,11 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         made = json.loads(self.tokenizer.to_str())
         before = made.get("pre_tokenizer") or {}
-        self.cuts = made["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not made.get("normalizer")
+        # An added token is found in one piece only if marks stand together in it and no white space belongs to it.
+        added = [x for x in made.get("added_tokens") or [] if x["lstrip"] or x["rstrip"] or re.search(r"\s", x["content"]) or not re.search(r"[^\w\s]{2}", x["content"])]
+        plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.cuts = made["model"]["type"] == "BPE" and plain and not made.get("normalizer") and not added
+        self.pieces: dict[bytes, bytes] = {}
         # A byte-level vocabulary writes each byte as one printable character: its own, or one of those from 256.
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in own]
@@ -110,6 +120,53 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array("H" if self.width == 2 else "I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def block(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of each text of a block; the pieces of plain texts are looked up all at once."""
+        plain = plain_texts(data, offsets) if self.cuts else np.zeros(len(offsets) - 1, bool)
+        out: list[bytes] = [b""] * len(plain)
+        sure, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        for i, ids in zip(sure.tolist(), self._plain(data, offsets, plain)):
+            out[i] = ids
+        texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in others.tolist()]
+        for i, ids in zip(others.tolist(), self.encode(texts) if texts else []):
+            out[i] = ids
+        return out
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray, plain: np.ndarray) -> list[bytes]:
+        if not plain.all():
+            size = np.diff(offsets)
+            data = data[np.repeat(plain, size)]
+            offsets = np.concatenate([[0], np.cumsum(size[plain])])
+        if not len(data):
+            return [b""] * (len(offsets) - 1)
+        alone = (data == 46) | (data == 44) | (data == 10)
+        start = alone | (data == 32)
+        start[1:] |= alone[:-1]
+        start[offsets[:-1][offsets[:-1] < len(data)]] = True
+        at = np.append(np.flatnonzero(start), len(data)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if len(self.pieces) > MEMO:
+            self.pieces.clear()
+        known = self.pieces
+        new, rest = [x for x in names if x not in known], []
+        for x, text in zip(new, map(bytes.decode, new)):
+            if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+                known[x] = self._word(text)
+            else:
+                rest.append((x, text))
+        for k in range(0, len(rest), 4096):
+            known.update(zip((x for x, _ in rest[k : k + 4096]), self._raw([t for _, t in rest[k : k + 4096]])))
+        ids = [known[x] for x in names]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        flat, first = np.frombuffer(b"".join(ids), self.kind), np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        n = size[which]
+        ends = np.cumsum(n)
+        stream = flat[np.repeat(first[which] - ends + n, n) + np.arange(int(ends[-1]))].tobytes()
+        cuts = np.append(0, ends)[np.searchsorted(at, offsets)] * self.width
+        return [stream[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
     def encode(self, texts: list[str], plain: np.ndarray | None = None) -> list[bytes]:
         """The ids of each text as little-endian integers of ``width`` bytes; ``plain`` texts need no test."""
         split: list[list[str] | None] = []
@@ -243,9 +300,8 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int) -> None:
         for batch in batches:
             keys, column = batch.column("doc_id"), batch.column("text")
             for first, data, offsets in K.blocks(column, 1 << 21):
-                texts = [t or "" for t in column.slice(first, len(offsets) - 1).to_pylist()]
                 doc, place, n, digest, ids = [], [], [], [], []
-                for i, raw in enumerate(encoder.encode(texts, plain_texts(data, offsets))):
+                for i, raw in enumerate(encoder.block(data, offsets)):
                     raw += end
                     last = 0
                     for p, c in enumerate(cut_points(np.frombuffer(raw, encoder.kind))):
@@ -263,18 +319,23 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int) -> None:
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc, pa.int64())), pa.array(place, pa.int32()), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(ids, pa.binary())], ["doc_id", "place", "n", "hash", "ids"])
 
     def first_copies(batches):
-        seen: set[bytes] = set()
+        last = None
         for batch in batches:
             keep, ids = [], batch.column("ids")
             for h, full in zip(batch.column("hash").to_pylist(), ids.is_valid().to_pylist()):
-                keep.append(full and h not in seen)
-                if full:
-                    seen.add(h)
+                keep.append(full and h != last)
+                last = h if full else last
             left = pc.if_else(pa.array(keep, pa.bool_()), ids, pa.scalar(None, ids.type))
             yield batch.set_column(batch.schema.get_field_index("ids"), "ids", left)
 
     def recipes(batches):
-        segment, place, offset, tree = TaskContext.get().partitionId(), 0, 0, Merkle()
+        segment, place, offset, tree, block, number = TaskContext.get().partitionId(), 0, 0, Merkle(), Merkle(), 0
+
+        def closed():
+            top = block.root()
+            tree.add(top)
+            return _batch([(segment, -2 - number, None, 0, 0, [], [], top)], RECIPES)
+
         for batch in batches:
             rows = batch.column("parts").to_pylist()
             out = []
@@ -282,10 +343,15 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int) -> None:
                 n = sum(x["n"] for x in parts)
                 hashes = [x["hash"] for x in parts]
                 top = merkle(hashes)
-                tree.add(top)
+                block.add(top)
                 out.append((segment, place, doc_id, offset, n, hashes, [x["n"] for x in parts], top))
                 place, offset = place + 1, offset + n
+                if place % LEAVES == 0:
+                    yield closed()
+                    block, number = Merkle(), number + 1
             yield _batch(out, RECIPES)
+        if place % LEAVES:
+            yield closed()
         if place:
             yield _batch([(segment, -1, None, 0, offset, [], [], tree.root())], RECIPES)
 
@@ -293,11 +359,14 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int) -> None:
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, place int, n int, hash binary, ids binary")
     # The row number of a document's first piece is its key.
     pieces = pieces.withColumn("key", F.monotonically_increasing_id() - F.col("place"))
-    dealt = pieces.repartition(parts, F.when(F.col("ids").isNull(), F.xxhash64("key", "place")).otherwise(F.xxhash64("hash")))
+    dealt = pieces.repartition(parts, F.when(F.col("ids").isNull(), F.xxhash64("key", "place")).otherwise(F.xxhash64("hash"))).sortWithinPartitions("hash")
     dealt.mapInArrow(first_copies, "doc_id long, place int, n int, hash binary, ids binary, key long").write.option("compression", "zstd").parquet(f"{root}/chunks")
     by_doc = spark.read.parquet(f"{root}/chunks").groupBy("key", "doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "hash", "n"))).alias("parts"))
     ordered = by_doc.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "key").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "key")
     ordered.mapInArrow(recipes, ", ".join(f"{k} {v}" for k, v in RECIPES.items())).write.option("compression", "zstd").parquet(f"{root}/recipes")
+    segments = starts(spark, root).orderBy("segment").collect()  # one row for each task
+    top = [(merkle([bytes(r["segment_root"]) for r in segments]), sum(r["segment_tokens"] for r in segments))]
+    spark.createDataFrame(top, "root binary, n_tokens long").coalesce(1).write.parquet(f"{root}/manifest")
 
 
 RECIPES = {"segment": "int", "place": "long", "doc_id": "long", "offset": "long", "n_tokens": "long", "hashes": "array<binary>", "lengths": "array<int>", "root": "binary"}
@@ -339,8 +408,33 @@ def _verified(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/chunks").where("ids is not null").select("hash", "n", "ids").mapInArrow(check, "hash binary, n int, crc long, width int, ids binary")
 
 
+def _held(spark: SparkSession, root: str) -> DataFrame:
+    """segment and whether the roots of its documents give those of its nodes, and these the segment's root; checks the manifest's."""
+    table = spark.read.parquet(f"{root}/recipes").select("segment", "place", "root")
+    segments = starts(spark, root).orderBy("segment").select("segment_root").collect()
+    if merkle([bytes(r[0]) for r in segments]) != bytes(spark.read.parquet(f"{root}/manifest").first()["root"]):
+        raise ValueError("the manifest does not hold the segments that were written")
+
+    def tops(batches):
+        for batch in batches:
+            roots = [merkle([x["root"] for x in part]) for part in batch.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("segment"), batch.column("node"), pa.array(roots, pa.binary())], ["segment", "node", "top"])
+
+    def over(rows: DataFrame, node) -> DataFrame:
+        groups = rows.groupBy("segment", node.alias("node")).agg(F.sort_array(F.collect_list(F.struct("at", "root"))).alias("parts"))
+        return groups.mapInArrow(tops, "segment int, node long, top binary")
+
+    documents = table.where("place >= 0").select("segment", F.col("place").alias("at"), "root")
+    nodes = table.where("place < -1").select("segment", (-2 - F.col("place")).alias("at"), "root")
+    found = over(documents, F.floor(F.col("at") / LEAVES).cast("long"))
+    whole = over(nodes, F.lit(0).cast("long")).select("segment", F.lit(-1).cast("long").alias("node"), "top")
+    stored = table.where("place < 0").select("segment", F.when(F.col("place") == -1, F.lit(-1)).otherwise(-2 - F.col("place")).cast("long").alias("node"), "root")
+    same = stored.join(found.union(whole), ["segment", "node"], "full").select("segment", F.coalesce(F.col("top") == F.col("root"), F.lit(False)).alias("same"))
+    return same.groupBy("segment").agg(F.min("same").alias("held"))
+
+
 def digests(spark: SparkSession, root: str) -> DataFrame:
-    """From the files: doc_id, start, n_tokens, ids_crc32, n_chunks, and whether recipe and Merkle root hold.
+    """From the files: doc_id, start, n_tokens, ids_crc32, n_chunks, and whether its recipe and all roots above hold.
 
     The checksum of a document is joined from those of its chunks' stored ids,
     so payloads aren't shuffled.
@@ -354,14 +448,16 @@ def digests(spark: SparkSession, root: str) -> DataFrame:
                 crc, n = 0, 0
                 for x in row["parts"]:
                     crc, n = crc_join(crc, x["crc"], 4 * x["n"]), n + x["n"]
-                ok = n == row["n_tokens"] and merkle([x["hash"] for x in row["parts"]]) == row["root"]
+                ok = row["held"] and n == row["n_tokens"] and merkle([x["hash"] for x in row["parts"]]) == row["root"]
                 out.append((row["doc_id"], row["start"], n, crc, len(row["parts"]), ok))
             yield _batch(out, fields)
 
     parts = _located(spark, root, ["n", "crc"]).groupBy("segment", "place").agg(F.sort_array(F.collect_list(F.struct("at", "hash", "n", "crc"))).alias("parts"))
     recipes = spark.read.parquet(f"{root}/recipes").where("place >= 0").select("segment", "place", "doc_id", "offset", "n_tokens", "root")
-    rows = recipes.join(parts, ["segment", "place"]).join(F.broadcast(starts(spark, root)), "segment")
-    return rows.select("doc_id", (F.col("first") + F.col("offset")).alias("start"), "n_tokens", "root", "parts").mapInArrow(join, ", ".join(f"{k} {v}" for k, v in fields.items()))
+    # One row for each segment.
+    tops = F.broadcast(starts(spark, root).join(_held(spark, root), "segment"))
+    rows = recipes.join(parts, ["segment", "place"]).join(tops, "segment")
+    return rows.select("doc_id", (F.col("first") + F.col("offset")).alias("start"), "n_tokens", "root", "held", "parts").mapInArrow(join, ", ".join(f"{k} {v}" for k, v in fields.items()))
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:

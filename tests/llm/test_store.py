@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from emberline.llm import store
@@ -25,8 +26,9 @@ def test_pieces_give_the_library_s_ids():
     column = pa.array(texts)
     plain = np.concatenate([store.plain_texts(data, offsets) for _, data, offsets in K.blocks(column, 500)])
     assert plain.any() and not plain.all()
-    for text, raw, raw2 in zip(texts, e.encode(texts), e.encode(texts, plain)):
-        assert raw == raw2, repr(text)
+    whole = [ids for _, data, offsets in K.blocks(column, 500) for ids in e.block(data, offsets)]
+    for text, raw, raw2, raw3 in zip(texts, e.encode(texts), e.encode(texts, plain), whole, strict=True):
+        assert raw == raw2 == raw3, repr(text)
         assert np.frombuffer(raw, e.kind).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
@@ -61,17 +63,40 @@ def test_repeated_and_null_ids_and_empty_tables(spark):
     assert store.digests(spark, empty).count() == 0
 
 
-def test_a_changed_chunk_is_found(spark):
-    from pyspark.sql import functions as F
+def copied(spark, root, name, change):
+    """A copy of a store with one table changed."""
+    other = Scratch(spark, "store").path("s")
+    for x in ("chunks", "recipes", "manifest"):
+        df = spark.read.parquet(f"{root}/{x}")
+        (change(df) if x == name else df).write.parquet(f"{other}/{x}")
+    return other
+
 
-    root, other = Scratch(spark, "store").path("s"), Scratch(spark, "store").path("s")
+def test_a_changed_chunk_is_found(spark):
+    root = Scratch(spark, "store").path("s")
     store.write(docs(spark, ["some text"]), root, PATH, 2)
-    spark.read.parquet(f"{root}/chunks").withColumn("ids", F.unhex(F.reverse(F.hex("ids")))).write.parquet(f"{other}/chunks")
-    spark.read.parquet(f"{root}/recipes").write.parquet(f"{other}/recipes")
+    other = copied(spark, root, "chunks", lambda df: df.withColumn("ids", F.unhex(F.reverse(F.hex("ids")))))
     with pytest.raises(Exception, match="does not hold"):
         store.digests(spark, other).collect()
 
 
+def test_changed_recipes_and_manifests_are_found(spark, monkeypatch):
+    monkeypatch.setattr(store, "LEAVES", 4)
+    root = Scratch(spark, "store").path("s")
+    store.write(docs(spark, [prose(k, 90) for k in range(40)]), root, PATH, 2)
+    assert all(r.verified for r in store.digests(spark, root).collect())
+    assert spark.read.parquet(f"{root}/recipes").where("place < -2").count() > 0
+    swapped = copied(spark, root, "recipes", lambda df: df.withColumn("root", F.when((F.col("doc_id") == 7), F.lit(b"0" * 16)).otherwise(F.col("root"))))
+    bad = {r.doc_id for r in store.digests(spark, swapped).where("not verified").collect()}
+    segment = spark.read.parquet(f"{root}/recipes").where("doc_id = 7").first()["segment"]
+    assert bad == {r.doc_id for r in spark.read.parquet(f"{root}/recipes").where(f"place >= 0 and segment = {segment}").collect()}
+    node = copied(spark, root, "recipes", lambda df: df.withColumn("root", F.when(F.col("place") == -2, F.lit(b"0" * 16)).otherwise(F.col("root"))))
+    assert not any(r.verified for r in store.digests(spark, node).collect())
+    for name, change in (("recipes", lambda df: df.withColumn("root", F.when(F.col("place") == -1, F.lit(b"0" * 16)).otherwise(F.col("root")))), ("manifest", lambda df: df.withColumn("root", F.lit(b"0" * 16)))):
+        with pytest.raises(ValueError, match="manifest"):
+            store.digests(spark, copied(spark, root, name, change)).collect()
+
+
 def test_crc_of_joined_parts_and_merkle_roots():
     r = random.Random(1)
     for _ in range(50):
