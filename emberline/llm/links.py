@@ -38,14 +38,21 @@ def bounded_lists(df: DataFrame, column: str, width: int = 8) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS and items * width <= BROADCAST_BYTES else df
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in one partition if its ``rows`` narrow ones would fit in a broadcast: what follows needs no shuffle then."""
+    return df.coalesce(1) if rows <= BROADCAST_ROWS else df
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root (the smallest node of its component) of all nodes in ``edges`` (a, b).
 
     Alternating large-star and small-star rounds; each writes its edges, so a
-    lost executor costs one round at most.
+    lost executor costs one round at most. Few edges are dealt with in one task.
     """
-    old = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
+    first = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
+    rows = first.count()
+    old = gathered(first, rows).distinct()
+    mark, written = None, first
     while True:
         both = old.select("u", "v").union(old.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -55,14 +62,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(head.select("u", F.col("m").alias("v"))).distinct()
         new = scratch.write(small, "edges")
         now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(old)
-        old = new
+        scratch.drop(written)
+        old, written = gathered(new, rows), new
         if tuple(now) == mark:
             break
         mark = tuple(now)
     heads = old.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     out = scratch.write(old.select(F.col("u").alias("node"), F.col("v").alias("root")).union(heads), "labels")
-    scratch.drop(old)
+    scratch.drop(written)
     return out
 
 
@@ -120,7 +127,7 @@ def link(bands: DataFrame, sketches: DataFrame, near: Callable[[str, str], Colum
     """
 
     def promising(pairs: DataFrame) -> DataFrame:
-        s = own.select("node", "sketch")
+        s = sketched.select("node", "sketch")
         both = pairs.join(s.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a").join(s.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b")
         return both.where(near("sa", "sb")).select("a", "b")
 
@@ -141,13 +148,14 @@ def link(bands: DataFrame, sketches: DataFrame, near: Callable[[str, str], Colum
     scratch.drop(heads)
     nodes = scratch.write(shared.select("node").distinct(), "nodes")
     own = scratch.write(sketches.join(bounded(nodes), "node", "left_semi").dropDuplicates(["node"]), "sketches")
+    sketched = bounded_lists(own, "sketch")
     sets = scratch.write(sets_of(nodes), "sets")
     scratch.drop(nodes)
     tested = [scratch.write(promising(shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()), "pairs")]
     edges = [scratch.write(verify(tested[0], sets), "links")]
 
     def untested(pairs: DataFrame) -> DataFrame:
-        return pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
+        return pairs.join(bounded(reduce(DataFrame.union, tested)), ["a", "b"], "left_anti")
 
     labels = components(edges[0], scratch)
     live = apart(shared)
