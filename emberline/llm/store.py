@@ -145,25 +145,34 @@ class Encoder:
         start[offsets[:-1][offsets[:-1] < len(data)]] = True
         at = np.append(np.flatnonzero(start), len(data)).astype(np.int32)
         coded = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        raw, cuts = K.flat(coded.dictionary)
+        raw, cuts = raw.tobytes(), cuts.tolist()
+        names = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
         if len(self.pieces) > MEMO:
             self.pieces.clear()
         known = self.pieces
-        new, rest = [x for x in names if x not in known], []
-        for x, text in zip(new, map(bytes.decode, new)):
+        ids = list(map(known.get, names))
+        new, rest = [x for x, got in zip(names, ids) if got is None], []
+        # All are shown at once; no piece but a line end has one, and it is not of letters.
+        shown = b"\n".join(x if x != b"\n" else b" " for x in new).decode("latin-1").translate(self.shown).split(self.shown[10])
+        tokenize, kind = self.tokenizer.model.tokenize, "H" if self.width == 2 else "I"
+        for x, text, word in zip(new, map(bytes.decode, new), shown):
             if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
-                known[x] = self._word(text)
+                known[x] = array(kind, [t.id for t in tokenize(word)]).tobytes()
             else:
                 rest.append((x, text))
         for k in range(0, len(rest), 4096):
             known.update(zip((x for x, _ in rest[k : k + 4096]), self._raw([t for _, t in rest[k : k + 4096]])))
-        ids = [known[x] for x in names]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        ids = [got or known[x] for x, got in zip(names, ids)] if new else ids
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // self.width
         flat, first = np.frombuffer(b"".join(ids), self.kind), np.cumsum(size) - size
         which = coded.indices.to_numpy()
         n = size[which]
         ends = np.cumsum(n)
-        stream = flat[np.repeat(first[which] - ends + n, n) + np.arange(int(ends[-1]))].tobytes()
+        # A block has fewer ids than 2 ** 31: it has fewer bytes.
+        at_id = np.arange(int(ends[-1]), dtype=np.int32)
+        at_id += np.repeat((first[which] - ends + n).astype(np.int32), n)
+        stream = flat[at_id].tobytes()
         cuts = np.append(0, ends)[np.searchsorted(at, offsets)] * self.width
         return [stream[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
@@ -244,6 +253,8 @@ class Merkle:
 
 
 def merkle(leaves: list[bytes]) -> bytes:
+    if len(leaves) == 1:
+        return hashlib.blake2b(b"\0" + leaves[0], digest_size=16).digest()
     tree = Merkle()
     for x in leaves:
         tree.add(x)
@@ -299,7 +310,7 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int) -> None:
         sent: set[bytes] = set()
         for batch in batches:
             keys, column = batch.column("doc_id"), batch.column("text")
-            for first, data, offsets in K.blocks(column, 1 << 21):
+            for first, data, offsets in K.blocks(column, 1 << 22):
                 doc, place, n, digest, ids = [], [], [], [], []
                 for i, raw in enumerate(encoder.block(data, offsets)):
                     raw += end
@@ -337,14 +348,11 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int) -> None:
             return _batch([(segment, -2 - number, None, 0, 0, [], [], top)], RECIPES)
 
         for batch in batches:
-            rows = batch.column("parts").to_pylist()
             out = []
-            for doc_id, parts in zip(batch.column("doc_id").to_pylist(), rows):
-                n = sum(x["n"] for x in parts)
-                hashes = [x["hash"] for x in parts]
-                top = merkle(hashes)
+            for doc_id, hashes, sizes in zip(batch.column("doc_id").to_pylist(), *_lists(batch.column("parts"), "hash", "n")):
+                n, top = sum(sizes), merkle(hashes)
                 block.add(top)
-                out.append((segment, place, doc_id, offset, n, hashes, [x["n"] for x in parts], top))
+                out.append((segment, place, doc_id, offset, n, hashes, sizes, top))
                 place, offset = place + 1, offset + n
                 if place % LEAVES == 0:
                     yield closed()
@@ -378,6 +386,13 @@ def _batch(rows: list[tuple], fields: dict[str, str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(columns, fields.values())], list(fields))
 
 
+def _lists(parts: pa.Array, *fields: str) -> list[list[list]]:
+    """For each field of a column of lists of structs, the values by row."""
+    ends = np.cumsum(np.append(0, parts.value_lengths().to_numpy(zero_copy_only=False))).tolist()
+    flat = [parts.flatten().field(f).to_pylist() for f in fields]
+    return [[x[a:b] for a, b in zip(ends[:-1], ends[1:])] for x in flat]
+
+
 def starts(spark: SparkSession, root: str) -> DataFrame:
     """segment, first id of the segment, root: from the manifest rows, one for each segment of the recipes."""
     whole = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
@@ -444,12 +459,13 @@ def digests(spark: SparkSession, root: str) -> DataFrame:
     def join(batches):
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                crc, n = 0, 0
-                for x in row["parts"]:
-                    crc, n = crc_join(crc, x["crc"], 4 * x["n"]), n + x["n"]
-                ok = row["held"] and n == row["n_tokens"] and merkle([x["hash"] for x in row["parts"]]) == row["root"]
-                out.append((row["doc_id"], row["start"], n, crc, len(row["parts"]), ok))
+            rows = zip(*[batch.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens", "root", "held")], *_lists(batch.column("parts"), "hash", "n", "crc"))
+            for doc_id, start, tokens, root, held, hashes, sizes, crcs in rows:
+                crc = crcs[0] if crcs else 0
+                for size, next_crc in zip(sizes[1:], crcs[1:]):
+                    crc = crc_join(crc, next_crc, 4 * size)
+                n = sum(sizes)
+                out.append((doc_id, start, n, crc, len(sizes), held and n == tokens and merkle(hashes) == root))
             yield _batch(out, fields)
 
     parts = _located(spark, root, ["n", "crc"]).groupBy("segment", "place").agg(F.sort_array(F.collect_list(F.struct("at", "hash", "n", "crc"))).alias("parts"))
