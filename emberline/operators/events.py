@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import constants as C
-from emberline.functions.scalars import pattern_matches, sequence_score, temporal_score, weighted
+from emberline.functions.scalars import hop_score, pattern_matches, sequence_score, temporal_score, weighted
 
 WINDOW_MINUTES = 60
 
@@ -59,7 +59,7 @@ def peer_score(windowed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cluster_score(clusters_: DataFrame, enterprise: bool, topology: Column, peer: Column, cross: Column) -> DataFrame:
-    """The five dimensions and their weighted score."""
+    """The five dimensions and their weighted score, halves of its last digit rounded up."""
     dims = {
         "temporal": temporal_score(F.col("t_max") - F.col("t_min")),
         "topology": topology,
@@ -68,7 +68,29 @@ def cluster_score(clusters_: DataFrame, enterprise: bool, topology: Column, peer
         "cross_diagram": cross,
     }
     score = weighted(dims, C.WEIGHTS_ENTERPRISE if enterprise else C.WEIGHTS_TOPOLOGY)
-    return clusters_.select("*", *[v.alias(k) for k, v in dims.items()], F.round(score, 4).alias("cluster_score"))
+    return clusters_.select("*", *[v.alias(k) for k, v in dims.items()], F.round(score + 1e-9, 4).alias("cluster_score"))
+
+
+def topology_score(windowed: DataFrame, keys: list[str], distances: DataFrame) -> DataFrame:
+    """Mean hop score over the pairs of a window's nodes that the graph has, from distances (root, node, depth) of up to four hops.
+
+    ``distances`` has a row with depth 0 for each node of the graph.
+    """
+    known = distances.where("depth = 0").select("node")
+    nodes = windowed.select(*keys, "window_start", "node").distinct().join(known, "node", "left_semi")
+    a, b = nodes.withColumnRenamed("node", "root"), nodes
+    pairs = a.join(b, [*keys, "window_start"]).where("root < node").join(distances, ["root", "node"], "left")
+    return pairs.groupBy(*keys, "window_start").agg(F.avg(F.coalesce(hop_score(F.col("depth")), F.lit(0.0))).alias("topology"))
+
+
+def cross_score(windowed: DataFrame, keys: list[str], links: DataFrame) -> DataFrame:
+    """0 for a window of one diagram, 1 if ``links`` (source_diagram, target_diagram) join two of its diagrams, else 0.6."""
+    of = windowed.where("diagram_id <> ''").select(*keys, "window_start", "diagram_id").distinct()
+    size = of.groupBy(*keys, "window_start").agg(F.count(F.lit(1)).alias("n"))
+    linked = links.where("source_diagram <> target_diagram").select("source_diagram", "target_diagram").distinct()
+    a, b = of.withColumnRenamed("diagram_id", "source_diagram"), of.withColumnRenamed("diagram_id", "target_diagram")
+    met = a.join(b, [*keys, "window_start"]).join(linked, ["source_diagram", "target_diagram"], "left_semi").select(*keys, "window_start").distinct().withColumn("met", F.lit(True))
+    return size.join(met, [*keys, "window_start"], "left").select(*keys, "window_start", F.when(F.col("n") <= 1, 0.0).when(F.col("met"), 1.0).otherwise(0.6).alias("cross"))
 
 
 def roles(windowed: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,14 +119,3 @@ def fingerprint(windowed: DataFrame, keys: list[str]) -> DataFrame:
     by = windowed.groupBy(*keys, "window_start").agg(F.array_sort(F.collect_set("alert_type")).alias("kinds"), F.array_sort(F.collect_set("node")).alias("nodes"))
     text = F.concat(F.array_join("kinds", "|"), F.lit("@"), F.array_join(F.slice("nodes", 1, 3), "|"))
     return by.select(*keys, "window_start", F.substring(F.sha1(text.cast("binary")), 1, 12).alias("fingerprint"))
-
-
-def similarity(a: str, b: str, t_max: Column) -> Column:
-    """Similarity of two alerts: time, case, diagram, severity."""
-    from emberline.functions.scalars import lookup
-
-    close = F.greatest(F.lit(0.0), 1 - 3 * F.abs(F.col(f"{a}.t") - F.col(f"{b}.t")) / t_max)
-    severity = lambda x: lookup(F.col(f"{x}.severity"), C.SEVERITY_CORRELATION, 0.25)
-    level = F.greatest(F.lit(0.0), 1 - 2 * F.abs(severity(a) - severity(b)))
-    one = lambda c, x, y: F.when(F.col(f"{a}.{c}") == F.col(f"{b}.{c}"), x).otherwise(y)
-    return F.least(F.lit(1.0), 0.25 * close + 0.22 * one("case_id", 1.0, 0.0) + 0.20 * one("diagram_id", 1.0, 0.0) + 0.15 * level + 0.08 * one("alert_type", 1.0, 0.75))

@@ -7,19 +7,20 @@ Each round's result is checkpointed in the shared folder of
 from __future__ import annotations
 
 import itertools
-import tempfile
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.session import shared_dir
+
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` without its lineage."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberline-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -51,6 +52,19 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> D
     return seen.where("depth > 0")
 
 
+def nearest_seed(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """node, depth: how far each node is from the nearest of ``seeds`` (node), those at 0; one frontier for all seeds."""
+    edges = cut(edges.select("source", "target"))
+    frontier = cut(seeds.select("node", F.lit(0).alias("depth")).distinct())
+    seen = frontier
+    for depth in itertools.count(1):
+        step = frontier.join(edges, frontier["node"] == edges["source"]).select(F.col("target").alias("node")).distinct()
+        frontier = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            return seen
+        seen = cut(seen.union(frontier))
+
+
 def paths(edges: DataFrame, roots: DataFrame, max_depth: int = 8) -> DataFrame:
     """root, node, depth, path: one shortest path to each reached node; the smallest by its text where several are."""
     edges = cut(edges.select("source", "target"))

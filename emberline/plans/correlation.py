@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberline.functions import constants as C
 from emberline.functions.scalars import alert_bucket, lookup, pattern_matches, sequence_score, temporal_score, unit_hash
 from emberline.operators import events as E
+from emberline.operators import graph as G
 from emberline.sources import adapters as A
 from emberline.sources.adapters import with_sql
 
@@ -165,21 +166,42 @@ def cluster_fingerprint(spark, d):
     return E.fingerprint(_windowed(spark, d), KEYS)
 
 
-@query("cluster_score", with_sql("alerts", _WINDOWS + f", c AS (SELECT case_id, diagram_id, window_start, count(*) AS n_events, max(t) - min(t) AS span, string_agg(bucket, ',' ORDER BY t, ordinal) AS b FROM x GROUP BY ALL), m AS (SELECT *, {_MATCH} AS k FROM c) SELECT case_id, diagram_id, window_start, n_events, round(0.3::DOUBLE * CASE WHEN span <= 15 THEN 1.0 WHEN span <= 30 THEN 0.85 WHEN span <= 60 THEN 0.65 ELSE 0.4 END::DOUBLE + 0.2::DOUBLE * CASE WHEN k = 0 THEN 0.2 ELSE least(1.0, 0.55::DOUBLE + 0.15::DOUBLE * k) END + 0.15::DOUBLE * CASE WHEN n_events < 2 THEN 0.0 ELSE 0.7 END, 4) AS cluster_score FROM m", True))
+_HOPS = ", ed AS (SELECT DISTINCT source, target FROM edges WHERE source <> target), eu AS (SELECT source, target FROM ed UNION SELECT target, source FROM ed), rr AS (SELECT node_id AS root, node_id AS node, 0 AS depth FROM nodes WHERE node_id IN (SELECT node FROM alerts) UNION SELECT rr.root, eu.target, rr.depth + 1 FROM rr JOIN eu ON eu.source = rr.node WHERE rr.depth < 4), ds AS (SELECT root, node, min(depth) AS depth FROM rr GROUP BY ALL)"
+
+
+def _score_sql(keys: str, enterprise: bool) -> str:
+    nodes = f", nd AS (SELECT DISTINCT {keys}, window_start, node FROM x WHERE node IN (SELECT node_id FROM nodes)), tp AS (SELECT {keys}, window_start, avg(CASE depth WHEN 1 THEN 1.0 WHEN 2 THEN 0.85 WHEN 3 THEN 0.65 WHEN 4 THEN 0.45 ELSE 0 END)::DOUBLE AS topology FROM nd a JOIN nd b USING ({keys}, window_start) LEFT JOIN ds ON ds.root = a.node AND ds.node = b.node WHERE a.node < b.node GROUP BY ALL)"
+    diagrams = f", dg AS (SELECT DISTINCT {keys}, window_start, diagram_id AS dia FROM x), cr AS (SELECT {keys}, window_start, CASE WHEN count(*) <= 1 THEN 0 WHEN bool_or(EXISTS (SELECT 1 FROM cross_edges c WHERE c.source_diagram = dg.dia AND c.target_diagram IN (SELECT e.dia FROM dg e WHERE e.case_id = dg.case_id AND e.window_start = dg.window_start))) THEN 1 ELSE 0.6 END::DOUBLE AS crossing FROM dg GROUP BY ALL)" if enterprise else f", cr AS (SELECT {keys}, window_start, 0.0::DOUBLE AS crossing FROM x GROUP BY ALL)"
+    peers = f", pg AS (SELECT {keys}, window_start, diagram_id AS dia, count(*) AS n FROM x GROUP BY ALL), pe AS (SELECT {keys}, window_start, CASE WHEN sum(n) < 2 THEN 0 ELSE (0.3::DOUBLE * sum(n) * (sum(n) - 1) / 2 + 0.4::DOUBLE * sum(n * (n - 1) / 2)) / (sum(n) * (sum(n) - 1) / 2) END::DOUBLE AS peer FROM pg GROUP BY ALL)"
+    w = C.WEIGHTS_ENTERPRISE if enterprise else C.WEIGHTS_TOPOLOGY
+    return _HOPS + nodes + diagrams + peers + f", c AS (SELECT {keys}, window_start, count(*) AS n_events, max(t) - min(t) AS span, string_agg(bucket, ',' ORDER BY t, ordinal) AS b FROM x GROUP BY ALL), m AS (SELECT *, {_MATCH} AS k FROM c) SELECT {keys}, window_start, n_events, round(coalesce(topology, 0), 6) AS topology, round(greatest(0, least(1, {w['temporal']}::DOUBLE * CASE WHEN span <= 15 THEN 1.0 WHEN span <= 30 THEN 0.85 WHEN span <= 60 THEN 0.65 ELSE 0.4 END + {w['topology']}::DOUBLE * coalesce(topology, 0) + {w['alert_type_seq']}::DOUBLE * CASE WHEN k = 0 THEN 0.2 ELSE least(1.0, 0.55::DOUBLE + 0.15::DOUBLE * k) END + {w['source_peer']}::DOUBLE * peer + {w['cross_diagram']}::DOUBLE * crossing)) + 1e-9::DOUBLE, 4) AS cluster_score FROM m LEFT JOIN tp USING ({keys}, window_start) JOIN pe USING ({keys}, window_start) JOIN cr USING ({keys}, window_start)"
+
+
+def _hops(spark, d):
+    nodes = A.nodes(spark, d).select(F.col("node_id").alias("root")).join(A.alerts(spark, d).select(F.col("node").alias("root")).distinct(), "root", "left_semi")
+    roots = G.cut(nodes)
+    return G.reach(G.undirected(A.edges(spark, d)), roots, 4).unionByName(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
+
+
+def _scored(spark, d, keys: list[str], enterprise: bool):
+    w = G.cut(E.anchored_windows(A.alerts(spark, d), keys))
+    at = [*keys, "window_start"]
+    c = E.clusters(w, keys).join(E.peer_score(w, keys).withColumnRenamed("source_peer", "_peer"), at).join(E.topology_score(w, keys, _hops(spark, d)).withColumnRenamed("topology", "_topology"), at, "left")
+    crossing = F.lit(0.0)
+    if enterprise:
+        c, crossing = c.join(E.cross_score(w, keys, A.cross_edges(spark, d)), at), F.col("cross")
+    s = E.cluster_score(c, enterprise, F.coalesce("_topology", F.lit(0.0)), F.col("_peer"), crossing)
+    return s.select(*at, "n_events", F.round("topology", 6).alias("topology"), "cluster_score")
+
+
+@query("cluster_score", with_sql("alerts nodes edges", _WINDOWS + _score_sql("case_id, diagram_id", False), True))
 def cluster_score(spark, d):
-    w = _windowed(spark, d)
-    c = E.clusters(w, KEYS).join(E.peer_score(w, KEYS).withColumnRenamed("source_peer", "_peer"), [*KEYS, "window_start"])
-    return E.cluster_score(c, False, F.lit(0.0), F.col("_peer"), F.lit(0.0)).select(*KEYS, "window_start", "n_events", "cluster_score")
+    return _scored(spark, d, KEYS, False)
 
 
-@query("pair_similarity", with_sql("alerts", ", a AS (SELECT * FROM alerts WHERE severity IN ('critical', 'high')), tm AS (SELECT max(t) AS m FROM alerts), p AS (SELECT a.ordinal AS a, b.ordinal AS b, round(least(1.0, 0.25::DOUBLE * greatest(0.0, 1 - 3 * abs(a.t - b.t) / m) + 0.22 + 0.2::DOUBLE * CAST(a.diagram_id = b.diagram_id AS INTEGER) + 0.15::DOUBLE * greatest(0.0, 1 - 2 * abs(CASE a.severity WHEN 'critical' THEN 1.0 ELSE 0.75 END - CASE b.severity WHEN 'critical' THEN 1.0 ELSE 0.75 END)) + 0.08::DOUBLE * CASE WHEN a.alert_type = b.alert_type THEN 1.0 ELSE 0.75 END), 6) AS similarity FROM a JOIN a b ON a.case_id = b.case_id AND a.node = b.node AND a.ordinal < b.ordinal, tm) SELECT * FROM p"))
-def pair_similarity(spark, d):
-    al = A.alerts(spark, d)
-    severe = al.where(F.col("severity").isin("critical", "high"))
-    a, b = severe.alias("a"), severe.alias("b")
-    same = (F.col("a.case_id") == F.col("b.case_id")) & (F.col("a.node") == F.col("b.node")) & (F.col("a.ordinal") < F.col("b.ordinal"))
-    top = al.agg(F.max("t").alias("m"))
-    return a.join(b, same).crossJoin(F.broadcast(top)).select(F.col("a.ordinal").alias("a"), F.col("b.ordinal").alias("b"), F.round(E.similarity("a", "b", F.col("m")), 6).alias("similarity"))
+@query("cluster_score_enterprise", with_sql("alerts nodes edges cross_edges", _CASE_WINDOWS + _score_sql("case_id", True), True))
+def cluster_score_enterprise(spark, d):
+    return _scored(spark, d, ["case_id"], True)
 
 
 @query("alert_hash_features", with_sql("alerts", "SELECT ordinal, round(('0x' || substr(md5(diagram_id), 1, 8))::BIGINT / 4294967295.0::DOUBLE, 9) AS diagram_hash, CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.75 WHEN 'medium' THEN 0.5 WHEN 'low' THEN 0.25 WHEN 'info' THEN 0.1 ELSE 0.25 END::DOUBLE AS severity_score, round(t / (SELECT max(t) FROM alerts), 9) AS t_norm FROM alerts"))
@@ -188,10 +210,13 @@ def alert_hash_features(spark, d):
     return al.crossJoin(F.broadcast(al.agg(F.max("t").alias("m")))).select("ordinal", F.round(unit_hash(F.col("diagram_id")), 9).alias("diagram_hash"), lookup(F.col("severity"), C.SEVERITY_CORRELATION, 0.25).alias("severity_score"), F.round(F.col("t") / F.col("m"), 9).alias("t_norm"))
 
 
-@query("running_path", with_sql("alerts", ", e AS (SELECT * FROM alerts WHERE severity = 'critical'), l AS (SELECT case_id, ordinal, list(node) OVER (PARTITION BY case_id ORDER BY t, ordinal ROWS UNBOUNDED PRECEDING) AS p FROM e) SELECT case_id, ordinal, (SELECT count(DISTINCT u) FROM unnest(p) AS q(u)) AS n_nodes FROM l"))
+@query("running_path", with_sql("alerts", ", l AS (SELECT case_id, ordinal, list(node) OVER (PARTITION BY case_id ORDER BY t, ordinal ROWS UNBOUNDED PRECEDING) AS p FROM alerts) SELECT case_id, ordinal, (SELECT count(DISTINCT u) FROM unnest(p) AS q(u)) AS n_nodes FROM l"))
 def running_path(spark, d):
-    w = Window.partitionBy("case_id").orderBy("t", "ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    return A.alerts(spark, d).where("severity = 'critical'").select("case_id", "ordinal", F.size(F.array_distinct(F.collect_list("node").over(w))).cast("long").alias("n_nodes"))
+    """How many nodes the path of a case's alerts has touched so far: first places are marked and summed."""
+    al = A.alerts(spark, d)
+    first = F.row_number().over(Window.partitionBy("case_id", "node").orderBy("t", "ordinal")) == 1
+    so_far = Window.partitionBy("case_id").orderBy("t", "ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    return al.withColumn("_f", (first & F.col("node").isNotNull()).cast("long")).select("case_id", "ordinal", F.sum("_f").over(so_far).alias("n_nodes"))
 
 
 @query("event_ids_after_filter", with_sql("alerts", "SELECT case_id, ordinal, printf('EVT-%04d', row_number() OVER (PARTITION BY case_id ORDER BY t, ordinal)) AS event_id FROM alerts WHERE diagram_id = 'D1'"))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
 from emberline.operators import copilot
+from emberline.session import shared_dir
 from emberline.sources import adapters as A
 from emberline.sources import readers
 from emberline.sources.adapters import with_sql
@@ -51,9 +51,8 @@ def ask_neighbors(spark, d):
 
 
 def _shared(spark, name: str) -> str:
-    """A new folder under the shared one, or a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberline-")
-    return f"{base.rstrip('/')}/{name}-{os.urandom(8).hex()}"
+    """A new folder under the shared one."""
+    return f"{shared_dir(spark)}/{name}-{os.urandom(8).hex()}"
 
 
 @query("json_round_trip", "SELECT event_id, user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

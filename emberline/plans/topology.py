@@ -50,15 +50,15 @@ def _reach_sql(seed: str, forward: bool = True, depth: int = 7) -> str:
     return _D + f", r AS (SELECT {seed} AS root, {seed} AS node, 0 AS depth FROM (SELECT 1) UNION SELECT r.root, d.{b}, r.depth + 1 FROM r JOIN d ON d.{a} = r.node WHERE r.depth < {depth})"
 
 
-@query("descendants", with_sql("nodes edges", _D + ", r AS (SELECT node_id AS root, node_id AS node, 0 AS depth FROM nodes WHERE node_id LIKE 'R-%' UNION SELECT r.root, d.target, r.depth + 1 FROM r JOIN d ON d.source = r.node WHERE r.depth < 7) SELECT root, node, min(depth) AS depth FROM r WHERE node <> root GROUP BY ALL", True))
+@query("descendants", with_sql("nodes edges", _D + ", r AS (SELECT node_id AS root, node_id AS node, 0 AS depth FROM nodes WHERE node_id LIKE 'R-%' UNION SELECT r.root, d.target, r.depth + 1 FROM r JOIN d ON d.source = r.node) SELECT root, node, min(depth) AS depth FROM r WHERE node <> root GROUP BY ALL", True))
 def descendants(spark, d):
     roots = A.nodes(spark, d).where("node_id like 'R-%'").select(F.col("node_id").alias("root"))
     return G.reach(G.directed(A.edges(spark, d)), roots)
 
 
-@query("ancestors", with_sql("nodes edges", _D + ", r AS (SELECT node_id AS root, node_id AS node, 0 AS depth FROM nodes WHERE node_id LIKE 'S-%5' UNION SELECT r.root, d.source, r.depth + 1 FROM r JOIN d ON d.target = r.node WHERE r.depth < 7) SELECT root, node, min(depth) AS depth FROM r WHERE node <> root GROUP BY ALL", True))
+@query("ancestors", with_sql("nodes edges", _D + ", r AS (SELECT node_id AS root, node_id AS node, 0 AS depth FROM nodes UNION SELECT r.root, d.source, r.depth + 1 FROM r JOIN d ON d.target = r.node) SELECT root, node, min(depth) AS depth FROM r WHERE node <> root GROUP BY ALL", True))
 def ancestors(spark, d):
-    roots = A.nodes(spark, d).where("node_id like 'S-%5'").select(F.col("node_id").alias("root"))
+    roots = A.nodes(spark, d).select(F.col("node_id").alias("root"))
     e = G.directed(A.edges(spark, d))
     return G.reach(e.select(F.col("target").alias("source"), F.col("source").alias("target")), roots)
 
@@ -201,14 +201,19 @@ def mean_messages(spark, d):
 
 
 _PRIO = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.NODE_PRIORITY.items()) + " ELSE 0.1 END"
+_SEVERITY = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.SEVERITY_SCORE.items()) + " ELSE 0 END::DOUBLE"
 
 
-@query("heuristic_baseline", with_sql("alerts nodes cross_edges", f", a AS (SELECT node, count(*) AS n, max(CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.5 WHEN 'low' THEN 0.3 ELSE 0.1 END) AS s FROM alerts GROUP BY ALL), x AS (SELECT DISTINCT source AS node_id FROM cross_edges), s AS (SELECT node_id, 0.5::DOUBLE * least(1.0, coalesce(n, 0) / 200.0) * coalesce(s, 0) + 0.2::DOUBLE * CAST(x.node_id IS NOT NULL AS INTEGER) + 0.15::DOUBLE * {_PRIO} AS score FROM nodes LEFT JOIN a ON node = node_id LEFT JOIN x USING (node_id)) SELECT node_id, round(score / (SELECT sum(score) FROM s), 9) AS share FROM s"))
+@query("heuristic_baseline", with_sql("alerts nodes edges cross_edges", _U + f", a AS (SELECT node, max({_SEVERITY}) AS s FROM alerts GROUP BY ALL), n AS (SELECT count(*) AS n FROM nodes), p AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM cross_edges), x AS (SELECT node_id, count(*) AS xd FROM (SELECT a AS node_id FROM p UNION ALL SELECT b FROM p) GROUP BY ALL), r AS (SELECT node_id AS node, 0 AS depth FROM nodes WHERE node_id IN (SELECT node FROM a) UNION SELECT u.target, r.depth + 1 FROM r JOIN u ON u.source = r.node WHERE r.depth < 12), q AS (SELECT node AS node_id, min(depth) AS depth FROM r GROUP BY ALL), s AS (SELECT node_id, 0.5::DOUBLE * coalesce(s, 0) + 0.2::DOUBLE * least(1, coalesce(xd, 0) / n) + 0.15::DOUBLE * {_PRIO} + 0.15::DOUBLE * (1 - coalesce(least(1, depth / n), 1)) AS score FROM nodes LEFT JOIN a ON node = node_id LEFT JOIN x USING (node_id) LEFT JOIN q USING (node_id), n) SELECT node_id, round(score / (SELECT sum(score) FROM s), 9) AS share FROM s", True))
 def heuristic_baseline(spark, d):
-    a = A.alerts(spark, d).groupBy(F.col("node").alias("node_id")).agg(F.count(F.lit(1)).alias("n"), F.max(lookup(F.col("severity"), C.SEVERITY_SCORE, 0.0)).alias("s"))
-    x = A.cross_edges(spark, d).select(F.col("source").alias("node_id")).distinct().withColumn("x", F.lit(1))
-    j = A.nodes(spark, d).join(a, "node_id", "left").join(x, "node_id", "left")
-    score = 0.5 * F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / 200.0) * F.coalesce("s", F.lit(0.0)) + 0.2 * F.coalesce("x", F.lit(0)) + 0.15 * lookup(F.col("kind"), C.NODE_PRIORITY, 0.1)
+    """Shares of a score of severity, links across diagrams, kind, and nearness to an alerted node."""
+    n, al = G.cut(A.nodes(spark, d)), A.alerts(spark, d)
+    a = G.cut(al.groupBy(F.col("node").alias("node_id")).agg(F.max(lookup(F.col("severity"), C.SEVERITY_SCORE, 0.0)).alias("s")))
+    near = G.nearest_seed(G.undirected(A.edges(spark, d)), n.join(a, "node_id", "left_semi").select(F.col("node_id").alias("node"))).withColumnRenamed("node", "node_id")
+    size = F.lit(float(max(1, n.count())))
+    j = n.join(a, "node_id", "left").join(cross_degree(spark, d), "node_id", "left").join(near, "node_id", "left")
+    far = F.coalesce(F.least(F.lit(1.0), F.col("depth") / size), F.lit(1.0))
+    score = 0.5 * F.coalesce("s", F.lit(0.0)) + 0.2 * F.least(F.lit(1.0), F.coalesce("cross_degree", F.lit(0)) / size) + 0.15 * lookup(F.col("kind"), C.NODE_PRIORITY, 0.1) + 0.15 * (1 - far)
     s = j.select("node_id", score.alias("score"))
     return s.crossJoin(F.broadcast(s.agg(F.sum("score").alias("total")))).select("node_id", F.round(F.col("score") / F.col("total"), 9).alias("share"))
 
@@ -223,14 +228,29 @@ def propagation_features(spark, d):
     return j.groupBy("node").agg(F.count("other").alias("downstream_alerted"), F.count_if(F.col("s1") <= 0.6).alias("downstream_warning"), F.count_if(F.col("t1") >= F.col("t0")).alias("after_it"))
 
 
-@query("topology_root_cause", with_sql("alerts edges", _D + ", r AS (SELECT DISTINCT node AS root, node, 0 AS depth FROM alerts UNION SELECT r.root, d.target, r.depth + 1 FROM r JOIN d ON d.source = r.node WHERE r.depth < 7), n AS (SELECT root, count(DISTINCT node) - 1 AS desc_n FROM r GROUP BY ALL), s AS (SELECT case_id, node, round(sum(2 * CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END + 10.0::DOUBLE / (1 + t) + 3.0::DOUBLE * desc_n / 130), 6) AS score FROM alerts JOIN n ON root = node GROUP BY ALL), k AS (SELECT *, round(score / sum(score) OVER (PARTITION BY case_id), 6) AS share, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, node) AS INTEGER) AS rank FROM s) SELECT * FROM k WHERE rank <= 3", True))
+#: Parts of an alert's type that fit a kind of device.
+_FITS = {
+    "firewall": ["packet", "drop", "deny", "policy", "firewall", "block"],
+    "router": ["unreachable", "route", "bgp", "ospf", "link", "latency"],
+    "database": ["database", "query", "sql", "db", "slow", "timeout"],
+    "load_balancer": ["load", "balance", "pool", "upstream", "502", "503"],
+    "server": ["cpu", "memory", "app", "service", "process", "crash"],
+}
+_FIT = "CASE WHEN " + " OR ".join(f"(kind = '{k}' AND regexp_matches(lower(alert_type), '{'|'.join(v)}'))" for k, v in _FITS.items()) + " THEN 0.5 ELSE 0 END::DOUBLE"
+
+
+@query("topology_root_cause", with_sql("alerts nodes edges", _D + f", r AS (SELECT DISTINCT node AS root, node FROM alerts WHERE node IN (SELECT node_id FROM nodes) UNION SELECT r.root, d.target FROM r JOIN d ON d.source = r.node), n AS (SELECT root, count(DISTINCT node) - 1 AS desc_n FROM r GROUP BY ALL), s AS (SELECT case_id, node, round(sum(2 * CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END + 10.0::DOUBLE / (1 + t) + 3.0::DOUBLE * desc_n / (SELECT count(*) FROM nodes) + {_FIT}), 6) AS score FROM alerts JOIN n ON root = node JOIN nodes ON node_id = node GROUP BY ALL), k AS (SELECT *, round(score / sum(score) OVER (PARTITION BY case_id), 6) AS share, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, node) AS INTEGER) AS rank FROM s) SELECT * FROM k WHERE rank <= 3", True))
 def topology_root_cause(spark, d):
-    al = A.alerts(spark, d)
-    nodes = G.cut(al.select(F.col("node").alias("root")).distinct())
-    reached = G.reach(G.directed(A.edges(spark, d)), nodes).groupBy("root").agg(F.count(F.lit(1)).alias("desc_n"))
+    """Three likely roots of a case: severity, earliness, share of the graph below, and whether the kind fits the alert."""
+    al, kinds = A.alerts(spark, d), G.cut(A.nodes(spark, d).select(F.col("node_id").alias("node"), "kind"))
+    roots = G.cut(al.select("node").join(kinds, "node", "left_semi").select(F.col("node").alias("root")).distinct())
+    reached = G.reach(G.directed(A.edges(spark, d)), roots).groupBy(F.col("root").alias("node")).agg(F.count(F.lit(1)).alias("desc_n"))
     weight = F.when(F.col("severity") == "critical", 4).when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).otherwise(1)
-    j = al.join(reached, al["node"] == reached["root"], "left")
-    s = j.groupBy("case_id", "node").agg(F.round(F.sum(2 * weight + 10.0 / (1 + F.col("t")) + 3.0 * F.coalesce("desc_n", F.lit(0)) / 130), 6).alias("score"))
+    fit = F.lit(0.0)
+    for kind, parts in _FITS.items():
+        fit = F.when((F.col("kind") == kind) & F.lower("alert_type").rlike("|".join(parts)), 0.5).otherwise(fit)
+    j = al.join(kinds, "node").join(reached, "node", "left")
+    s = j.groupBy("case_id", "node").agg(F.round(F.sum(2 * weight + 10.0 / (1 + F.col("t")) + 3.0 * F.coalesce("desc_n", F.lit(0)) / F.lit(max(1, kinds.count())) + fit), 6).alias("score"))
     w = Window.partitionBy("case_id")
     k = s.withColumns({"share": F.round(F.col("score") / F.sum("score").over(w), 6), "rank": F.row_number().over(w.orderBy(F.desc("score"), "node"))})
     return k.where("rank <= 3")

@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
+#: Folders of local sessions without spark.checkpoint.dir, by application.
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; where it is unset, a temporary folder if driver and executors are one process."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: a folder that the driver and all executors share is needed")
+        base = _OWN.get(sc.applicationId) or _OWN.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="emberline-"))
+    return base.rstrip("/")
+
 
 def session(app: str = "emberline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings that the engine's plans are written for; ``conf`` overrides them."""

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.scalars import alert_bucket, lookup
@@ -52,8 +52,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     down = nation.select(F.concat(F.lit("R-"), F.col("n_regionkey").cast("string")).alias("source"), F.concat(F.lit("N-"), F.col("n_nationkey").cast("string")).alias("target"), F.col("n_nationkey").cast("long").alias("ordinal"))
     to = supplier.select(F.concat(F.lit("N-"), F.col("s_nationkey").cast("string")).alias("source"), F.concat(F.lit("S-"), F.col("s_suppkey").cast("string")).alias("target"), (F.col("s_suppkey") + 1000).alias("ordinal"))
-    a, b = supplier.alias("a"), supplier.alias("b")
-    across = a.join(b, (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey"))).groupBy(F.col("a.s_suppkey").alias("x")).agg(F.min("b.s_suppkey").alias("y"))
+    following = F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    across = supplier.select(F.col("s_suppkey").alias("x"), following.alias("y")).where("y is not null")
     across = across.select(F.concat(F.lit("S-"), F.col("x").cast("string")).alias("source"), F.concat(F.lit("S-"), F.col("y").cast("string")).alias("target"), (F.col("x") + 1_000_000).alias("ordinal"))
     return down.unionByName(to).unionByName(across)
 
