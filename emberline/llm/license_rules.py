@@ -2,8 +2,9 @@
 
 A rule is (label, regex, keyword, priority). Regexes are matched against the
 words of a text, lower-cased and joined by single spaces with one before the
-first and after the last; so word borders are spaces. The keyword is a plain
-string without which the regex cannot match; it gates the rule.
+first and after the last; so word borders are spaces. Keywords (several between
+bars) are plain strings of which any match of the regex holds one; they gate the
+rule.
 """
 
 from __future__ import annotations
@@ -42,15 +43,15 @@ LICENSES = [
     ("cddl", "cddl 1 [01]", r"common development and distribution licen[sc]e", "common development"),
     ("cpl", "cpl 1 0", r"common public licen[sc]e", "common public"),
     ("eupl", "eupl 1 [12]", r"european union public licen[sc]e", "european union"),
-    ("cc0", "cc0 1 0", r"cc0|creative commons zero", "c"),
-    ("cc-by", "cc by [1234] [05]", r"(?:cc|creative commons) (?:by|attribution)(?: licen[sc]e)?(?: [1-4] [05])?", "c"),
-    ("cc-by-sa", "cc by sa [1234] [05]", r"(?:cc|creative commons) (?:by|attribution) (?:sa|share ?alike)(?: [1-4] [05])?", "c"),
-    ("cc-by-nc", "cc by nc [1234] [05]", r"(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial)(?: [1-4] [05])?", "c"),
-    ("cc-by-nd", "cc by nd [1234] [05]", r"(?:cc|creative commons) (?:by|attribution) (?:nd|no ?deriv(?:s|atives|ative works))(?: [1-4] [05])?", "c"),
-    ("cc-by-nc-sa", "cc by nc sa [1234] [05]", r"(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)(?: [1-4] [05])?", "c"),
-    ("cc-by-nc-nd", "cc by nc nd [1234] [05]", r"(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?deriv(?:s|atives|ative works))(?: [1-4] [05])?", "c"),
+    ("cc0", "cc0 1 0", r"cc0|creative commons zero", "cc0|creative commons"),
+    ("cc-by", "cc by [1234] [05]", r"(?:cc|creative commons) (?:by|attribution)(?: licen[sc]e)?(?: [1-4] [05])?", "cc by|cc attribution|creative commons"),
+    ("cc-by-sa", "cc by sa [1234] [05]", r"(?:cc|creative commons) (?:by|attribution) (?:sa|share ?alike)(?: [1-4] [05])?", "cc by|cc attribution|creative commons"),
+    ("cc-by-nc", "cc by nc [1234] [05]", r"(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial)(?: [1-4] [05])?", "cc by|cc attribution|creative commons"),
+    ("cc-by-nd", "cc by nd [1234] [05]", r"(?:cc|creative commons) (?:by|attribution) (?:nd|no ?deriv(?:s|atives|ative works))(?: [1-4] [05])?", "cc by|cc attribution|creative commons"),
+    ("cc-by-nc-sa", "cc by nc sa [1234] [05]", r"(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)(?: [1-4] [05])?", "cc by|cc attribution|creative commons"),
+    ("cc-by-nc-nd", "cc by nc nd [1234] [05]", r"(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?deriv(?:s|atives|ative works))(?: [1-4] [05])?", "cc by|cc attribution|creative commons"),
     ("unlicense", "unlicense", r"unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the fuck you want to public licen[sc]e", "w"),
+    ("wtfpl", "wtfpl", r"wtfpl|do what the fuck you want to public licen[sc]e", "wtfpl|do what the fuck"),
     ("zlib", "zlib", r"zlib(?: libpng)? licen[sc]e", "zlib"),
     ("libpng", "libpng 2 0", r"libpng licen[sc]e", "libpng"),
     ("bsl-1.0", "bsl 1 0", r"boost software licen[sc]e", "boost software"),
@@ -136,10 +137,6 @@ def rules() -> list[tuple[str, str, str, int]]:
     return out
 
 
-#: For keywords too short to tell anything, phrases of which each match of their rules holds one.
-_SHORT = {"c": ("cc0", "cc by", "cc attribution", "creative commons"), "w": ("wtfpl", "do what the fuck")}
-
-
 def _needs_license(names: str) -> bool:
     """Whether each alternative has the word license outside of its groups."""
     before = ""
@@ -153,5 +150,5 @@ def gate(gap: str) -> str:
     phrases = {"licen[sc]e"}  # tags have it too
     for regex, keyword in [x[2:] for x in LICENSES] + [x[1:] for x in NOTICES]:
         if not _needs_license(regex):
-            phrases.update(_SHORT.get(keyword, (keyword,)))
+            phrases.update(keyword.split("|"))
     return "|".join(p.replace(" ", gap) for p in sorted(phrases))

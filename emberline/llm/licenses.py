@@ -4,7 +4,9 @@ A text that holds none of a few short keywords is passed by with one regex
 test. Of the others the words are joined by single spaces, each rule whose own
 keyword is there is matched with all its places, and overlapping detections are
 resolved: one that lies within another of higher priority, or within a longer
-one of the same priority, is dropped. The base phrases are always kept.
+one of the same priority, is dropped. The base phrases are always kept. Long
+texts are scanned in windows that overlap by more than the longest match, so the
+cost follows the length whatever the number of detections.
 
 Defined results: null and empty texts have no words and no detection; rows are
 neither merged nor dropped, also if they repeat.
@@ -25,15 +27,13 @@ _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GATE = gate(_GAP)
 
 
-
-
 def _blanks(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
 def _detections(joined: Column) -> Column:
     """All matches of all rules whose keyword is there: label, priority, first and last character."""
-    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("regex"), F.lit(c).alias("keyword"), F.lit(d).alias("priority")) for a, b, c, d in rules()])
+    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("regex"), F.array(*[F.lit(k) for k in c.split("|")]).alias("keywords"), F.lit(d).alias("priority")) for a, b, c, d in rules()])
 
     def places(rule: Column) -> Column:
         before = F.transform(F.split(joined, rule["regex"], -1), F.length)
@@ -46,7 +46,7 @@ def _detections(joined: Column) -> Column:
         )
         return sums["out"]
 
-    return F.flatten(F.transform(F.filter(table, lambda r: F.contains(joined, r["keyword"]) & F.regexp(joined, r["regex"])), places))
+    return F.flatten(F.transform(F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(joined, k)) & F.regexp(joined, r["regex"])), places))
 
 
 def _beaten(x: Column, by: Column) -> Column:
@@ -57,6 +57,27 @@ def _beaten(x: Column, by: Column) -> Column:
     return inside & ((by["priority"] > x["priority"]) | ((by["priority"] == x["priority"]) & (longer | (same & (by["label"] < x["label"])))))
 
 
+#: Characters of a window and of its overlap on each side; no rule matches that many.
+WINDOW, OVERLAP = 20_000, 1_000
+_KIND = "array<struct<label:string,priority:int,first:int,last:int>>"
+
+
+def _resolved(joined: Column) -> Column:
+    """Detections of the whole text that no other beats, each from the window in which it begins."""
+
+    def window(start: Column) -> Column:
+        base = F.greatest(start - OVERLAP, F.lit(0))
+        return F.struct(start.alias("start"), base.alias("base"), _detections(F.substr(joined, base + 1, F.lit(WINDOW + 2 * OVERLAP))).alias("found"))
+
+    def kept(w: Column) -> Column:
+        own = F.filter(w["found"], lambda x: (x["first"] + w["base"] >= w["start"]) & (x["first"] + w["base"] < w["start"] + WINDOW) & ~F.exists(w["found"], lambda y: _beaten(x, y)))
+        return F.transform(own, lambda x: F.struct(x["label"].alias("label"), x["priority"].alias("priority"), (x["first"] + w["base"]).alias("first"), (x["last"] + w["base"]).alias("last")))
+
+    # What is found in a window is a variable of the second step, so it is made once.
+    starts = F.sequence(F.lit(0), F.greatest(F.length(joined) - 1, F.lit(0)), F.lit(WINDOW))
+    return F.flatten(F.transform(F.transform(starts, window), kept))
+
+
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns, n_words, the base phrases' places and labels, all labels, detections and a score (0 to 1)."""
     lower = F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER)
@@ -72,7 +93,7 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
         firsts.append(F.when(here, _blanks(F.get(pieces, F.lit(0))) - 1))
         lasts.append(F.when(here, _blanks(j) - _blanks(F.element_at(pieces, -1)) - inner - 1))
         labels.append(F.when(here, F.lit(label)))
-    found = F.when(j.isNotNull(), _detections(j))
+    found = F.when(j.isNotNull(), _resolved(j))
     out = out.select(
         *keep,
         "n_words",
@@ -80,10 +101,8 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.least(*firsts).cast("long").alias("first_word"),
         F.greatest(*lasts).cast("long").alias("last_word"),
         F.array_sort(F.array_compact(F.array(*labels))).alias("_base"),
-        F.coalesce(found, F.array().cast("array<struct<label:string,priority:int,first:int,last:int>>")).alias("_found"),
+        F.coalesce(found, F.array().cast(_KIND)).alias("detections"),
     )
-    kept = F.filter("_found", lambda x: ~F.exists("_found", lambda y: _beaten(x, y)))
-    out = out.withColumn("detections", kept)
     return out.select(
         *keep,
         "n_words",
