@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,26 +111,54 @@ def prompt(root: Column, timeline: Column, ranking: Column, most: int = 8) -> Co
 def average_linkage(pairs: DataFrame, key: str, threshold: float) -> DataFrame:
     """key, node, cluster: average-linkage clusters of each key's pairs (a, b, similarity), joined down to ``threshold``.
 
-    For blocks of bounded size (an incident's alerts): one block is one task.
+    The pair of clusters with the greatest mean similarity is joined first; of
+    equal ones that of the smallest first node, then the smallest second.
+    Similarities count to nine digits, so means are exact. One block (an
+    incident's alerts) is one task, with two squares of its size in memory.
     """
 
-    def join(g: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({*g["a"], *g["b"]})
-        at = {n: i for i, n in enumerate(names)}
-        s = np.zeros((len(names), len(names)))
-        for a, b, v in zip(g["a"], g["b"], g["similarity"]):
-            s[at[a], at[b]] = s[at[b], at[a]] = v
-        groups = [[i] for i in range(len(names))]
-        while len(groups) > 1:
-            best = max(((s[np.ix_(x, y)].mean(), -i, -j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j), default=(0, 0, 0))
-            if best[0] < threshold:
+    def join(g: pa.Table) -> pa.Table:
+        ends = np.concatenate([g.column(c).to_numpy() for c in ("a", "b")])
+        names, at = np.unique(ends, return_inverse=True)
+        a, b = np.split(at, 2)
+        n = len(names)
+        sums = np.zeros((n, n))
+        sums[a, b] = sums[b, a] = np.round(g.column("similarity").to_numpy() * 1e9)
+        means = np.where(np.arange(n)[:, None] < np.arange(n)[None, :], sums, -np.inf)
+        size, leader = np.ones(n), np.arange(n)
+        other = means.argmax(1)
+        best = means[np.arange(n), other]
+        least = np.round(threshold * 1e9)
+        while True:
+            i = int(best.argmax())
+            if not best[i] >= least:
                 break
-            i, j = -best[1], -best[2]
-            groups[i] += groups.pop(j)
-        return pd.DataFrame([(g[key].iloc[0], names[i], names[min(x)]) for x in groups for i in x], columns=[key, "node", "cluster"])
+            j = int(other[i])
+            leader[leader == j] = i
+            sums[i] += sums[j]
+            sums[:, i] = sums[i]
+            size[i] += size[j]
+            size[j] = 0
+            means[j], means[:, j], best[j] = -np.inf, -np.inf, -np.inf
+            alive = np.flatnonzero(size)
+            new = sums[i, alive] / (size[i] * size[alive])
+            means[i, alive[alive > i]] = new[alive > i]
+            before = alive[alive < i]
+            means[before, i] = now = new[alive < i]
+            nearer = before[(now > best[before]) | ((now == best[before]) & (i < other[before]))]
+            # Rows whose best was one of the two look anew.
+            stale = alive[(other[alive] == j) | (other[alive] == i) | (alive == i)]
+            other[nearer], best[nearer] = i, means[nearer, i]
+            stale = np.setdiff1d(stale, nearer, assume_unique=True)
+            for part in np.array_split(stale, max(1, len(stale) // 256)):
+                rows = means[part]
+                other[part] = rows.argmax(1)
+                best[part] = rows[np.arange(len(part)), other[part]]
+        one = g.column(key).take(pa.array(np.zeros(n, np.int64)))
+        return pa.table({key: one, "node": names, "cluster": names[leader]})
 
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    return pairs.groupBy(key).applyInPandas(join, f"{key} {kinds[key]}, node {kinds['a']}, cluster {kinds['a']}")
+    return pairs.groupBy(key).applyInArrow(join, f"{key} {kinds[key]}, node {kinds['a']}, cluster {kinds['a']}")
 
 
 def external(df: DataFrame, call, schema: str, columns: list[str]) -> DataFrame:
