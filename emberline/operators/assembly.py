@@ -153,6 +153,10 @@ def normalised_result(predicted: Column, root: Column, confidence: Column, score
     }
 
 
+#: Classes (with their times) that are broadcast.
+CLASSES = 10_000
+
+
 def correlate(alerts: DataFrame, case: str, threshold: float = 0.62) -> DataFrame:
     """``alerts`` (case, ordinal, t, diagram_id, kind, severity, near) with ``root``: its cluster, named by the least ordinal.
 
@@ -166,17 +170,24 @@ def correlate(alerts: DataFrame, case: str, threshold: float = 0.62) -> DataFram
     terms = ["diagram_id", "kind", "severity", "near"]
     top = alerts.groupBy(case).agg(F.greatest(F.max("t"), F.lit(1)).alias("t_max"))
     moments = cut(alerts.groupBy(case, *terms, "t").agg(F.min("ordinal").alias("o")).join(top, case).withColumn("cls", F.md5(F.concat_ws("|", F.col(case).cast("string"), *[F.col(c).cast("string") for c in terms]))))
-    classes = moments.groupBy(case, "cls", "t_max", *terms).agg(F.array_sort(F.collect_set("t")).alias("times"))
-    a, b = classes.alias("a"), classes.alias("b")
-    pairs = a.join(b, (F.col(f"a.{case}") == F.col(f"b.{case}")) & (F.col("a.cls") < F.col("b.cls")))
+    classes = cut(moments.groupBy(case, "cls", "t_max", *terms).agg(F.array_sort(F.collect_set("t")).alias("times")))
+    a, b = classes.drop("times").alias("a"), classes.drop("times").alias("b")
     base = similarity_terms("a", "b")
-    # The least gap: each time of the one against its neighbours in the other.
-    gap = F.array_min(F.transform(F.col("a.times"), lambda x: F.least(x - F.coalesce(F.array_max(F.filter(F.col("b.times"), lambda y: y <= x)), F.lit(-100000)), F.coalesce(F.array_min(F.filter(F.col("b.times"), lambda y: y >= x)), F.lit(100000)) - x)))
-    sure = base >= threshold
-    timed = base + 0.25 * F.greatest(F.lit(0.0), 1 - 3 * gap / F.col("a.t_max"))
-    could = base + 0.25 >= threshold
-    linked = F.when(sure, True).when(~could, False).otherwise(F.round(timed, 4) >= threshold)
-    edges = pairs.where(linked).select(F.col("a.cls").alias("source"), F.col("b.cls").alias("target"))
+    pairs = a.join(b, (F.col(f"a.{case}") == F.col(f"b.{case}")) & (F.col("a.cls") < F.col("b.cls"))).where(base + 0.25 >= threshold)
+    pairs = pairs.select(F.col("a.cls").alias("source"), F.col("b.cls").alias("target"), "a.t_max", base.alias("base"))
+    # Pairs are small and dear, so their tasks are counted, not sized by bytes.
+    pairs = pairs.repartition(4 * alerts.sparkSession.sparkContext.defaultParallelism, "source", "target")
+    small = classes.count() <= CLASSES
+    for side, end in (("a", "source"), ("b", "target")):
+        times = classes.select(F.col("cls").alias(end), F.struct("times").alias(side))
+        pairs = pairs.join(F.broadcast(times) if small else times, end)
+    # The least gap: none if they share a time, else between neighbours of the merged times that differ in side.
+    merged = F.sort_array(F.concat(F.transform("a.times", lambda x: x.cast("long") * 2), F.transform("b.times", lambda x: x.cast("long") * 2 + 1)))
+    near = F.zip_with(F.slice(merged, F.lit(1), F.size(merged) - 1), F.slice(merged, F.lit(2), F.size(merged) - 1), lambda x, y: F.when(x.bitwiseXOR(y).bitwiseAND(1) == 1, F.shiftright(y, 1) - F.shiftright(x, 1)))
+    gap = F.when(F.arrays_overlap("a.times", "b.times"), F.lit(0).cast("long")).otherwise(F.array_min(near))
+    timed = F.col("base") + 0.25 * F.greatest(F.lit(0.0), 1 - 3 * gap / F.col("t_max"))
+    linked = F.when(F.col("base") >= threshold, True).otherwise(F.round(timed, 4) >= threshold)
+    edges = pairs.where(linked).select("source", "target")
     labels = components(edges)
     named = moments.join(labels.select(F.col("node").alias("cls"), F.col("root").alias("_r")), "cls", "left").withColumn("_r", F.coalesce("_r", "cls"))
     roots = named.groupBy("_r").agg(F.min("o").alias("root"))
