@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import constants as C
 from emberline.functions.scalars import hop_score, pattern_matches, sequence_score, temporal_score, weighted
+from emberline.operators.graph import cut, reach, undirected
 
 WINDOW_MINUTES = 60
 
@@ -71,16 +72,56 @@ def cluster_score(clusters_: DataFrame, enterprise: bool, topology: Column, peer
     return clusters_.select("*", *[v.alias(k) for k, v in dims.items()], F.round(score + 1e-9, 4).alias("cluster_score"))
 
 
-def topology_score(windowed: DataFrame, keys: list[str], distances: DataFrame) -> DataFrame:
-    """Mean hop score over the pairs of a window's nodes that the graph has, from distances (root, node, depth) of up to four hops.
+#: Nodes with more neighbours are hubs.
+HUB = 8
 
-    ``distances`` has a row with depth 0 for each node of the graph.
+
+def hop_table(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """How near the nodes (node_id) of a graph are, up to four hops, without their pairs.
+
+    A way of four hops leads through a hub or through none. Nodes at the same
+    distances from the same hubs are one class: (node, cls), and classes have the
+    points (twentieths of a hop score) of the ways through hubs: (a, b, points),
+    with a <= b. Pairs that a way without a hub brings nearer than that are few,
+    as it branches little: (root, node, more), with root < node.
     """
-    known = distances.where("depth = 0").select("node")
-    nodes = windowed.select(*keys, "window_start", "node").distinct().join(known, "node", "left_semi")
-    a, b = nodes.withColumnRenamed("node", "root"), nodes
-    pairs = a.join(b, [*keys, "window_start"]).where("root < node").join(distances, ["root", "node"], "left")
-    return pairs.groupBy(*keys, "window_start").agg(F.avg(F.coalesce(hop_score(F.col("depth")), F.lit(0.0))).alias("topology"))
+    both = cut(undirected(edges))
+    hubs = cut(both.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB).select(F.col("source").alias("root")))
+    near = reach(both, hubs, 4).unionByName(hubs.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
+    signs = near.join(nodes.select(F.col("node_id").alias("node")), "node", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("root", "depth"))).alias("sign"))
+    signs = cut(signs)
+    names = cut(signs.groupBy("sign").agg(F.min("node").alias("cls")))
+    classes = cut(signs.join(names, "sign").select("node", "cls"))
+    of = names.select("cls", F.explode("sign").alias("s")).select("cls", "s.root", "s.depth")
+    a, b = of.select("root", F.col("cls").alias("a"), F.col("depth").alias("_x")), of.select("root", F.col("cls").alias("b"), F.col("depth").alias("_y"))
+    points = lambda hops: F.round(20 * hop_score(hops)).cast("long")
+    through = a.join(b, "root").where((F.col("a") <= F.col("b")) & (F.col("_x") + F.col("_y") <= 4)).groupBy("a", "b").agg(F.min(F.col("_x") + F.col("_y")).alias("hops"))
+    through = cut(through.select("a", "b", points(F.col("hops")).alias("points")))
+    plain = both.join(hubs.withColumnRenamed("root", "source"), "source", "left_anti").join(hubs.withColumnRenamed("root", "target"), "target", "left_anti")
+    plain = cut(plain.select("source", "target"))
+    ways = reach(plain, plain.select(F.col("source").alias("root")).distinct(), 4).where("root < node")
+    ways = ways.join(classes.select(F.col("node").alias("root"), F.col("cls").alias("_a")), "root", "left").join(classes.select("node", F.col("cls").alias("_b")), "node", "left")
+    ways = ways.withColumns({"a": F.least("_a", "_b"), "b": F.greatest("_a", "_b")}).join(through, ["a", "b"], "left")
+    more = points(F.col("depth")) - F.when(F.col("_a").isNull() | F.col("_b").isNull(), 0).otherwise(F.coalesce("points", F.lit(0)))
+    return classes, through, cut(ways.select("root", "node", more.alias("more")).where("more > 0"))
+
+
+def topology_score(windowed: DataFrame, keys: list[str], edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Mean hop score over the pairs of a window's nodes that the graph (``edges``, ``nodes``) has; from counts by class, no pairs are made."""
+    at = [*keys, "window_start"]
+    known = nodes.select(F.col("node_id").alias("node"))
+    present = cut(windowed.select(*at, "node").distinct().join(known, "node", "left_semi").select(*at, "node"))
+    classes, through, ways = hop_table(edges, nodes)
+    size = present.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    by = cut(present.join(classes, "node").groupBy(*at, "cls").agg(F.count(F.lit(1)).alias("m")))
+    a, b = by.select(*at, F.col("cls").alias("a"), F.col("m").alias("_x")), by.select(*at, F.col("cls").alias("b"), F.col("m").alias("_y"))
+    many = F.when(F.col("a") == F.col("b"), F.col("_x") * (F.col("_x") - 1) / 2).otherwise(F.col("_x") * F.col("_y"))
+    hubs = a.join(b, at).where("a <= b").join(through, ["a", "b"]).groupBy(*at).agg(F.sum(many * F.col("points")).alias("_p"))
+    mine = present.withColumnRenamed("node", "root").join(ways, "root").join(present, [*at, "node"], "left_semi")
+    nearer = mine.groupBy(*at).agg(F.sum("more").alias("_q"))
+    total = F.coalesce("_p", F.lit(0.0)) + F.coalesce("_q", F.lit(0))
+    j = size.join(hubs, at, "left").join(nearer, at, "left")
+    return j.select(*at, (total / 20 / (F.col("n") * (F.col("n") - 1) / 2)).alias("topology"))
 
 
 def cross_score(windowed: DataFrame, keys: list[str], links: DataFrame) -> DataFrame:

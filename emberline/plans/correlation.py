@@ -177,16 +177,10 @@ def _score_sql(keys: str, enterprise: bool) -> str:
     return _HOPS + nodes + diagrams + peers + f", c AS (SELECT {keys}, window_start, count(*) AS n_events, max(t) - min(t) AS span, string_agg(bucket, ',' ORDER BY t, ordinal) AS b FROM x GROUP BY ALL), m AS (SELECT *, {_MATCH} AS k FROM c) SELECT {keys}, window_start, n_events, round(coalesce(topology, 0), 6) AS topology, round(greatest(0, least(1, {w['temporal']}::DOUBLE * CASE WHEN span <= 15 THEN 1.0 WHEN span <= 30 THEN 0.85 WHEN span <= 60 THEN 0.65 ELSE 0.4 END + {w['topology']}::DOUBLE * coalesce(topology, 0) + {w['alert_type_seq']}::DOUBLE * CASE WHEN k = 0 THEN 0.2 ELSE least(1.0, 0.55::DOUBLE + 0.15::DOUBLE * k) END + {w['source_peer']}::DOUBLE * peer + {w['cross_diagram']}::DOUBLE * crossing)) + 1e-9::DOUBLE, 4) AS cluster_score FROM m LEFT JOIN tp USING ({keys}, window_start) JOIN pe USING ({keys}, window_start) JOIN cr USING ({keys}, window_start)"
 
 
-def _hops(spark, d):
-    nodes = A.nodes(spark, d).select(F.col("node_id").alias("root")).join(A.alerts(spark, d).select(F.col("node").alias("root")).distinct(), "root", "left_semi")
-    roots = G.cut(nodes)
-    return G.reach(G.undirected(A.edges(spark, d)), roots, 4).unionByName(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
-
-
 def _scored(spark, d, keys: list[str], enterprise: bool):
     w = G.cut(E.anchored_windows(A.alerts(spark, d), keys))
     at = [*keys, "window_start"]
-    c = E.clusters(w, keys).join(E.peer_score(w, keys).withColumnRenamed("source_peer", "_peer"), at).join(E.topology_score(w, keys, _hops(spark, d)).withColumnRenamed("topology", "_topology"), at, "left")
+    c = E.clusters(w, keys).join(E.peer_score(w, keys).withColumnRenamed("source_peer", "_peer"), at).join(E.topology_score(w, keys, A.edges(spark, d), A.nodes(spark, d)).withColumnRenamed("topology", "_topology"), at, "left")
     crossing = F.lit(0.0)
     if enterprise:
         c, crossing = c.join(E.cross_score(w, keys, A.cross_edges(spark, d)), at), F.col("cross")
