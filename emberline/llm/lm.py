@@ -3,10 +3,12 @@
 Tokens are a text's words and one end. There are three levels of restaurants under
 the uniform distribution over the V training types and one unknown type: the one
 that all share; one for each class of manners of writing, whose parent is the
-shared one; and one for each anchor, the context of the tokens that follow it,
-whose parent is the anchor's class. Anchors are the most frequent words, clustered
-by which anchors follow them. A token after another word than an anchor sits in the
-restaurant of the class of the last anchor before it (class 0 before any).
+shared one; and one for each word before. Anchors are the most frequent words,
+clustered by which anchors follow them; an anchor's restaurant has the anchor's
+class as its parent. Every other word's has the class that most tokens after it are
+in (ties: the first), which is that of the last anchor before them (class 0 before
+any). A text's first token sits in class 0 itself, and one after a word that no
+training token follows in the class that it is in.
 
 Seatings are drawn by Gibbs sweeps (see seating): the tables of each word after
 each anchor given its class, then those of its classes given the shared restaurant,
@@ -15,9 +17,13 @@ probabilities, which are averaged. Draws are seeded by buckets of words, so they
 depend on the counts alone and not on how tables are cut or tasks repeated.
 
 Counts cover all training tokens, grow with the corpus and stay distributed: a
-block of documents asks for the words that it holds, each once, and gets counts
-and probabilities. What goes to all tasks has a fixed size: anchors, classes and
-a few totals of each restaurant.
+block of documents asks for the words and pairs that it holds, each once, and gets
+counts and probabilities. What goes to all tasks has a fixed size: anchors, classes
+and a few totals of their restaurants. Restaurants of other words are dealt to
+slices by their names. Their pairs that were met once have one table whatever is
+drawn, so they are customers of the class at once and stay out of the draws; while
+those of a repeated pair are drawn, the other repeated pairs of its restaurant count
+with the mean number of tables that all such pairs had in the pass before.
 
 Defined results: null texts are empty and have the end only; without a training
 text every token has the uniform probability over the unknown type, 1; repeated
@@ -57,6 +63,8 @@ class Contexts:
         self.size = CLASSES + len(anchors)
         #: The class that is the parent of each anchor's restaurant.
         self.parent = classes.astype(np.int64)
+        #: The same, then those of the restaurants of other words, which are numbered size + class.
+        self.under = np.concatenate([self.parent, np.arange(CLASSES)])
 
     def of(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The restaurant of each token; ``first`` are the tokens' starts by text."""
@@ -72,6 +80,14 @@ class Contexts:
         return np.where(inside, np.where(before == np.arange(n) - 1, CLASSES + anchor, self.classes[anchor]), 0)
 
 
+    def others(self, hashes: np.ndarray, first: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the tokens after a word that is no anchor, and the names of their restaurants."""
+        mine = r < CLASSES
+        mine[first[:-1]] = False
+        at = np.flatnonzero(mine)
+        return at, K.mix(hashes[at - 1])
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of a block, ends included, and where each text's start."""
     words, first = K.words(data, offsets)
@@ -131,34 +147,127 @@ class Model:
     ``packed`` has log10 P of the word in the shared restaurant and in those that
     had it; ``new`` is an unknown word's log10 P in the classes, ``back`` the log10
     probability that a restaurant asks its parent, ``scale`` the log10 of what a
-    restaurant's probabilities sum to before they are scaled.
+    restaurant's probabilities sum to before they are scaled. ``sheets`` (slice,
+    pairs, blob) has the pairs of other words' restaurants and, where ``pairs`` is
+    false, the tables of those met more than once, summed over ``samples`` seatings.
     """
 
-    def __init__(self, contexts: Contexts, words: DataFrame, tokens: int, types: int, new: np.ndarray, back: np.ndarray, scale: np.ndarray):
+    def __init__(self, contexts: Contexts, words: DataFrame, tokens: int, types: int, new: np.ndarray, back: np.ndarray, scale: np.ndarray, sheets: DataFrame | None, bits: int, d_other: float, samples: int = 1):
         self.contexts, self.words, self.tokens, self.types, self.new, self.back, self.scale = contexts, words, tokens, types, new, back, scale
+        self.sheets, self.bits, self.d_other, self.samples = sheets, bits, d_other, samples
+
+
+def _merged(h: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of n by (h, c)."""
+    order = np.lexsort((c, h))
+    h, c, n = h[order], c[order], n[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    starts = np.flatnonzero(new)
+    return (h[starts], c[starts], np.add.reduceat(n, starts)) if len(starts) else (h, c, n)
 
 
-def _counted(contexts: Contexts):
-    """Numbers of tokens by word and restaurant over a task's texts; parts are given out as they grow."""
+def _rows(names: list[str], *columns: np.ndarray):
+    for k in range(0, len(columns[0]), 100_000):
+        part = [x[k : k + 100_000] for x in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in part], names)
 
-    def merged(h: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.lexsort((c, h))
-        h, c, n = h[order], c[order], n[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        starts = np.flatnonzero(new)
-        return (h[starts], c[starts], np.add.reduceat(n, starts)) if len(starts) else (h, c, n)
 
-    def out(h: np.ndarray, c: np.ndarray, n: np.ndarray):
-        for k in range(0, len(h), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(h[k : k + 100_000].view(np.int64)), pa.array(c[k : k + 100_000]), pa.array(n[k : k + 100_000])], ["h", "c", "n"])
+def _counted(contexts: Contexts, all_tokens: bool = True):
+    """Numbers of tokens by word and restaurant over a task's texts, or of those that no other word's restaurant has; parts are given out as they grow."""
 
     def run(batches):
         parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for _, data, offsets in K.blocks(batch.column("text")):
                 h, first = tokens(data, offsets)
-                parts.append(merged(h, contexts.of(h, first).astype(np.int16), np.ones(len(h), np.int64)))
+                r = contexts.of(h, first)
+                if not all_tokens:
+                    mine = np.ones(len(h), bool)
+                    mine[contexts.others(h, first, r)[0]] = False
+                    h, r = h[mine], r[mine]
+                parts.append(_merged(h, r.astype(np.int16), np.ones(len(h), np.int64)))
+                if sum(len(x[0]) for x in parts) > 1_500_000:
+                    parts = [_merged(*(np.concatenate(x) for x in zip(*parts)))]
+                    if len(parts[0][0]) > 1_000_000:
+                        yield from _rows(["h", "c", "n"], *parts.pop())
+        if parts:
+            yield from _rows(["h", "c", "n"], *_merged(*(np.concatenate(x) for x in zip(*parts))))
+
+    return run
+
+
+#: The first bits of a pair's name are those of its restaurant's, so that both are in one slice.
+_HIGH = np.uint64(0xFFFF << 48)
+SLICE = 4_000_000
+
+
+def _names(k: np.ndarray, h: np.ndarray, c: np.ndarray | int = 0) -> np.ndarray:
+    """Names of pairs of restaurant and word, or of those in a class."""
+    with np.errstate(over="ignore"):
+        return (k & _HIGH) | (K.mix(k + h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xC2B2AE3D27D4EB4F) * np.asarray(c, np.uint64)) & ~_HIGH)
+
+
+def _slice(names: np.ndarray, bits: int) -> np.ndarray:
+    return ((names >> np.uint64(48)) >> np.uint64(16 - bits)).astype(np.int32)
+
+
+#: Columns of blobs. Of a slice: restaurants (name, class, number of pairs), their pairs (word, n); questions: restaurants, pairs; their answers; tables: pair, number.
+_PAIRS, _ASKS, _TELLS, _TABLES = ("<u8", "u1", "<i4", "<u8", "<i8"), ("<u8", "<u8"), ("<f4", "u1", "<f4"), ("<u8", "<i8")
+#: The class of a restaurant that no training token sat in.
+_NONE = 255
+
+
+def _zip(types: tuple[str, ...], *columns: np.ndarray) -> bytes:
+    raw = b"".join(x.astype(t).tobytes() for x, t in zip(columns, types))
+    return np.array([len(raw), *map(len, columns)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unzip(types: tuple[str, ...], blob: bytes) -> list[np.ndarray]:
+    at = 8 * (len(types) + 1)
+    length, *sizes = np.frombuffer(blob[:at], "<i8").tolist()
+    raw, out, at = pa.decompress(blob[at:], length, "zstd", asbytes=True) if length else b"", [], 0
+    for t, n in zip(types, sizes):
+        out.append(np.frombuffer(raw, t, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def _zip_pairs(k: np.ndarray, c: np.ndarray, h: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs in ascending order of their restaurants (and classes)."""
+    starts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
+    return _zip(_PAIRS, k[starts], c[starts], np.diff(np.append(starts, len(k))), h, n)
+
+
+def _cuts(slices: np.ndarray) -> list[tuple[int, int, int]]:
+    """(slice, first, end) of each slice in an ascending list."""
+    edges = [*np.flatnonzero(np.concatenate([[True], slices[1:] != slices[:-1]])).tolist(), len(slices)] if len(slices) else [0]
+    return [(int(slices[i]), i, j) for i, j in zip(edges, edges[1:])]
+
+
+def _paired(contexts: Contexts, bits: int):
+    """Pairs after other words than anchors, with their numbers by class over a task's texts, as blobs by slice."""
+
+    def merged(q: np.ndarray, k: np.ndarray, c: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(q)
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(q[order]) != 0])) if len(q) else order
+        first = order[starts]
+        return q[first], k[first], c[first], h[first], np.add.reduceat(n[order], starts) if len(q) else n
+
+    def out(q: np.ndarray, k: np.ndarray, c: np.ndarray, h: np.ndarray, n: np.ndarray):
+        order = np.lexsort((c, k))
+        k, c, h, n = k[order], c[order], h[order], n[order]
+        for part, i, j in _cuts(_slice(k, bits)):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_zip_pairs(k[i:j], c[i:j], h[i:j], n[i:j])], pa.binary())], ["slice", "blob"])
+
+    def run(batches):
+        parts: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            for _, data, offsets in K.blocks(batch.column("text")):
+                h, first = tokens(data, offsets)
+                r = contexts.of(h, first)
+                at, k = contexts.others(h, first, r)
+                parts.append((_names(k, h[at], r[at]), k, r[at].astype(np.uint8), h[at], np.ones(len(at), np.int64)))
                 if sum(len(x[0]) for x in parts) > 1_500_000:
                     parts = [merged(*(np.concatenate(x) for x in zip(*parts)))]
                     if len(parts[0][0]) > 1_000_000:
@@ -169,11 +278,55 @@ def _counted(contexts: Contexts):
     return run
 
 
+def _whole(key, table):
+    """A slice's pairs summed over all tasks and classes, each restaurant's class, and how many pairs were met once and twice."""
+    parts = []
+    for blob in table.column("blob"):
+        k, c, size, h, n = _unzip(_PAIRS, blob.as_py())
+        parts.append((np.repeat(k, size), np.repeat(c, size), h, n))
+    k, c, h, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((h, k))
+    k, c, h, n = k[order], c[order], h[order], n[order]
+    owner = np.cumsum(np.concatenate([[False], k[1:] != k[:-1]]))
+    c = np.bincount(owner * CLASSES + c, n, (owner[-1] + 1) * CLASSES).reshape(-1, CLASSES).argmax(1).astype(np.uint8)[owner]
+    starts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]))
+    n = np.add.reduceat(n, starts)
+    blob = pa.array([_zip_pairs(k[starts], c[starts], h[starts], n)], pa.binary())
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "blob": blob, "once": [int((n == 1).sum())], "twice": [int((n == 2).sum())]})
+
+
+def _once(batches):
+    """Pairs met once, as customers of the class: (word, class, number)."""
+    for batch in batches:
+        for blob in batch.column("blob"):
+            _, c, size, h, n = _unzip(_PAIRS, blob.as_py())
+            one = n == 1
+            h, c, n = _merged(h[one], np.repeat(c, size)[one].astype(np.int16), n[one])
+            yield from _rows(["h", "c", "n"], h, c, n)
+
+
+def _often(contexts: Contexts):
+    """Pairs met more than once: word, restaurant, number, the restaurant's name and its pairs met once and more than once."""
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column("blob"):
+                k, c, size, h, n = _unzip(_PAIRS, blob.as_py())
+                owner = np.repeat(np.arange(len(k)), size)
+                more = n > 1
+                m = np.bincount(owner[more], minlength=len(k))
+                owner = owner[more]
+                yield from _rows(["h", "c", "n", "k", "s", "m"], h[more], (contexts.size + c[owner].astype(np.int64)).astype(np.int16), n[more], k[owner], (size - m)[owner].astype(np.int64), m[owner])
+
+    return run
+
+
 class Totals:
-    """Customers and tables of all restaurants."""
+    """Customers and tables of the shared restaurant, the classes' and the anchors'; of other words' the discount and the mean tables of a repeated pair."""
 
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, shared_tables: float, types: int, d: np.ndarray, d_shared: float):
+    def __init__(self, customers: np.ndarray, tables: np.ndarray, shared_tables: float, types: int, d: np.ndarray, d_shared: float, d_other: float, mean: float):
         self.customers, self.tables, self.shared_tables, self.types, self.d, self.d_shared = customers, tables, shared_tables, types, d, d_shared
+        self.d_other, self.mean = d_other, mean
 
     def shared(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
         """P of words with c customers at t tables in the shared restaurant."""
@@ -186,25 +339,31 @@ class Totals:
 
 
 class Seats:
-    """A bucket of words with their cells (owner: the word's place, r: restaurant, n: tokens) and tables."""
+    """A bucket of words with their cells (owner: the word's place, r: restaurant, n: tokens) and tables.
 
-    def __init__(self, contexts: Contexts, h: np.ndarray, owner: np.ndarray, r: np.ndarray, n: np.ndarray, t: np.ndarray, tables: np.ndarray, top: np.ndarray, drawn: np.ndarray):
+    Cells of other words' restaurants have its name k, its pairs met once (s) and more
+    than once (m), and the sum of their tables over what was predicted (seen).
+    """
+
+    def __init__(self, contexts: Contexts, h: np.ndarray, owner: np.ndarray, r: np.ndarray, n: np.ndarray, t: np.ndarray, tables: np.ndarray, top: np.ndarray, drawn: np.ndarray, k: np.ndarray, s: np.ndarray, m: np.ndarray, seen: np.ndarray):
         self.contexts, self.h, self.owner, self.r, self.n, self.t, self.tables, self.top, self.drawn = contexts, h, owner, r, n, t, tables, top, drawn
+        self.k, self.s, self.m, self.seen = k, s, m, seen
         self.leaf = np.flatnonzero(r >= CLASSES)
-        self.at = (owner[self.leaf], contexts.parent[r[self.leaf] - CLASSES])
+        self.near, self.far = np.flatnonzero(r[self.leaf] < contexts.size), np.flatnonzero(r[self.leaf] >= contexts.size)
+        self.at = (owner[self.leaf], contexts.under[r[self.leaf] - CLASSES])
         self.direct = np.zeros((len(h), CLASSES), np.int64)
         mine = np.flatnonzero(r < CLASSES)
         self.direct[owner[mine], r[mine]] = n[mine]
 
     @staticmethod
-    def first(contexts: Contexts, h: np.ndarray, owner: np.ndarray, r: np.ndarray, n: np.ndarray) -> Seats:
+    def first(contexts: Contexts, h: np.ndarray, owner: np.ndarray, r: np.ndarray, n: np.ndarray, k: np.ndarray, s: np.ndarray, m: np.ndarray) -> Seats:
         """Everybody who eats the same in a restaurant at one table."""
-        out = Seats(contexts, h, owner, r, n, np.ones(len(n), np.int64), np.zeros((len(h), CLASSES), np.int64), np.ones(len(h), np.int64), np.zeros(0))
+        out = Seats(contexts, h, owner, r, n, np.ones(len(n), np.int64), np.zeros((len(h), CLASSES), np.int64), np.ones(len(h), np.int64), np.zeros(0), k, s, m, np.zeros(len(k), np.int64))
         out.tables = (out.customers() > 0).astype(np.int64)
         return out
 
     def customers(self) -> np.ndarray:
-        """Customers of the classes, by word: tokens of their own and the tables of their anchors' restaurants."""
+        """Customers of the classes, by word: tokens of their own and the tables of the restaurants under them."""
         out = self.direct.copy()
         np.add.at(out, self.at, self.t[self.leaf])
         return out
@@ -217,9 +376,11 @@ class Seats:
 
     def sweep(self, totals: Totals, rng: np.random.Generator) -> None:
         """Draws all tables anew, from the anchors' restaurants to the shared one."""
-        leaf, r, n = self.leaf, self.r[self.leaf], self.n[self.leaf]
-        p = self._classes(self.customers(), totals)
-        self.t[leaf] = draw(n, p[self.at], np.maximum(totals.tables[r] - self.t[leaf], 0), float(totals.d[-1]), THETA, rng)
+        p = self._classes(self.customers(), totals)[self.at]
+        leaf = self.leaf[self.near]
+        self.t[leaf] = draw(self.n[leaf], p[self.near], np.maximum(totals.tables[self.r[leaf]] - self.t[leaf], 0), float(totals.d[-1]), THETA, rng)
+        leaf = self.leaf[self.far]
+        self.t[leaf] = draw(self.n[leaf], p[self.far], self.s + (self.m - 1) * totals.mean, totals.d_other, THETA, rng)
         m = self.customers()
         cells = np.nonzero(m)
         p0 = totals.shared(self.tables.sum(1), self.top)
@@ -231,32 +392,35 @@ class Seats:
 
     def predict(self, totals: Totals) -> None:
         """Adds P by these seatings to what earlier ones gave: in the shared restaurant, the classes, the anchors' restaurants by cell."""
-        leaf, r, n = self.leaf, self.r[self.leaf], self.n[self.leaf]
+        leaf = self.leaf[self.near]
+        r, n = self.r[leaf], self.n[leaf]
         p = self._classes(self.customers(), totals)
         own = np.maximum(n - totals.d[r] * self.t[leaf], 0) / (totals.customers[r] + THETA)
-        now = np.concatenate([totals.shared(self.tables.sum(1), self.top), p.reshape(-1), own + totals.weights()[r] * p[self.at]])
+        now = np.concatenate([totals.shared(self.tables.sum(1), self.top), p.reshape(-1), own + totals.weights()[r] * p[self.at][self.near]])
         self.drawn = self.drawn + now if len(self.drawn) else now
+        self.seen = self.seen + self.t[self.leaf[self.far]]
 
     def sums(self) -> dict[str, np.ndarray]:
-        """Customers and tables by restaurant, tables in the shared one, and how many cells have one customer or two."""
+        """Customers and tables by restaurant, tables in the shared one, how many cells have one customer or two, and tables and number of other words' cells."""
         size, m = self.contexts.size, self.customers()
-        r, n = self.r[self.leaf], self.n[self.leaf]
+        leaf, far = self.leaf[self.near], self.leaf[self.far]
+        r, n = self.r[leaf], self.n[leaf]
         customers = np.bincount(r, n, size)
-        tables = np.bincount(r, self.t[self.leaf], size)
+        tables = np.bincount(r, self.t[leaf], size)
         customers[:CLASSES], tables[:CLASSES] = m.sum(0), self.tables.sum(0)
         c = self.tables.sum(1)
         ones = [(x == v).sum() for x in (n, m, c) for v in (1, 2)]
-        return {"customers": customers, "tables": tables, "rest": np.array([self.top.sum(), len(self.h), self.n.sum(), *ones], float)}
+        return {"customers": customers, "tables": tables, "rest": np.array([self.top.sum(), len(self.h), self.n.sum(), *ones, self.t[far].sum(), len(far)], float)}
 
 
 #: Cells of a bucket of words; buckets grow in number with the corpus, not in size.
 BUCKET = 50_000
-_BUCKET = "b int, h array<long>, size array<int>, r array<short>, n array<long>, t array<long>, tables array<long>, top array<long>, drawn array<double>"
+_BUCKET = "b int, h array<long>, size array<int>, r array<short>, n array<long>, t array<long>, tables array<long>, top array<long>, drawn array<double>, k array<long>, s array<long>, m array<long>, seen array<long>"
 
 
 def _row(bucket: int, s: Seats) -> pa.RecordBatch:
-    lists = [s.h.view(np.int64), np.bincount(s.owner, minlength=len(s.h)).astype(np.int32), s.r.astype(np.int16), s.n, s.t, s.tables.reshape(-1), s.top, s.drawn]
-    names = ["b", "h", "size", "r", "n", "t", "tables", "top", "drawn"]
+    lists = [s.h.view(np.int64), np.bincount(s.owner, minlength=len(s.h)).astype(np.int32), s.r.astype(np.int16), s.n, s.t, s.tables.reshape(-1), s.top, s.drawn, s.k, s.s, s.m, s.seen]
+    names = ["b", "h", "size", "r", "n", "t", "tables", "top", "drawn", "k", "s", "m", "seen"]
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in lists]], names)
 
 
@@ -264,8 +428,8 @@ def _buckets(contexts: Contexts, batches):
     """The buckets of a task, one at a time."""
     for batch in batches:
         for i in range(batch.num_rows):
-            h, size, r, n, t, tables, top, drawn = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).copy() for c in ("h", "size", "r", "n", "t", "tables", "top", "drawn"))
-            yield batch.column("b")[i].as_py(), Seats(contexts, h.view(np.uint64), np.repeat(np.arange(len(h)), size), r.astype(np.int64), n, t, tables.reshape(-1, CLASSES), top, drawn)
+            h, size, r, n, t, tables, top, drawn, *far = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).copy() for c in ("h", "size", "r", "n", "t", "tables", "top", "drawn", "k", "s", "m", "seen"))
+            yield batch.column("b")[i].as_py(), Seats(contexts, h.view(np.uint64), np.repeat(np.arange(len(h)), size), r.astype(np.int64), n, t, tables.reshape(-1, CLASSES), top, drawn, *far)
 
 
 def _totals(state: DataFrame, contexts: Contexts) -> dict[str, np.ndarray]:
@@ -280,7 +444,7 @@ def _totals(state: DataFrame, contexts: Contexts) -> dict[str, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(v)), pa.array(np.arange(len(v))), pa.array(v.astype(float))], ["k", "i", "v"])
 
     got = state.mapInArrow(run, "k string, i long, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas()
-    out = {"customers": np.zeros(contexts.size), "tables": np.zeros(contexts.size), "rest": np.zeros(9)}
+    out = {"customers": np.zeros(contexts.size), "tables": np.zeros(contexts.size), "rest": np.zeros(11)}
     for k, part in got.groupby("k"):
         out[k][part["i"]] = part["v"]
     return out
@@ -294,16 +458,27 @@ def fit(texts: DataFrame, scratch: Scratch, passes: int = 3, sweeps: int = 2, sa
     seatings whose probabilities, by their own totals, are averaged.
     """
     contexts = fit_contexts(texts)
-    partial = texts.select("text").mapInArrow(_counted(contexts), "h long, c short, n long")
-    cells = scratch.write(partial.groupBy("h", "c").agg(F.sum("n").alias("n")), "cells")
+    texts = texts.select("text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(16, (size // SLICE).bit_length())
+    pairs = texts.mapInArrow(_paired(contexts, bits), "slice int, blob binary").groupBy("slice").applyInArrow(_whole, "slice int, blob binary, once long, twice long")
+    pairs = scratch.write(pairs, "pairs")
+    met = pairs.agg(F.sum("once"), F.sum("twice")).first()
+    cell = "h long, c short, n long"
+    partial = texts.mapInArrow(_counted(contexts, all_tokens=False), cell).union(pairs.select("blob").mapInArrow(_once, cell))
+    near = partial.groupBy("h", "c").agg(F.sum("n").alias("n")).selectExpr("h", "c", "n", "0L as k", "0L as s", "0L as m")
+    cells = scratch.write(near.union(pairs.select("blob").mapInArrow(_often(contexts), f"{cell}, k long, s long, m long")), "cells")
     buckets = max(1, -(-cells.count() // BUCKET))
 
     def gather(key, table):
-        h, r, n = (table.column(c).to_numpy() for c in ("h", "c", "n"))
+        h, r, n, *far = (table.column(c).to_numpy() for c in ("h", "c", "n", "k", "s", "m"))
         h = h.view(np.uint64)
-        order = np.lexsort((r, h))
-        words, owner = np.unique(h[order], return_inverse=True)
-        s = Seats.first(contexts, words, owner, r[order].astype(np.int64), n[order])
+        order = np.lexsort((far[0], r, h))
+        words = h[order]
+        new = np.concatenate([[True], words[1:] != words[:-1]])
+        words, owner = words[new], np.cumsum(new) - 1
+        last = order[r[order] >= contexts.size]
+        s = Seats.first(contexts, words, owner, r[order].astype(np.int64), n[order], *(x[last] for x in far))
         return pa.Table.from_batches([_row(key[0].as_py(), s)])
 
     dealt = cells.withColumn("b", F.pmod(F.hash("h"), F.lit(buckets)))
@@ -313,12 +488,13 @@ def fit(texts: DataFrame, scratch: Scratch, passes: int = 3, sweeps: int = 2, sa
     types, tokens_seen = int(sums["rest"][1]), int(sums["rest"][2])
     if not types:
         none = state.selectExpr("cast(b as bigint) as h", "cast(0 as bigint) as n", "cast('' as binary) as packed")
-        return Model(contexts, none, 0, 0, np.zeros(CLASSES), np.zeros(contexts.size), np.zeros(contexts.size))
+        return Model(contexts, none, 0, 0, np.zeros(CLASSES), np.zeros(contexts.size), np.zeros(contexts.size), None, 0, 0.5)
     after, kind, word = (discount(once=sums["rest"][k], twice=sums["rest"][k + 1]) for k in (3, 5, 7))
     d = np.where(np.arange(contexts.size) < CLASSES, kind, after)
+    other = discount(once=met[0] or 0, twice=met[1] or 0)
     weights, unknown = [], []
     for p in range(passes + 1):
-        totals = Totals(sums["customers"], sums["tables"], float(sums["rest"][0]), types, d, word)
+        totals = Totals(sums["customers"], sums["tables"], float(sums["rest"][0]), types, d, word, other, float(sums["rest"][9] / max(sums["rest"][10], 1)))
         counted = p > passes - samples
         if counted:
             weights.append(totals.weights())
@@ -338,14 +514,36 @@ def fit(texts: DataFrame, scratch: Scratch, passes: int = 3, sweeps: int = 2, sa
                 s.predict(totals)
                 root, classes, leaf = np.split(np.log10(s.drawn / samples), [len(s.h), len(s.h) * (CLASSES + 1)])
                 at = np.nonzero(s.customers())
-                owner, r = np.concatenate([at[0], s.owner[s.leaf]]), np.concatenate([at[1], s.r[s.leaf]])
+                near = s.leaf[s.near]
+                owner, r = np.concatenate([at[0], s.owner[near]]), np.concatenate([at[1], s.r[near]])
                 packed = _pack(root, owner, r, np.concatenate([classes.reshape(-1, CLASSES)[at], leaf]))
                 n = np.bincount(s.owner, s.n, len(s.h)).astype(np.int64)
                 for k in range(0, len(n), 20_000):
                     part = slice(k, k + 20_000)
                     yield pa.RecordBatch.from_arrays([pa.array(s.h[part].view(np.int64)), pa.array(n[part]), packed[part]], ["h", "n", "packed"])
 
+        def seats(batches):
+            parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def out():
+                q, t = (np.concatenate(x) for x in zip(*parts))
+                order = np.argsort(q)
+                q, t = q[order], t[order]
+                found = _cuts(_slice(q, bits))
+                blobs = [_zip(_TABLES, q[i:j], t[i:j]) for _, i, j in found]
+                return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array(blobs, pa.binary())], ["slice", "blob"])
+
+            for _, s in _buckets(contexts, batches):
+                far = s.leaf[s.far]
+                parts.append((_names(s.k.view(np.uint64), s.h[s.owner[far]]), s.seen + s.t[far]))
+                if sum(len(x[0]) for x in parts) > 1_000_000:
+                    yield out()
+                    parts.clear()
+            if parts:
+                yield out()
+
         if p == passes:
+            tables = scratch.write(state.mapInArrow(seats, "slice int, blob binary"), "tables")
             words = scratch.write(state.mapInArrow(average, "h long, n long, packed binary"), "words")
             scratch.drop(state)
             break
@@ -354,6 +552,7 @@ def fit(texts: DataFrame, scratch: Scratch, passes: int = 3, sweeps: int = 2, sa
         state = seated
         sums = _totals(state, contexts)
 
+    sheets = pairs.selectExpr("slice", "true as pairs", "blob").union(tables.selectExpr("slice", "false as pairs", "blob"))
     back, new = np.log10(np.mean(weights, 0)), np.log10(np.mean(unknown, 0))
     # Averages of what is handed on to parents are taken factor by factor, so each restaurant's probabilities are scaled to sum to 1.
     got = words.select("packed").mapInArrow(_masses(contexts, back), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
@@ -361,7 +560,7 @@ def fit(texts: DataFrame, scratch: Scratch, passes: int = 3, sweeps: int = 2, sa
     mass[got["i"]] = got["v"]
     mass[:CLASSES] += 10**new
     mass[CLASSES:] += 10 ** back[CLASSES:] * mass[contexts.parent]
-    return Model(contexts, words, tokens_seen, types, new, back, np.log10(mass))
+    return Model(contexts, words, tokens_seen, types, new, back, np.log10(mass), sheets, bits, other, samples)
 
 
 _ENTRY = np.dtype([("r", "<u2"), ("p", "<f4")])
@@ -473,6 +672,68 @@ def _gathered(batches):
         yield out(parts)
 
 
+def _told(d: float, samples: int):
+    """Answers of a slice: by restaurant its class and the probability that it asks that, by pair what it has beyond that; the mean of the tables tells both."""
+
+    def run(key, left, right):
+        k, back, c, q, own = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint8), np.zeros(0, np.uint64), np.zeros(0)
+        kinds, blobs = right.column("pairs").to_pylist(), right.column("blob")
+        found = [_unzip(_PAIRS, blobs[i].as_py()) for i, kind in enumerate(kinds) if kind]
+        if found and left.num_rows:
+            k, c, size, h, n = found[0]
+            owner = np.repeat(np.arange(len(k)), size)
+            q = _names(k[owner], h)
+            order = np.argsort(q)
+            q, owner, n, t = q[order], owner[order], n[order], np.ones(len(q))
+            for i, kind in enumerate(kinds):
+                if not kind:
+                    pair, tables = _unzip(_TABLES, blobs[i].as_py())
+                    t[np.searchsorted(q, pair)] = tables / samples
+            customers = np.bincount(owner, n, len(k)) + THETA
+            back = (THETA + d * np.bincount(owner, t, len(k))) / customers
+            own = np.maximum(n - d * t, 0) / customers[owner]
+
+        def looked_up(names, values, wanted, missing):
+            if not len(names):
+                return np.full(len(wanted), missing)
+            at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+            return np.where(names[at] == wanted, values[at], missing)
+
+        asked: dict[int, list[list[np.ndarray]]] = {}
+        for block, blob in zip(left.column("block").to_pylist(), left.column("blob")):
+            asked.setdefault(block, []).append(_unzip(_ASKS, blob.as_py()))
+        out = []
+        for parts in asked.values():
+            ks, qs = parts[0] if len(parts) == 1 else (_unique(np.concatenate(x)) for x in zip(*parts))
+            out.append(_zip(_TELLS, looked_up(k, back, ks, 1.0), looked_up(k, c, ks, _NONE), looked_up(q, own, qs, 0.0)))
+        return pa.table({"block": pa.array(list(asked), pa.int64()), "slice": pa.array([key[0].as_py()] * len(out), pa.int32()), "blob": pa.array(out, pa.binary())})
+
+    return run
+
+
+def _unique(x: np.ndarray) -> np.ndarray:
+    """Distinct values in ascending order; np.unique of long arrays hashes them, which takes longer than to sort them."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+class Asked:
+    """Distinct restaurants of other words and pairs of a block, both in ascending order."""
+
+    def __init__(self):
+        self.k: list[np.ndarray] = []
+        self.q: list[np.ndarray] = []
+
+    def add(self, k: np.ndarray, q: np.ndarray) -> None:
+        for have, new in ((self.k, k), (self.q, q)):
+            have.append(_unique(new))
+            if sum(map(len, have[1:])) > max(500_000, len(have[0])):
+                have[:] = [_unique(np.concatenate(have))]
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(_unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in (self.k, self.q))
+
+
 def _masses(contexts: Contexts, back: np.ndarray):
     """Sums of P over words: all of a class; of an anchor's restaurant what its cells have beyond their parent's part."""
 
@@ -542,6 +803,34 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for b in list(seen):
             yield rows(b)
 
+    paired, bits = model.sheets is not None, model.bits
+
+    def asked_pairs(batches):
+        seen: dict[int, Asked] = {}
+
+        def rows(b):
+            k, q = seen.pop(b).all()
+            found, pairs = _cuts(_slice(k, bits)), _cuts(_slice(q, bits))
+            blobs = [_zip(_ASKS, k[i:j], q[x:y]) for (_, i, j), (_, x, y) in zip(found, pairs)]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([b] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["slice", "block", "blob"])
+
+        for batch in batches:
+            blocks = batch.column(number_of).to_numpy()
+            for first, data, offsets in K.blocks(batch.column(text)):
+                h, at = tokens(data, offsets)
+                r = contexts.of(h, at)
+                mine = blocks[first : first + len(offsets) - 1]
+                where, k = contexts.others(h, at, r)
+                q = _names(k, h[where])
+                for b in np.unique(mine).tolist():
+                    for done in [x for x in seen if x != b]:
+                        yield rows(done)
+                    i = np.flatnonzero(mine == b)
+                    part = slice(*np.searchsorted(where, [at[i[0]], at[i[-1] + 1]]))
+                    seen.setdefault(b, Asked()).add(k[part], q[part])
+        for b in list(seen):
+            yield rows(b)
+
     contexts, total, types, new, back, scale = model.contexts, model.tokens, model.types, model.new, model.back, model.scale
     parents = np.concatenate([np.arange(CLASSES), contexts.parent])
     floor = math.log10(total + types + 1)
@@ -549,7 +838,8 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = _expand(_squeeze([np.zeros(0)] * 6))
-        parts = [_expand(x.as_py()) for x in right.column("blob")]
+        slices = right.column("slice").to_numpy()
+        parts = [_expand(x.as_py()) for x in right.column("blob").filter(pa.array(slices < 0))]
         h, count, *cells = (np.concatenate(x) for x in zip(empty, *parts))
         known = h.view(np.uint64)
         order = np.argsort(known)
@@ -570,6 +860,18 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             at = np.searchsorted(cell[:-1], wanted)
             return np.where(cell[at] == wanted, cell_p[at], own) - scale[r]
 
+        ask = Asked()
+        for batch in left.to_batches() if paired else []:
+            for _, data, offsets in K.blocks(batch.column(text)):
+                h, at = tokens(data, offsets)
+                where, k = contexts.others(h, at, contexts.of(h, at))
+                ask.add(k, _names(k, h[where]))
+        ks, qs = ask.all()
+        told = [_unzip(_TELLS, right.column("blob")[i].as_py()) for i in np.argsort(slices, kind="stable").tolist() if slices[i] >= 0]
+        asks, kinds, has = (np.concatenate(x) for x in zip([np.zeros(0), np.zeros(0, np.uint8), np.zeros(0)], *told))
+        if (len(asks), len(has)) != (len(ks), len(qs)):
+            raise ValueError(f"a block asked for {len(ks)} restaurants and {len(qs)} pairs and was told {len(asks)} and {len(has)}")
+
         parts = []
         for batch in left.to_batches():
             for first, data, offsets in K.blocks(batch.column(text)):
@@ -577,7 +879,13 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 pos = np.searchsorted(known, h)
                 pos[known[pos] != h] = len(known) - 1
                 c = count[pos]
-                p = log_p(pos, contexts.of(h, at))
+                r = contexts.of(h, at)
+                p = log_p(pos, r)
+                if paired:
+                    where, k = contexts.others(h, at, r)
+                    mine = np.searchsorted(ks, k)
+                    under = log_p(pos[where], np.where(kinds[mine] == _NONE, r[where], kinds[mine]))
+                    p[where] = np.log10(has[np.searchsorted(qs, _names(k, h[where]))] + asks[mine] * 10**under)
 
                 def sums(values):
                     return np.add.reduceat(values, at[:-1]) if len(values) else values
@@ -589,9 +897,16 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         return pa.table({**{k: left.column(k) for k in keep}, **{k: pa.array([], t) for k, t in zip(out_names[len(keep) :], (pa.int64(), pa.int64(), pa.float64(), pa.float64()))}})
 
     source = docs.select(*keep, F.col("text").alias(text))
-    blocks = Scratch(docs.sparkSession, "lm-blocks").write(source.mapInArrow(dealt, f"`{number_of}` long, {spec}, `{text}` string"), "blocks")
+    scratch = Scratch(docs.sparkSession, "lm-blocks")
+    blocks = scratch.write(source.mapInArrow(dealt, f"`{number_of}` long, {spec}, `{text}` string"), "blocks")
     questions = blocks.select(number_of, text).mapInArrow(asked, "block long, h long, wanted binary")
-    answers = questions.join(model.words, "h").select("block", "h", "n", "packed", "wanted").mapInArrow(_gathered, "block long, blob binary")
+    if paired:  # written, so that the questions' shuffle has gone before the words are asked for
+        pairs = blocks.select(number_of, text).mapInArrow(asked_pairs, "slice int, block long, blob binary")
+        pairs = pairs.groupBy("slice").cogroup(model.sheets.groupBy("slice")).applyInArrow(_told(model.d_other, model.samples), "block long, slice int, blob binary")
+        told = scratch.write(pairs, "told")
+    answers = questions.join(model.words, "h").select("block", "h", "n", "packed", "wanted").mapInArrow(_gathered, "block long, blob binary").selectExpr("block", "-1 as slice", "blob")
+    if paired:
+        answers = answers.union(told)
     types_of = ", ".join(f"`{n}` {t}" for n, t in zip(results, ("long", "long", "double", "double")))
     out = blocks.groupBy(number_of).cogroup(answers.groupBy("block")).applyInArrow(scored, f"{spec}, {types_of}")
     return out.withColumn(fresh(kept, "perplexity"), F.pow(F.lit(10.0), -F.col(results[3]) / F.col(results[0])))
