@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emberline.llm.textkernel import release
+
 
 #: Folders of local sessions without spark.checkpoint.dir, by application.
 _OWN: dict[str, str] = {}
@@ -54,14 +55,14 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Has the driver collect its garbage, so that plans, broadcasts and shuffles of ended queries don't pile up in a long job."""
-    gc.collect()
+    """Has the driver, Python and JVM, collect its garbage and give memory back, so that plans, broadcasts and shuffles of ended queries don't pile up in a long job."""
+    release()
     with contextlib.suppress(Exception):  # where the session has no gateway the driver does so in its own time
         spark.sparkContext._jvm.java.lang.System.gc()
 
 
 #: Tables after which the driver is tidied.
-TIDY = 10
+TIDY = 5
 
 
 class Scratch:
