@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from emberline.llm import decontam, minhash, packing, paragraphs, toxicity
 from emberline.llm.links import bounded
-from emberline.llm.scratch import Scratch
+from emberline.llm.scratch import Scratch, tidy
 
 CAPACITY = 2048
 
@@ -20,6 +20,7 @@ CAPACITY = 2048
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject (score under 0.7)."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    tidy(spark)  # the fitting's tables of terms and features
     return toxicity.accepted(docs, model)
 
 
