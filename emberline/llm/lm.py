@@ -46,7 +46,7 @@ from emberline.llm import textkernel as K
 from emberline.llm.scratch import Scratch, fresh
 from emberline.llm.seating import discount, draw
 
-BLOCK = 24_000_000
+BLOCK = 14_000_000
 THETA = 1.0
 ANCHORS, CLASSES = 256, 6
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
@@ -152,9 +152,11 @@ class Model:
     false, the tables of those met more than once, summed over ``samples`` seatings.
     """
 
-    def __init__(self, contexts: Contexts, words: DataFrame, tokens: int, types: int, new: np.ndarray, back: np.ndarray, scale: np.ndarray, sheets: DataFrame | None, bits: int, d_other: float, samples: int = 1):
+    def __init__(self, contexts: Contexts, words: DataFrame, tokens: int, types: int, new: np.ndarray, back: np.ndarray, scale: np.ndarray, sheets: DataFrame | None, bits: int, d_other: float, samples: int = 1, tables: tuple[DataFrame, ...] = ()):
         self.contexts, self.words, self.tokens, self.types, self.new, self.back, self.scale = contexts, words, tokens, types, new, back, scale
         self.sheets, self.bits, self.d_other, self.samples = sheets, bits, d_other, samples
+        #: Written tables of ``sheets``, then that of ``words``.
+        self.tables = tables
 
 
 def _merged(h: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -173,8 +175,8 @@ def _rows(names: list[str], *columns: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in part], names)
 
 
-def _counted(contexts: Contexts, all_tokens: bool = True):
-    """Numbers of tokens by word and restaurant over a task's texts, or of those that no other word's restaurant has; parts are given out as they grow."""
+def _counted(contexts: Contexts):
+    """Numbers of tokens by word and restaurant over a task's texts; parts are given out as they grow."""
 
     def run(batches):
         parts: list[tuple[np.ndarray, ...]] = []
@@ -182,10 +184,6 @@ def _counted(contexts: Contexts, all_tokens: bool = True):
             for _, data, offsets in K.blocks(batch.column("text")):
                 h, first = tokens(data, offsets)
                 r = contexts.of(h, first)
-                if not all_tokens:
-                    mine = np.ones(len(h), bool)
-                    mine[contexts.others(h, first, r)[0]] = False
-                    h, r = h[mine], r[mine]
                 parts.append(_merged(h, r.astype(np.int16), np.ones(len(h), np.int64)))
                 if sum(len(x[0]) for x in parts) > 1_500_000:
                     parts = [_merged(*(np.concatenate(x) for x in zip(*parts)))]
@@ -194,7 +192,7 @@ def _counted(contexts: Contexts, all_tokens: bool = True):
         if parts:
             yield from _rows(["h", "c", "n"], *_merged(*(np.concatenate(x) for x in zip(*parts))))
 
-    return run
+    return K.released(run)
 
 
 #: The first bits of a pair's name are those of its restaurant's, so that both are in one slice.
@@ -213,13 +211,28 @@ def _slice(names: np.ndarray, bits: int) -> np.ndarray:
 
 
 #: Columns of blobs. Of a slice: restaurants (name, class, number of pairs), their pairs (word, n); questions: restaurants, pairs; their answers; tables: pair, number.
-_PAIRS, _ASKS, _TELLS, _TABLES = ("<u8", "u1", "<i4", "<u8", "<i8"), ("<u8", "<u8"), ("<f4", "u1", "<f4"), ("<u8", "<i8")
+_PAIRS, _ASKS, _TELLS, _TABLES = ("<u8", "u1", "<i4", "<u8", "<i8"), ("+<u8", "+<u8"), ("<f4", "u1", "<f4"), ("<u8", "<i8")
+#: Of a block: its distinct words, anchors' cells by word that it asks for, their restaurants; tokens by text and each token's word.
+_BLOCK = ("+<u8", "<i4", "<u2", "<i8", "|<i4")
+#: Of a bucket's cells: word, restaurant, n; word, class, n, restaurant's name, its pairs met once, more than once.
+_NEAR, _FAR = ("<u8", "<i2", "<i8"), ("<u8", "u1", "<i8", "<u8", "<i4", "<i4")
+#: Of its seats: what stays (words, cells by word; cells' restaurants, n; names, pairs met once and more than once), what is drawn (t, tables, top, drawn, seen).
+_FIXED, _DRAWN = ("<u8", "<i4", "<i2", "<i8", "<u8", "<i4", "<i4"), ("<i8", "<i8", "<i8", "<f8", "<i8")
 #: The class of a restaurant that no training token sat in.
 _NONE = 255
 
 
 def _zip(types: tuple[str, ...], *columns: np.ndarray) -> bytes:
-    raw = b"".join(x.astype(t).tobytes() for x, t in zip(columns, types))
+    """Columns as one compressed value; those of types with a bar are kept byte by byte, those with a plus, which ascend, so by their gaps."""
+
+    def raw_of(x: np.ndarray, t: str) -> bytes:
+        if t[0] not in "+|":
+            return x.astype(t).tobytes()
+        x = np.ascontiguousarray(x, t[1:])
+        x = np.concatenate([x[:1], x[1:] - x[:-1]]) if t[0] == "+" else x
+        return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+    raw = b"".join(raw_of(x, t) for x, t in zip(columns, types))
     return np.array([len(raw), *map(len, columns)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
@@ -228,7 +241,12 @@ def _unzip(types: tuple[str, ...], blob: bytes) -> list[np.ndarray]:
     length, *sizes = np.frombuffer(blob[:at], "<i8").tolist()
     raw, out, at = pa.decompress(blob[at:], length, "zstd", asbytes=True) if length else b"", [], 0
     for t, n in zip(types, sizes):
-        out.append(np.frombuffer(raw, t, n, at))
+        if t[0] in "+|":
+            kind = np.dtype(t[1:])
+            x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T).reshape(-1).view(kind)
+            out.append(np.cumsum(x, dtype=kind) if t[0] == "+" else x)
+        else:
+            out.append(np.frombuffer(raw, t, n, at))
         at += out[-1].nbytes
     return out
 
@@ -245,8 +263,18 @@ def _cuts(slices: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(slices[i]), i, j) for i, j in zip(edges, edges[1:])]
 
 
-def _paired(contexts: Contexts, bits: int):
-    """Pairs after other words than anchors, with their numbers by class over a task's texts, as blobs by slice."""
+def _blob_rows(near: bool, parts: list[tuple[int, bytes]]):
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array([near] * len(parts)), pa.array([x[0] for x in parts], pa.int32()), pa.array([x[1] for x in parts], pa.binary())], ["near", "slice", "blob"])
+
+
+def _dealt(near: bool, types: tuple[str, ...], bits: int, h: np.ndarray, *columns: np.ndarray):
+    """Cells in ascending order of their words, as blobs by bucket."""
+    yield from _blob_rows(near, [(part, _zip(types, *(x[i:j] for x in (h, *columns)))) for part, i, j in _cuts(_slice(h, bits))])
+
+
+def _paired(contexts: Contexts, bits: int, word_bits: int):
+    """Over a task's texts, as blobs: by slice, pairs after other words than anchors with their numbers by class; by bucket, numbers of all other tokens by word and restaurant."""
 
     def merged(q: np.ndarray, k: np.ndarray, c: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.argsort(q)
@@ -257,25 +285,39 @@ def _paired(contexts: Contexts, bits: int):
     def out(q: np.ndarray, k: np.ndarray, c: np.ndarray, h: np.ndarray, n: np.ndarray):
         order = np.lexsort((c, k))
         k, c, h, n = k[order], c[order], h[order], n[order]
-        for part, i, j in _cuts(_slice(k, bits)):
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_zip_pairs(k[i:j], c[i:j], h[i:j], n[i:j])], pa.binary())], ["slice", "blob"])
+        yield from _blob_rows(False, [(part, _zip_pairs(k[i:j], c[i:j], h[i:j], n[i:j])) for part, i, j in _cuts(_slice(k, bits))])
+
+    def near(parts):
+        yield from _dealt(True, _NEAR, word_bits, *_merged(*(np.concatenate(x) for x in zip(*parts))))
 
     def run(batches):
         parts: list[tuple[np.ndarray, ...]] = []
+        cells: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for _, data, offsets in K.blocks(batch.column("text")):
                 h, first = tokens(data, offsets)
                 r = contexts.of(h, first)
                 at, k = contexts.others(h, first, r)
                 parts.append((_names(k, h[at], r[at]), k, r[at].astype(np.uint8), h[at], np.ones(len(at), np.int64)))
+                mine = np.ones(len(h), bool)
+                mine[at] = False
+                h, r = h[mine], r[mine]
+                cells.append(_merged(h, r.astype(np.int16), np.ones(len(h), np.int64)))
                 if sum(len(x[0]) for x in parts) > 1_500_000:
                     parts = [merged(*(np.concatenate(x) for x in zip(*parts)))]
                     if len(parts[0][0]) > 1_000_000:
                         yield from out(*parts.pop())
+                if sum(len(x[0]) for x in cells) > 1_500_000:
+                    cells = [_merged(*(np.concatenate(x) for x in zip(*cells)))]
+                    if len(cells[0][0]) > 1_000_000:
+                        yield from near(cells)
+                        cells = []
         if parts:
             yield from out(*merged(*(np.concatenate(x) for x in zip(*parts))))
+        if cells:
+            yield from near(cells)
 
-    return run
+    return K.released(run)
 
 
 def _whole(key, table):
@@ -295,30 +337,33 @@ def _whole(key, table):
     return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "blob": blob, "once": [int((n == 1).sum())], "twice": [int((n == 2).sum())]})
 
 
-def _once(batches):
-    """Pairs met once, as customers of the class: (word, class, number)."""
-    for batch in batches:
-        for blob in batch.column("blob"):
-            _, c, size, h, n = _unzip(_PAIRS, blob.as_py())
-            one = n == 1
-            h, c, n = _merged(h[one], np.repeat(c, size)[one].astype(np.int16), n[one])
-            yield from _rows(["h", "c", "n"], h, c, n)
-
+def _cells(word_bits: int):
+    """Cells that slices give to buckets of words, as blobs: pairs met once, as customers of the class; of those met more than once also the restaurant's name and its pairs met once and more than once."""
 
-def _often(contexts: Contexts):
-    """Pairs met more than once: word, restaurant, number, the restaurant's name and its pairs met once and more than once."""
+    def out(once, often):
+        yield from _dealt(True, _NEAR, word_bits, *_merged(*(np.concatenate(x) for x in zip(*once))))
+        h, *columns = (np.concatenate(x) for x in zip(*often))
+        order = np.argsort(h)
+        yield from _dealt(False, _FAR, word_bits, h[order], *(x[order] for x in columns))
 
     def run(batches):
+        once, often = [], []
         for batch in batches:
             for blob in batch.column("blob"):
                 k, c, size, h, n = _unzip(_PAIRS, blob.as_py())
                 owner = np.repeat(np.arange(len(k)), size)
-                more = n > 1
-                m = np.bincount(owner[more], minlength=len(k))
-                owner = owner[more]
-                yield from _rows(["h", "c", "n", "k", "s", "m"], h[more], (contexts.size + c[owner].astype(np.int64)).astype(np.int16), n[more], k[owner], (size - m)[owner].astype(np.int64), m[owner])
+                one = n == 1
+                once.append(_merged(h[one], c[owner[one]].astype(np.int16), n[one]))
+                m = np.bincount(owner[~one], minlength=len(k))
+                owner = owner[~one]
+                often.append((h[~one], c[owner], n[~one], k[owner], (size - m)[owner], m[owner]))
+                if sum(len(x[0]) for x in once + often) > 1_000_000:
+                    yield from out(once, often)
+                    once, often = [], []
+        if once:
+            yield from out(once, often)
 
-    return run
+    return K.released(run)
 
 
 class Totals:
@@ -364,9 +409,7 @@ class Seats:
 
     def customers(self) -> np.ndarray:
         """Customers of the classes, by word: tokens of their own and the tables of the restaurants under them."""
-        out = self.direct.copy()
-        np.add.at(out, self.at, self.t[self.leaf])
-        return out
+        return self.direct + np.bincount(self.at[0] * CLASSES + self.at[1], self.t[self.leaf], self.direct.size).astype(np.int64).reshape(self.direct.shape)
 
     def _classes(self, m: np.ndarray, totals: Totals) -> np.ndarray:
         """P of the words in the classes."""
@@ -413,41 +456,45 @@ class Seats:
         return {"customers": customers, "tables": tables, "rest": np.array([self.top.sum(), len(self.h), self.n.sum(), *ones, self.t[far].sum(), len(far)], float)}
 
 
-#: Cells of a bucket of words; buckets grow in number with the corpus, not in size.
-BUCKET = 50_000
-_BUCKET = "b int, h array<long>, size array<int>, r array<short>, n array<long>, t array<long>, tables array<long>, top array<long>, drawn array<double>, k array<long>, s array<long>, m array<long>, seen array<long>"
+#: Bytes of training text for a bucket of words (some 30,000 cells); buckets grow in number with the corpus, not in size.
+BUCKET = 2_000_000
+_BUCKET = "b int, fixed binary, drawn binary, sums binary"
 
 
-def _row(bucket: int, s: Seats) -> pa.RecordBatch:
-    lists = [s.h.view(np.int64), np.bincount(s.owner, minlength=len(s.h)).astype(np.int32), s.r.astype(np.int16), s.n, s.t, s.tables.reshape(-1), s.top, s.drawn, s.k, s.s, s.m, s.seen]
-    names = ["b", "h", "size", "r", "n", "t", "tables", "top", "drawn", "k", "s", "m", "seen"]
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in lists]], names)
+def _row(bucket: int, s: Seats, fixed: bytes | None = None) -> pa.RecordBatch:
+    """A bucket as blobs, and its sums, which are read without the others."""
+    if fixed is None:
+        fixed = _zip(_FIXED, s.h, np.bincount(s.owner, minlength=len(s.h)), s.r, s.n, s.k, s.s, s.m)
+    drawn = _zip(_DRAWN, s.t, s.tables.reshape(-1), s.top, s.drawn, s.seen)
+    sums = np.concatenate([*s.sums().values()]).astype("<f8").tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (fixed, drawn, sums))], ["b", "fixed", "drawn", "sums"])
 
 
 def _buckets(contexts: Contexts, batches):
-    """The buckets of a task, one at a time."""
+    """The buckets of a task, one at a time, with the blob of what stays."""
     for batch in batches:
         for i in range(batch.num_rows):
-            h, size, r, n, t, tables, top, drawn, *far = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).copy() for c in ("h", "size", "r", "n", "t", "tables", "top", "drawn", "k", "s", "m", "seen"))
-            yield batch.column("b")[i].as_py(), Seats(contexts, h.view(np.uint64), np.repeat(np.arange(len(h)), size), r.astype(np.int64), n, t, tables.reshape(-1, CLASSES), top, drawn, *far)
+            fixed = batch.column("fixed")[i].as_py()
+            h, size, r, n, *far = _unzip(_FIXED, fixed)
+            t, tables, top, drawn, seen = (x.copy() for x in _unzip(_DRAWN, batch.column("drawn")[i].as_py()))
+            yield batch.column("b")[i].as_py(), fixed, Seats(contexts, h, np.repeat(np.arange(len(h)), size), r.astype(np.int64), n, t, tables.reshape(-1, CLASSES), top, drawn, *far, seen)
 
 
 def _totals(state: DataFrame, contexts: Contexts) -> dict[str, np.ndarray]:
     """The sums of all buckets; a table of fixed size."""
+    cuts = [contexts.size, 2 * contexts.size]
 
     def run(batches):
-        total: dict[str, np.ndarray] = {}
-        for _, s in _buckets(contexts, batches):
-            for k, v in s.sums().items():
-                total[k] = total[k] + v if k in total else v
-        for k, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(v)), pa.array(np.arange(len(v))), pa.array(v.astype(float))], ["k", "i", "v"])
-
-    got = state.mapInArrow(run, "k string, i long, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas()
-    out = {"customers": np.zeros(contexts.size), "tables": np.zeros(contexts.size), "rest": np.zeros(11)}
-    for k, part in got.groupby("k"):
-        out[k][part["i"]] = part["v"]
-    return out
+        total = np.zeros(cuts[1] + 11)
+        for batch in batches:
+            for x in batch.column("sums"):
+                total += np.frombuffer(x.as_py(), "<f8")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
+
+    got = state.select("sums").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros(cuts[1] + 11)
+    out[got["i"]] = got["v"]
+    return dict(zip(("customers", "tables", "rest"), np.split(out, cuts)))
 
 
 def fit(texts: DataFrame, scratch: Scratch, passes: int = 3, sweeps: int = 2, samples: int = 2, seed: int = 4) -> Model:
@@ -460,30 +507,32 @@ def fit(texts: DataFrame, scratch: Scratch, passes: int = 3, sweeps: int = 2, sa
     contexts = fit_contexts(texts)
     texts = texts.select("text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(16, (size // SLICE).bit_length())
-    pairs = texts.mapInArrow(_paired(contexts, bits), "slice int, blob binary").groupBy("slice").applyInArrow(_whole, "slice int, blob binary, once long, twice long")
+    bits, word_bits = (min(16, (size // x).bit_length()) for x in (SLICE, BUCKET))
+    dealt = "near boolean, slice int, blob binary"
+    counted = scratch.write(texts.mapInArrow(_paired(contexts, bits, word_bits), dealt), "counted")
+    pairs = counted.where("not near").select("slice", "blob").groupBy("slice").applyInArrow(_whole, "slice int, blob binary, once long, twice long")
     pairs = scratch.write(pairs, "pairs")
     met = pairs.agg(F.sum("once"), F.sum("twice")).first()
-    cell = "h long, c short, n long"
-    partial = texts.mapInArrow(_counted(contexts, all_tokens=False), cell).union(pairs.select("blob").mapInArrow(_once, cell))
-    near = partial.groupBy("h", "c").agg(F.sum("n").alias("n")).selectExpr("h", "c", "n", "0L as k", "0L as s", "0L as m")
-    cells = scratch.write(near.union(pairs.select("blob").mapInArrow(_often(contexts), f"{cell}, k long, s long, m long")), "cells")
-    buckets = max(1, -(-cells.count() // BUCKET))
 
     def gather(key, table):
-        h, r, n, *far = (table.column(c).to_numpy() for c in ("h", "c", "n", "k", "s", "m"))
-        h = h.view(np.uint64)
-        order = np.lexsort((far[0], r, h))
+        parts: dict[bool, list] = {True: [[np.zeros(0, t) for t in _NEAR]], False: [[np.zeros(0, t) for t in _FAR]]}
+        for kind, blob in zip(table.column("near").to_pylist(), table.column("blob")):
+            parts[kind].append(_unzip(_NEAR if kind else _FAR, blob.as_py()))
+        h, r, n = _merged(*(np.concatenate(x) for x in zip(*parts[True])))
+        far_h, c, far_n, *far = (np.concatenate(x) for x in zip(*parts[False]))
+        h, n, name = np.concatenate([h, far_h]), np.concatenate([n, far_n]), np.concatenate([np.zeros(len(h), np.uint64), far[0]])
+        r = np.concatenate([r.astype(np.int64), contexts.size + c.astype(np.int64)])
+        order = np.lexsort((name, r, h))
         words = h[order]
         new = np.concatenate([[True], words[1:] != words[:-1]])
         words, owner = words[new], np.cumsum(new) - 1
-        last = order[r[order] >= contexts.size]
-        s = Seats.first(contexts, words, owner, r[order].astype(np.int64), n[order], *(x[last] for x in far))
+        last = order[r[order] >= contexts.size] - (len(h) - len(far_h))
+        s = Seats.first(contexts, words, owner, r[order], n[order], *(x[last] for x in far))
         return pa.Table.from_batches([_row(key[0].as_py(), s)])
 
-    dealt = cells.withColumn("b", F.pmod(F.hash("h"), F.lit(buckets)))
-    state = scratch.write(dealt.groupBy("b").applyInArrow(gather, _BUCKET), "seats")
-    scratch.drop(cells)
+    cells = counted.where("near").union(pairs.select("blob").mapInArrow(_cells(word_bits), dealt))
+    state = scratch.write(cells.groupBy("slice").applyInArrow(gather, _BUCKET), "seats")
+    scratch.drop(counted)
     sums = _totals(state, contexts)
     types, tokens_seen = int(sums["rest"][1]), int(sums["rest"][2])
     if not types:
@@ -501,16 +550,16 @@ def fit(texts: DataFrame, scratch: Scratch, passes: int = 3, sweeps: int = 2, sa
             unknown.append(weights[-1][:CLASSES] * totals.shared(np.zeros(1), np.zeros(1))[0])
 
         def seat(batches, totals=totals, p=p, counted=counted):
-            for b, s in _buckets(contexts, batches):
+            for b, fixed, s in _buckets(contexts, batches):
                 if counted:
                     s.predict(totals)
                 rng = np.random.Generator(np.random.PCG64([seed, p, b]))
                 for _ in range(sweeps):
                     s.sweep(totals, rng)
-                yield _row(b, s)
+                yield _row(b, s, fixed)
 
         def average(batches, totals=totals):
-            for _, s in _buckets(contexts, batches):
+            for _, _, s in _buckets(contexts, batches):
                 s.predict(totals)
                 root, classes, leaf = np.split(np.log10(s.drawn / samples), [len(s.h), len(s.h) * (CLASSES + 1)])
                 at = np.nonzero(s.customers())
@@ -533,7 +582,7 @@ def fit(texts: DataFrame, scratch: Scratch, passes: int = 3, sweeps: int = 2, sa
                 blobs = [_zip(_TABLES, q[i:j], t[i:j]) for _, i, j in found]
                 return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array(blobs, pa.binary())], ["slice", "blob"])
 
-            for _, s in _buckets(contexts, batches):
+            for _, _, s in _buckets(contexts, batches):
                 far = s.leaf[s.far]
                 parts.append((_names(s.k.view(np.uint64), s.h[s.owner[far]]), s.seen + s.t[far]))
                 if sum(len(x[0]) for x in parts) > 1_000_000:
@@ -543,11 +592,11 @@ def fit(texts: DataFrame, scratch: Scratch, passes: int = 3, sweeps: int = 2, sa
                 yield out()
 
         if p == passes:
-            tables = scratch.write(state.mapInArrow(seats, "slice int, blob binary"), "tables")
-            words = scratch.write(state.mapInArrow(average, "h long, n long, packed binary"), "words")
+            tables = scratch.write(state.mapInArrow(K.released(seats), "slice int, blob binary"), "tables")
+            words = scratch.write(state.mapInArrow(K.released(average), "h long, n long, packed binary"), "words")
             scratch.drop(state)
             break
-        seated = scratch.write(state.mapInArrow(seat, _BUCKET), "seats")
+        seated = scratch.write(state.mapInArrow(K.released(seat), _BUCKET), "seats")
         scratch.drop(state)
         state = seated
         sums = _totals(state, contexts)
@@ -560,7 +609,7 @@ def fit(texts: DataFrame, scratch: Scratch, passes: int = 3, sweeps: int = 2, sa
     mass[got["i"]] = got["v"]
     mass[:CLASSES] += 10**new
     mass[CLASSES:] += 10 ** back[CLASSES:] * mass[contexts.parent]
-    return Model(contexts, words, tokens_seen, types, new, back, np.log10(mass), sheets, bits, other, samples)
+    return Model(contexts, words, tokens_seen, types, new, back, np.log10(mass), sheets, bits, other, samples, (pairs, tables, words))
 
 
 _ENTRY = np.dtype([("r", "<u2"), ("p", "<f4")])
@@ -604,13 +653,15 @@ class Sheet:
         self.owner, self.r, self.p = owner[~mine], r[~mine], p[~mine]
 
 
-def _distinct(h: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs in ascending order."""
-    order = np.lexsort((r, h))
-    h, r = h[order], r[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    return h[new], r[new]
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in ascending order, and the place of each value among them."""
+    order = np.argsort(x)
+    ahead = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ahead[1:] != ahead[:-1]
+    at = np.empty(len(x), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ahead[new], at
 
 
 #: Answers that a task holds before it gives them out by block.
@@ -699,14 +750,12 @@ def _told(d: float, samples: int):
             at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
             return np.where(names[at] == wanted, values[at], missing)
 
-        asked: dict[int, list[list[np.ndarray]]] = {}
-        for block, blob in zip(left.column("block").to_pylist(), left.column("blob")):
-            asked.setdefault(block, []).append(_unzip(_ASKS, blob.as_py()))
         out = []
-        for parts in asked.values():
-            ks, qs = parts[0] if len(parts) == 1 else (_unique(np.concatenate(x)) for x in zip(*parts))
+        for blob in left.column("blob"):
+            ks, qs = _unzip(_ASKS, blob.as_py())
             out.append(_zip(_TELLS, looked_up(k, back, ks, 1.0), looked_up(k, c, ks, _NONE), looked_up(q, own, qs, 0.0)))
-        return pa.table({"block": pa.array(list(asked), pa.int64()), "slice": pa.array([key[0].as_py()] * len(out), pa.int32()), "blob": pa.array(out, pa.binary())})
+        K.release()
+        return pa.table({"block": left.column("block"), "slice": pa.array([key[0].as_py()] * len(out), pa.int32()), "blob": pa.array(out, pa.binary())})
 
     return run
 
@@ -717,23 +766,6 @@ def _unique(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-class Asked:
-    """Distinct restaurants of other words and pairs of a block, both in ascending order."""
-
-    def __init__(self):
-        self.k: list[np.ndarray] = []
-        self.q: list[np.ndarray] = []
-
-    def add(self, k: np.ndarray, q: np.ndarray) -> None:
-        for have, new in ((self.k, k), (self.q, q)):
-            have.append(_unique(new))
-            if sum(map(len, have[1:])) > max(500_000, len(have[0])):
-                have[:] = [_unique(np.concatenate(have))]
-
-    def all(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(_unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in (self.k, self.q))
-
-
 def _masses(contexts: Contexts, back: np.ndarray):
     """Sums of P over words: all of a class; of an anchor's restaurant what its cells have beyond their parent's part."""
 
@@ -749,164 +781,193 @@ def _masses(contexts: Contexts, back: np.ndarray):
     return run
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+#: What rows about a block are: its tokens, answers for its words; from 0 on, a slice's answers.
+_TOKENS, _WORDS = -2, -1
+#: Parts of slices that are asked, and of blocks that are scored, one after the other, so that less is shuffled at once.
+ROUNDS = 3
+#: Tokens of a block that are scored at once, if they are of several texts.
+CHUNK = 500_000
+
+
+def score(docs: DataFrame, model: Model, keep: list[str], spend: bool = False) -> DataFrame:
     """``keep`` columns, n_tokens, n_known, base_score, score and perplexity of each row of ``docs``.
 
     Documents are dealt to blocks of about BLOCK bytes, which are written once, so
-    that a repeated task can't deal them otherwise; each asks the model for its
-    distinct words, and is scored where the answers come together with it. A result
-    whose name a kept column has gets an underscore.
+    that a repeated task can't deal them otherwise, as places among their distinct
+    words and pairs; each asks the model for those, and is scored where the answers
+    come together with it. A result whose name a kept column has gets an underscore.
+    With ``spend`` the model's tables are dropped when they have answered.
     """
     kept = docs.select(*keep)
-    text, number_of = fresh(kept, "text"), fresh(kept, "block")
+    text = fresh(kept, "text")
+    number_of, row_of, blob_of = fixed = [fresh(kept, name) for name in ("block", "row", "blob")]
     results = [fresh(kept, name) for name in ("n_tokens", "n_known", "base_score", "score")]
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    contexts, total, types, new, back, scale = model.contexts, model.tokens, model.types, model.new, model.back, model.scale
+    paired, bits = model.sheets is not None, model.bits
 
     def dealt(batches):
-        pid, number, size = TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
-            _, offsets = K.flat(batch.column(text))
-            block = []
-            for n in np.diff(offsets).tolist():
-                if size and size + n > BLOCK:
-                    number, size = number + 1, 0
-                size += n + 64
-                block.append((pid << 24) | number)
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), *batch.columns], [number_of, *batch.schema.names])
-
-    def asked(batches):
-        seen: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-        def rows(b):
-            h, r = _distinct(*(np.concatenate(x) for x in zip(*seen.pop(b))))
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            leaf = r >= CLASSES
-            ends = np.concatenate([[0], np.cumsum(2 * np.bincount((np.cumsum(new) - 1)[leaf], minlength=int(new.sum())))])
-            wanted = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(r[leaf].astype("<u2"))])
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(ends) - 1, b)), pa.array(h[new].view(np.int64)), wanted], ["block", "h", "wanted"])
+        pid, number, size = TaskContext.get().partitionId() << 24, 0, 0
+        hashes: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        rows: list[list[pa.Array]] = []
+        kinds: list[pa.DataType] = []
+
+        def out():
+            h, n, done = np.concatenate(hashes), np.concatenate(counts), 0
+            hashes.clear()
+            counts.clear()
+            for part in rows:
+                m = len(part[0])
+                yield pa.RecordBatch.from_arrays([pa.array([pid | number] * m, pa.int64()), pa.array(np.arange(done, done + m), pa.int32()), pa.nulls(m, pa.binary()), *part], [*fixed, *keep])
+                done += m
+            rows.clear()
+            r = contexts.of(h, np.concatenate([[0], np.cumsum(n)]))
+            words, word = _distinct(h)
+            cells = _unique((word.astype(np.int64) * contexts.size + r)[r >= CLASSES])
+            blob = _zip(_BLOCK, words, np.bincount(cells // contexts.size, minlength=len(words)), cells % contexts.size, n, word)
+            yield pa.RecordBatch.from_arrays([pa.array([pid | number], pa.int64()), pa.nulls(1, pa.int32()), pa.array([blob], pa.binary()), *(pa.nulls(1, t) for t in kinds)], [*fixed, *keep])
 
         for batch in batches:
-            blocks = batch.column(number_of).to_numpy()
+            kinds = [batch.schema.field(name).type for name in keep]
             for first, data, offsets in K.blocks(batch.column(text)):
+                if size and size + len(data) > BLOCK:
+                    yield from out()
+                    number, size = number + 1, 0
                 h, at = tokens(data, offsets)
-                r = contexts.of(h, at)
-                r = np.where(r < CLASSES, 0, r)
-                mine = blocks[first : first + len(offsets) - 1]
-                for b in np.unique(mine).tolist():
-                    for done in [x for x in seen if x != b]:
-                        yield rows(done)
-                    i = np.flatnonzero(mine == b)
-                    part = slice(at[i[0]], at[i[-1] + 1])
-                    seen.setdefault(b, []).append(_distinct(h[part], r[part]))
-                    if len(seen[b]) > 8:
-                        seen[b] = [_distinct(*(np.concatenate(x) for x in zip(*seen[b])))]
-        for b in list(seen):
-            yield rows(b)
-
-    paired, bits = model.sheets is not None, model.bits
-
-    def asked_pairs(batches):
-        seen: dict[int, Asked] = {}
-
-        def rows(b):
-            k, q = seen.pop(b).all()
-            found, pairs = _cuts(_slice(k, bits)), _cuts(_slice(q, bits))
-            blobs = [_zip(_ASKS, k[i:j], q[x:y]) for (_, i, j), (_, x, y) in zip(found, pairs)]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([b] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["slice", "block", "blob"])
-
+                hashes.append(h)
+                counts.append(np.diff(at))
+                rows.append([pa.concat_arrays([x]) for x in K.take(batch, first, len(offsets) - 1, keep)])
+                size += len(data) + 64 * len(counts[-1])
+        if counts:
+            yield from out()
+
+    def questions(batches):
         for batch in batches:
-            blocks = batch.column(number_of).to_numpy()
-            for first, data, offsets in K.blocks(batch.column(text)):
-                h, at = tokens(data, offsets)
-                r = contexts.of(h, at)
-                mine = blocks[first : first + len(offsets) - 1]
-                where, k = contexts.others(h, at, r)
-                q = _names(k, h[where])
-                for b in np.unique(mine).tolist():
-                    for done in [x for x in seen if x != b]:
-                        yield rows(done)
-                    i = np.flatnonzero(mine == b)
-                    part = slice(*np.searchsorted(where, [at[i[0]], at[i[-1] + 1]]))
-                    seen.setdefault(b, Asked()).add(k[part], q[part])
-        for b in list(seen):
-            yield rows(b)
+            for b, blob in zip(batch.column("block").to_pylist(), batch.column("blob")):
+                h, size, r, _, _ = _unzip(_BLOCK, blob.as_py())
+                ends = np.concatenate([[0], np.cumsum(2 * size)]).astype(np.int32)
+                wanted = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(r))])
+                whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(size), b)), pa.array(h.view(np.int64)), wanted], ["block", "h", "wanted"])
+                for k in range(0, len(size), 100_000):
+                    yield whole.slice(k, 100_000)
+
+    rounds = min(ROUNDS, 2**bits)
+
+    def pairs_of(part: int):
+        """Questions of blocks to the slices of a round."""
+
+        def run(batches):
+            for batch in batches:
+                for b, blob in zip(batch.column("block").to_pylist(), batch.column("blob")):
+                    words, _, _, n, word = _unzip(_BLOCK, blob.as_py())
+                    h, first = words[word], np.concatenate([[0], np.cumsum(n)])
+                    where, k = contexts.others(h, first, contexts.of(h, first))
+                    mine = _slice(k, bits) % rounds == part
+                    where, k = where[mine], k[mine]
+                    q, k = _unique(_names(k, h[where])), _unique(k)
+                    found = [(x, _zip(_ASKS, k[i:j], q[y:z])) for (x, i, j), (_, y, z) in zip(_cuts(_slice(k, bits)), _cuts(_slice(q, bits)))]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([b] * len(found), pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["slice", "block", "blob"])
+
+        return K.released(run)
 
-    contexts, total, types, new, back, scale = model.contexts, model.tokens, model.types, model.new, model.back, model.scale
     parents = np.concatenate([np.arange(CLASSES), contexts.parent])
+    ask = np.where(np.arange(contexts.size) < CLASSES, 0, back)
     floor = math.log10(total + types + 1)
     out_names = [*keep, *results]
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = _expand(_squeeze([np.zeros(0)] * 6))
-        slices = right.column("slice").to_numpy()
-        parts = [_expand(x.as_py()) for x in right.column("blob").filter(pa.array(slices < 0))]
-        h, count, *cells = (np.concatenate(x) for x in zip(empty, *parts))
-        known = h.view(np.uint64)
-        order = np.argsort(known)
-        known, count = known[order], count[order]
+        blobs, slices = right.column("blob"), right.column("slice").to_numpy()
+        words, _, _, n, word = _unzip(_BLOCK, blobs[int(np.flatnonzero(slices == _TOKENS)[0])].as_py())
+        parts = [_expand(blobs[i].as_py()) for i in np.flatnonzero(slices == _WORDS).tolist()]
+        h, count, *cells = (np.concatenate(x) for x in zip(_expand(_squeeze([np.zeros(0)] * 6)), *parts))
         sheet = Sheet(*cells, back)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        known, count, classes = np.append(known, np.uint64(2**64 - 1)), np.append(count, 0), np.vstack([sheet.classes[order], new[None, :]])
-        cell = place[sheet.owner] * contexts.size + sheet.r
+        # By word; those that no training text has are unknown.
+        at = np.searchsorted(words, h.view(np.uint64))
+        count_of, classes = np.zeros(len(words), np.int64), np.repeat(new[None, :], len(words), 0)
+        count_of[at], classes[at] = count, sheet.classes
+        cell = at[sheet.owner] * contexts.size + sheet.r
         by_cell = np.argsort(cell)
         cell, cell_p = np.append(cell[by_cell], -1), np.append(sheet.p[by_cell], 0.0)
 
         def log_p(pos, r):
-            """log10 P of known words by their place in restaurants: a cell's own, else by way of the parent."""
-            leaf = r >= CLASSES
-            own = classes[pos, np.where(leaf, parents[r], r)] + np.where(leaf, back[r], 0)
-            wanted = pos * contexts.size + r
+            """log10 P of words by their place in restaurants: a cell's own, else by way of the parent."""
+            own = classes[pos, parents[r]] + ask[r]
+            leaf = np.flatnonzero(r >= CLASSES)
+            wanted = pos[leaf].astype(np.int64) * contexts.size + r[leaf]
             at = np.searchsorted(cell[:-1], wanted)
-            return np.where(cell[at] == wanted, cell_p[at], own) - scale[r]
+            hit = cell[at] == wanted
+            own[leaf[hit]] = cell_p[at[hit]]
+            return own - scale[r]
 
-        ask = Asked()
-        for batch in left.to_batches() if paired else []:
-            for _, data, offsets in K.blocks(batch.column(text)):
-                h, at = tokens(data, offsets)
-                where, k = contexts.others(h, at, contexts.of(h, at))
-                ask.add(k, _names(k, h[where]))
-        ks, qs = ask.all()
-        told = [_unzip(_TELLS, right.column("blob")[i].as_py()) for i in np.argsort(slices, kind="stable").tolist() if slices[i] >= 0]
+        told = [_unzip(_TELLS, blobs[i].as_py()) for i in np.argsort(slices, kind="stable").tolist() if slices[i] >= 0]
         asks, kinds, has = (np.concatenate(x) for x in zip([np.zeros(0), np.zeros(0, np.uint8), np.zeros(0)], *told))
-        if (len(asks), len(has)) != (len(ks), len(qs)):
-            raise ValueError(f"a block asked for {len(ks)} restaurants and {len(qs)} pairs and was told {len(asks)} and {len(has)}")
-
-        parts = []
-        for batch in left.to_batches():
-            for first, data, offsets in K.blocks(batch.column(text)):
-                h, at = tokens(data, offsets)
-                pos = np.searchsorted(known, h)
-                pos[known[pos] != h] = len(known) - 1
-                c = count[pos]
-                r = contexts.of(h, at)
-                p = log_p(pos, r)
-                if paired:
-                    where, k = contexts.others(h, at, r)
-                    mine = np.searchsorted(ks, k)
-                    under = log_p(pos[where], np.where(kinds[mine] == _NONE, r[where], kinds[mine]))
-                    p[where] = np.log10(has[np.searchsorted(qs, _names(k, h[where]))] + asks[mine] * 10**under)
-
-                def sums(values):
-                    return np.add.reduceat(values, at[:-1]) if len(values) else values
-
-                rows = len(offsets) - 1
-                parts.append(pa.RecordBatch.from_arrays([*K.take(batch, first, rows, keep), pa.array(np.diff(at)), pa.array(sums((c > 0).astype(np.int64))), pa.array(sums(np.log10(c + 1.0) - floor)), pa.array(sums(p))], out_names))
-        if parts:
-            return pa.Table.from_batches(parts)
-        return pa.table({**{k: left.column(k) for k in keep}, **{k: pa.array([], t) for k, t in zip(out_names[len(keep) :], (pa.int64(), pa.int64(), pa.float64(), pa.float64()))}})
+        first = np.concatenate([[0], np.cumsum(n)])
+        restaurant, pair, pairs, before = np.zeros(len(words), np.int64), [], [], []
+        if paired:
+            h = words[word]
+            where, k = contexts.others(h, first, contexts.of(h, first))
+            pairs, pair = _distinct(_names(k, h[where]))
+            mine = np.zeros(len(words), bool)
+            mine[word[where - 1]] = True
+            before = np.flatnonzero(mine)
+            restaurant[before[np.argsort(K.mix(words[before]))]] = np.arange(len(before))
+        if (len(asks), len(has)) != (len(before), len(pairs)):
+            raise ValueError(f"a block asked for {len(before)} restaurants and {len(pairs)} pairs and was told {len(asks)} and {len(has)}")
+
+        base = np.log10(count_of + 1.0) - floor
+        sums: list[list[np.ndarray]] = []
+        i = done = 0
+        while i < len(n):
+            j = max(i + 1, int(np.searchsorted(first, first[i] + CHUNK, "right")) - 1)
+            at, w = first[i : j + 1] - first[i], word[first[i] : first[j]]
+            h = words[w]
+            r = contexts.of(h, at)
+            p = log_p(w, r)
+            if paired:
+                where, _ = contexts.others(h, at, r)
+                mine = restaurant[w[where - 1]]
+                under = log_p(w[where], np.where(kinds[mine] == _NONE, r[where], kinds[mine]).astype(np.int64))
+                p[where] = np.log10(has[pair[done : done + len(where)]] + asks[mine] * 10**under)
+                done += len(where)
+            sums.append([np.add.reduceat(x, at[:-1]) for x in ((count_of[w] > 0).astype(np.int64), base[w], p)])
+            i = j
+        left = left.sort_by(row_of)
+        columns = [pa.array(x) for x in (n, *(np.concatenate(x) for x in zip(*sums)))]
+        K.release()
+        return pa.table([*(left.column(name) for name in keep), *columns], out_names)
 
     source = docs.select(*keep, F.col("text").alias(text))
     scratch = Scratch(docs.sparkSession, "lm-blocks")
-    blocks = scratch.write(source.mapInArrow(dealt, f"`{number_of}` long, {spec}, `{text}` string"), "blocks")
-    questions = blocks.select(number_of, text).mapInArrow(asked, "block long, h long, wanted binary")
-    if paired:  # written, so that the questions' shuffle has gone before the words are asked for
-        pairs = blocks.select(number_of, text).mapInArrow(asked_pairs, "slice int, block long, blob binary")
-        pairs = pairs.groupBy("slice").cogroup(model.sheets.groupBy("slice")).applyInArrow(_told(model.d_other, model.samples), "block long, slice int, blob binary")
-        told = scratch.write(pairs, "told")
-    answers = questions.join(model.words, "h").select("block", "h", "n", "packed", "wanted").mapInArrow(_gathered, "block long, blob binary").selectExpr("block", "-1 as slice", "blob")
-    if paired:
-        answers = answers.union(told)
+    blocks = scratch.write(source.mapInArrow(K.released(dealt), f"`{number_of}` long, `{row_of}` int, `{blob_of}` binary, {spec}"), "blocks")
+    blobs = blocks.where(F.col(row_of).isNull()).select(F.col(number_of).alias("block"), F.col(blob_of).alias("blob"))
+    rows = blocks.where(F.col(row_of).isNotNull()).select(number_of, row_of, *keep)
+    told = []
+    for part in range(rounds if paired else 0):
+        mine = blobs.mapInArrow(pairs_of(part), "slice int, block long, blob binary").groupBy("slice")
+        mine = mine.cogroup(model.sheets.where(F.col("slice") % rounds == part).groupBy("slice"))
+        told.append(scratch.write(mine.applyInArrow(_told(model.d_other, model.samples), "block long, slice int, blob binary"), "told"))
+    if spend:
+        scratch.drop(*model.tables[:2])
+    asked = blobs.mapInArrow(K.released(questions), "block long, h long, wanted binary")
+    answers = asked.join(model.words, "h").select("block", "h", "n", "packed", "wanted").mapInArrow(K.released(_gathered), "block long, blob binary")
+    told.append(scratch.write(answers, "answers"))
+    if spend:
+        scratch.drop(*model.tables[2:])
+    right = told[-1].selectExpr("block", f"{_WORDS} as slice", "blob").union(blobs.selectExpr("block", f"{_TOKENS} as slice", "blob"))
+    for x in told[:-1]:
+        right = right.union(x)
     types_of = ", ".join(f"`{n}` {t}" for n, t in zip(results, ("long", "long", "double", "double")))
-    out = blocks.groupBy(number_of).cogroup(answers.groupBy("block")).applyInArrow(scored, f"{spec}, {types_of}")
+
+    def scores(part: int) -> DataFrame:
+        left, have = (x.where(F.pmod(F.hash(name), F.lit(rounds)) == part) if rounds > 1 else x for x, name in ((rows, number_of), (right, "block")))
+        return left.groupBy(number_of).cogroup(have.groupBy("block")).applyInArrow(scored, f"{spec}, {types_of}")
+
+    out = scores(0)
+    if rounds > 1:
+        parts = [scratch.write(scores(part), "scores") for part in range(rounds)]
+        scratch.drop(blocks, *told)
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.union(x)
     return out.withColumn(fresh(kept, "perplexity"), F.pow(F.lit(10.0), -F.col(results[3]) / F.col(results[0])))

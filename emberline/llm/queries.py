@@ -46,7 +46,7 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of all documents, learned from those outside the held-out fold."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (_fold(7) == 2).alias("held_out"))
     model = lm.fit(docs.where("not held_out"), Scratch(spark, "lm"))
-    scores = lm.score(docs, model, ["doc_id", "held_out"])
+    scores = lm.score(docs, model, ["doc_id", "held_out"], spend=True)
     return scores.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
 
 

@@ -11,11 +11,15 @@ several seatings of which one is drawn by its weight.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
-DIRECT, PARTICLES = 48, 8
+#: Up to SHORT customers the shares are products of doubles; beyond, sums of logarithms.
+DIRECT, PARTICLES, SHORT = 48, 8, 12
 
 
+@lru_cache(64)
 def stirling(d: float, most: int = DIRECT) -> np.ndarray:
     """log S(c, t) for c, t up to ``most``; -inf where there is no seating."""
     out = np.full((most + 1, most + 1), -np.inf)
@@ -36,23 +40,30 @@ def _log_rising(a: np.ndarray, d: float, most: int) -> np.ndarray:
 def draw(c: np.ndarray, p0: np.ndarray, others: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of each dish: c customers, parent's probability p0, ``others`` tables of other dishes in its restaurant."""
     a = theta + d * others
-    t = _direct(np.where(c > DIRECT, 0, c), p0, a, d, rng)
+    t = _direct(np.where(c > DIRECT, 0, c), p0, a, d, rng)[:, 0]
     rows = np.flatnonzero(c > DIRECT)
     if len(rows):
         t[rows] = _sequential(c[rows], p0[rows], a[rows], d, rng)
     return t
 
 
-def _direct(c: np.ndarray, p0: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Exact draws for dishes of at most DIRECT customers."""
-    t = np.minimum(c, 1).astype(np.int64)
+def _direct(c: np.ndarray, p0: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator, times: int = 1) -> np.ndarray:
+    """Exact draws for dishes of at most DIRECT customers, a row for each dish."""
+    t = np.repeat(np.minimum(c, 1).astype(np.int64)[:, None], times, axis=1)
     table = stirling(d)
-    for n in np.unique(c[c > 1]).tolist():
-        rows = np.flatnonzero(c == n)
-        for k in range(0, len(rows), 100_000):
-            r = rows[k : k + 100_000]
-            logit = _log_rising(a[r], d, n) + np.log(p0[r])[:, None] * np.arange(1, n + 1)[None, :] + table[n, 1 : n + 1][None, :]
-            t[r] = 1 + np.argmax(logit + rng.gumbel(size=logit.shape), axis=1)
+    order = np.argsort(c, kind="stable")
+    at = np.searchsorted(c[order], np.arange(2, DIRECT + 2))
+    for n in (np.flatnonzero(np.diff(at)) + 2).tolist():
+        rows = order[at[n - 2] : at[n - 1]]
+        for k in range(0, len(rows), 100_000 // times):
+            r = rows[k : k + 100_000 // times]
+            if n <= SHORT:
+                share = np.cumprod((a[r][:, None] + d * np.arange(n)[None, :]) * p0[r][:, None], axis=1) * np.exp(table[n, 1 : n + 1])[None, :]
+            else:
+                logit = _log_rising(a[r], d, n) + np.log(p0[r])[:, None] * np.arange(1, n + 1)[None, :] + table[n, 1 : n + 1][None, :]
+                share = np.exp(logit - logit.max(1, keepdims=True))
+            below = np.cumsum(share, axis=1)
+            t[r] = 1 + (below[:, None, :-1] <= (rng.random((len(r), times)) * below[:, -1:])[:, :, None]).sum(2)
     return t
 
 
@@ -62,20 +73,22 @@ def _sequential(c: np.ndarray, p0: np.ndarray, a: np.ndarray, d: float, rng: np.
     Each of PARTICLES seatings is weighted by how likely the dish was at every
     step, and one is drawn by its weight.
     """
-    c, p0, a = (np.repeat(x, PARTICLES) for x in (c, p0, a))
-    t = _direct(np.full(len(c), DIRECT), p0, a, d, rng)
-    weight, seated = np.zeros(len(c)), np.full(len(c), DIRECT, np.int64)
-    rows = np.arange(len(c))
-    while len(rows):
-        n = seated[rows]
-        step = np.minimum(np.maximum(n // 12, 1), c[rows] - n)
-        new, stay = (a[rows] + d * t[rows]) * p0[rows], np.maximum(n + (step - 1) / 2 - d * t[rows], 1e-9)
-        weight[rows] += step * np.log(new + stay)
-        t[rows] += rng.binomial(step, new / (new + stay))
-        seated[rows] += step
-        rows = rows[seated[rows] < c[rows]]
-    pick = np.argmax((weight + rng.gumbel(size=len(weight))).reshape(-1, PARTICLES), axis=1)
-    return t.reshape(-1, PARTICLES)[np.arange(len(pick)), pick]
+    order = np.argsort(-c)
+    c, p0, a = c[order], p0[order], a[order]
+    t = _direct(np.full(len(c), DIRECT), p0, a, d, rng, PARTICLES)
+    weight, n, left = np.zeros(t.shape), DIRECT, len(c)
+    while left:  # those with customers to come are the first ones
+        step = np.minimum(max(n // 12, 1), c[:left] - n)[:, None]
+        new, stay = (a[:left, None] + d * t[:left]) * p0[:left, None], np.maximum(n + (step - 1) / 2 - d * t[:left], 1e-9)
+        both = new + stay
+        weight[:left] += step * np.log(both)
+        t[:left] += rng.binomial(step, new / both)
+        n += max(n // 12, 1)
+        left = int(np.searchsorted(-c, -n))
+    out = np.empty(len(c), np.int64)
+    pick = np.argmax(weight + rng.gumbel(size=weight.shape), axis=1)
+    out[order] = t[np.arange(len(pick)), pick]
+    return out
 
 
 def discount(counts: np.ndarray | None = None, once: float = 0, twice: float = 0) -> float:
