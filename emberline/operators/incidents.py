@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -108,14 +111,132 @@ def prompt(root: Column, timeline: Column, ranking: Column, most: int = 8) -> Co
     return F.concat(F.lit("Root cause: "), F.coalesce(root, F.lit("unknown")), F.lit("\nTimeline:\n"), lines(timeline), F.lit("\nCandidates:\n"), lines(ranking))
 
 
+def _kernels():
+    """joined, rounded and Similarities; defined within, so that tasks get them by value."""
+
+    def joined(sums: np.ndarray, size: np.ndarray, stacks: list, least: float, above: float = -np.inf) -> list[list[int]]:
+        """Clusters by average linkage, joined while the greatest mean is at least ``least`` and over ``above``.
+
+        A row stands for equal clusters: ``stacks`` has their members, the first
+        cluster last; ``size`` counts members of one, and ``sums`` has the whole
+        similarities of one of a row to one of another (on the diagonal: to another of
+        its own). Of equal means the pair of the smallest first member is joined, then
+        of the smallest second.
+        """
+        k = len(stacks)
+        count, lead = np.array([len(s) for s in stacks]), np.array([s[-1][0] for s in stacks])
+        size, gone, free = size.astype(float), np.zeros(k), []
+
+        def means(rows: np.ndarray) -> np.ndarray:
+            m = sums[rows] / (size[rows, None] * size) + gone
+            m[np.arange(len(rows)), rows] = np.where(count[rows] > 1, m[np.arange(len(rows)), rows], -np.inf)
+            return m
+
+        def parts(rows: np.ndarray) -> list[np.ndarray]:
+            return np.array_split(rows, max(1, len(rows) * len(size) // 1_000_000))
+
+        # Rows of equal clusters that are nearer to each other than to all else are joined at once.
+        own = np.where(count > 1, np.diagonal(sums) / size**2, -np.inf)
+        count, several = np.ones(k, int), count
+        best = np.concatenate([means(p).max(1) for p in parts(np.arange(k))])
+        whole = (own > best) & (own > above) & (own >= least)
+        for i in np.flatnonzero(whole):
+            stacks[i] = [sorted(v for c in stacks[i] for v in c)]
+        times = np.where(whole, several, 1)
+        sums *= times[:, None]
+        sums *= times
+        size *= times
+        count = np.where(whole, 1, several)
+        best = np.where(whole, best, np.maximum(best, own))
+        while len(best):
+            top = best.max()
+            if not (top >= least and top > above):
+                break
+            ties = np.flatnonzero(best == top)
+            i = int(ties[lead[ties].argmin()])
+            at_i = means(np.array([i]))[0]
+            ties = np.flatnonzero(at_i == top)
+            second = np.where(ties == i, stacks[i][-2][0] if count[i] > 1 else 0, lead[ties])
+            j = int(ties[second.argmin()])
+            at_j = at_i if i == j else means(np.array([j]))[0]
+            first, one, two = lead[i], stacks[i].pop(), stacks[j].pop()
+            total, n = sums[i] + sums[j], size[i] + size[j]
+            count[i] -= 1
+            count[j] -= 1
+            lost = np.full(len(best), -np.inf)
+            for y, at in ((i, at_i), (j, at_j)):
+                if count[y] == 0:
+                    lost = np.maximum(lost, at)
+                else:
+                    lead[y] = stacks[y][-1][0]
+            spent = [y for y in {i, j} if count[y] == 0]
+            if not spent and not free:
+                more = len(best) // 8 + 8
+                free = list(range(len(best), len(best) + more))
+                sums = np.pad(sums, (0, more))
+                total, lost, best, gone = (np.pad(x, (0, more), constant_values=v) for x, v in ((total, 0.0), (lost, -np.inf), (best, -np.inf), (gone, -np.inf)))
+                size, count, lead = np.pad(size, (0, more), constant_values=1), np.pad(count, (0, more)), np.pad(lead, (0, more))
+                stacks = stacks + [[] for _ in range(more)]
+            x = spent.pop() if spent else free.pop()
+            for y in spent:
+                gone[y], best[y] = -np.inf, -np.inf
+                free.append(y)
+            one, two = (one, two) if len(one) >= len(two) else (two, one)
+            one.extend(two)
+            if one[0] != first:
+                one[0], one[len(one) - len(two)] = one[len(one) - len(two)], one[0]
+            sums[x], sums[:, x] = total, total
+            size[x], count[x], lead[x], gone[x], stacks[x] = n, 1, first, 0.0, [one]
+            now = total / (n * size) + gone
+            now[x] = -np.inf
+            # Rows whose best was a cluster that is no more look anew, as do what is left of the two rows.
+            stale = (best == lost) & (now < best)
+            stale[[y for y in (i, j) if count[y] and y != x]] = True
+            stale[x] = False
+            best = np.maximum(best, now)
+            best[x] = now.max()
+            for p in parts(np.flatnonzero(stale)):
+                best[p] = means(p).max(1)
+        return [c for s in stacks for c in s]
+
+    def rounded(x: np.ndarray) -> np.ndarray:
+        """Similarities in ten-thousandths, as Spark rounds them: halves of the shortest decimal up."""
+        scaled = x * 1e4
+        out = np.floor(scaled + 0.5)
+        for at in np.argwhere(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6):
+            out[tuple(at)] = float(Decimal(repr(float(x[tuple(at)]))).scaleb(4).quantize(Decimal(1), ROUND_HALF_UP))
+        return out
+
+    class Similarities:
+        """Similarities of alerts by their classes and the gap of their times, in ten-thousandths."""
+
+        def __init__(self, bases: pa.Table, t_max: int):
+            self.names = np.unique(bases.column("a").to_numpy())
+            values, kind = np.unique(bases.column("base").to_numpy(), return_inverse=True)
+            self.kind = np.zeros((len(self.names), len(self.names)), np.int64)
+            self.kind[np.searchsorted(self.names, bases.column("a").to_numpy()), np.searchsorted(self.names, bases.column("b").to_numpy())] = kind
+            # From a third of the longest time on the gap does not count.
+            self.far = -(-int(t_max) // 3)
+            gaps = np.arange(self.far + 1)
+            self.table = rounded(values[:, None] + 0.25 * np.maximum(0.0, 1 - (3 * gaps) / float(t_max)))
+
+        def between(self, cls_a: np.ndarray, t_a: np.ndarray, cls_b: np.ndarray, t_b: np.ndarray) -> np.ndarray:
+            """Of each of the first to each of the second alerts, classes as places among the names."""
+            gap = np.minimum(np.abs(t_a[:, None] - t_b), self.far)
+            return self.table.ravel().take(self.kind[cls_a][:, cls_b] * (self.far + 1) + gap)
+
+    return joined, rounded, Similarities
+
+
 def average_linkage(pairs: DataFrame, key: str, threshold: float) -> DataFrame:
     """key, node, cluster: average-linkage clusters of each key's pairs (a, b, similarity), joined down to ``threshold``.
 
     The pair of clusters with the greatest mean similarity is joined first; of
     equal ones that of the smallest first node, then the smallest second.
-    Similarities count to nine digits, so means are exact. One block (an
-    incident's alerts) is one task, with two squares of its size in memory.
+    Similarities count to nine digits, so means are exact. One block is one task,
+    with a square of its size in memory.
     """
+    joined, _, _ = _kernels()
 
     def join(g: pa.Table) -> pa.Table:
         ends = np.concatenate([g.column(c).to_numpy() for c in ("a", "b")])
@@ -124,36 +245,9 @@ def average_linkage(pairs: DataFrame, key: str, threshold: float) -> DataFrame:
         n = len(names)
         sums = np.zeros((n, n))
         sums[a, b] = sums[b, a] = np.round(g.column("similarity").to_numpy() * 1e9)
-        means = np.where(np.arange(n)[:, None] < np.arange(n)[None, :], sums, -np.inf)
-        size, leader = np.ones(n), np.arange(n)
-        other = means.argmax(1)
-        best = means[np.arange(n), other]
-        least = np.round(threshold * 1e9)
-        while True:
-            i = int(best.argmax())
-            if not best[i] >= least:
-                break
-            j = int(other[i])
-            leader[leader == j] = i
-            sums[i] += sums[j]
-            sums[:, i] = sums[i]
-            size[i] += size[j]
-            size[j] = 0
-            means[j], means[:, j], best[j] = -np.inf, -np.inf, -np.inf
-            alive = np.flatnonzero(size)
-            new = sums[i, alive] / (size[i] * size[alive])
-            means[i, alive[alive > i]] = new[alive > i]
-            before = alive[alive < i]
-            means[before, i] = now = new[alive < i]
-            nearer = before[(now > best[before]) | ((now == best[before]) & (i < other[before]))]
-            # Rows whose best was one of the two look anew.
-            stale = alive[(other[alive] == j) | (other[alive] == i) | (alive == i)]
-            other[nearer], best[nearer] = i, means[nearer, i]
-            stale = np.setdiff1d(stale, nearer, assume_unique=True)
-            for part in np.array_split(stale, max(1, len(stale) // 256)):
-                rows = means[part]
-                other[part] = rows.argmax(1)
-                best[part] = rows[np.arange(len(part)), other[part]]
+        leader = np.arange(n)
+        for c in joined(sums, np.ones(n), [[[v]] for v in range(n)], np.round(threshold * 1e9)):
+            leader[c] = min(c)
         one = g.column(key).take(pa.array(np.zeros(n, np.int64)))
         return pa.table({key: one, "node": names, "cluster": names[leader]})
 
@@ -161,6 +255,82 @@ def average_linkage(pairs: DataFrame, key: str, threshold: float) -> DataFrame:
     return pairs.groupBy(key).applyInArrow(join, f"{key} {kinds[key]}, node {kinds['a']}, cluster {kinds['a']}")
 
 
+def alert_linkage(alerts: DataFrame, case: str, threshold: float) -> DataFrame:
+    """case, node, cluster: average-linkage clusters of all of a case's ``alerts`` (case, ordinal, t, diagram_id, kind, severity, near, t_max), by ordinals.
+
+    As ``average_linkage`` over all pairs of a case's alerts, without the pairs:
+    equal alerts (class and time) are one row until they are joined, and a
+    diagram's alerts are joined on their own as long as the means are over any
+    similarity to another diagram, since no such pair can come first. Means go
+    down, so what is left is joined by case as if nothing had been split. A task
+    holds a square of a diagram's different alerts, then of a case's clusters.
+    """
+    from emberline.operators.assembly import similarity_terms
+    from emberline.operators.graph import cut
+
+    terms = ["diagram_id", "kind", "severity", "near"]
+    order = Window.partitionBy(case)
+    classes = alerts.select(case, *terms, "t_max").distinct()
+    classes = cut(classes.withColumns({"cls": F.row_number().over(order.orderBy(*terms)), "part": F.dense_rank().over(order.orderBy("diagram_id"))}))
+    a, b = classes.alias("a"), classes.alias("b")
+    pairs = a.join(b, F.col(f"a.{case}").eqNullSafe(F.col(f"b.{case}")))
+    pairs = cut(pairs.select(F.col(f"a.{case}").alias(case), "a.t_max", F.col("a.part").alias("part"), F.col("b.part").alias("_p"), F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), similarity_terms("a", "b").alias("base")))
+    floors = pairs.groupBy(case, "part").agg(F.max(F.when(F.col("part") != F.col("_p"), F.col("base") + 0.25)).alias("floor"))
+    same = reduce(lambda p, q: p & q, [F.col(f"x.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (case, *terms)])
+    points = alerts.alias("x").join(classes.alias("c"), same).select(f"x.{case}", "x.ordinal", "x.t", "c.cls", "c.part")
+    least = float(np.round(threshold * 1e4))
+    joined, rounded, Similarities = _kernels()
+
+    def of_part(g: pa.Table, bases: pa.Table) -> pa.Table:
+        sim = Similarities(bases, bases.column("t_max")[0].as_py())
+        floor = bases.column("floor")[0].as_py()
+        g = g.sort_by([("ordinal", "ascending"), ("t", "ascending"), ("cls", "ascending")])
+        t, cls = g.column("t").to_numpy().astype(np.int64), np.searchsorted(sim.names, g.column("cls").to_numpy())
+        _, at, row = np.unique(t * len(sim.names) + cls, return_index=True, return_inverse=True)
+        stacks = [[] for _ in at]
+        for v in range(len(row) - 1, -1, -1):
+            stacks[row[v]].append([v])
+        sums = np.empty((len(at), len(at)))
+        for p in np.array_split(np.arange(len(at)), max(1, len(at) ** 2 // 1_000_000)):
+            sums[p] = sim.between(cls[at[p]], t[at[p]], cls[at], t[at])
+        above = -np.inf if floor is None else float(rounded(np.array([floor]))[0])
+        k = np.empty(len(row), np.int64)
+        for n, c in enumerate(joined(sums, np.ones(len(at)), stacks, least, above)):
+            k[c] = n
+        return g.append_column("k", pa.array(k))
+
+    def of_case(g: pa.Table, bases: pa.Table) -> pa.Table:
+        sim = Similarities(bases, bases.column("t_max")[0].as_py())
+        g = g.sort_by([("ordinal", "ascending"), ("t", "ascending"), ("cls", "ascending")])
+        part, k = g.column("part").to_numpy().astype(np.int64), g.column("k").to_numpy()
+        t, cls = g.column("t").to_numpy().astype(np.int64), np.searchsorted(sim.names, g.column("cls").to_numpy())
+        _, first, of = np.unique(part * (k.max() + 1) + k, return_index=True, return_inverse=True)
+        places = np.argsort(first)
+        rank = np.empty(len(first), np.int64)
+        rank[places] = np.arange(len(first))
+        of, first = rank[of], first[places]
+        span = t.max() + 1
+        keys, weight = np.unique((of * len(sim.names) + cls) * span + t, return_counts=True)
+        who, what, when = keys // span // len(sim.names), keys // span % len(sim.names), keys % span
+        starts = np.searchsorted(who, np.arange(len(first)))
+        sums = np.zeros((len(first), len(first)))
+        for p in np.array_split(np.arange(len(keys)), max(1, len(keys) ** 2 // 1_000_000)):
+            some = np.add.reduceat(sim.between(what[p], when[p], what, when) * weight, starts, axis=1) * weight[p, None]
+            own, at = np.unique(who[p], return_index=True)
+            sums[own] += np.add.reduceat(some, at, axis=0)
+        leader = np.empty(len(first), np.int64)
+        for c in joined(sums, np.bincount(of), [[[v]] for v in range(len(first))], least):
+            leader[c] = first[min(c)]
+        return pa.table({case: g.column(case), "node": g.column("ordinal"), "cluster": g.column("ordinal").take(pa.array(leader[of]))})
+
+    kinds = {f.name: f.dataType.simpleString() for f in alerts.schema}
+    f = floors.select(F.col(case).alias("_c"), F.col("part").alias("_f"), "floor")
+    inner = pairs.where(F.col("part") == F.col("_p")).drop("_p").join(f, F.col(case).eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_f"))).drop("_c", "_f")
+    held = f"{case} {kinds[case]}, ordinal {kinds['ordinal']}, t {kinds['t']}, cls int, part int, k long"
+    parts = cut(points.groupBy(case, "part").cogroup(inner.groupBy(case, "part")).applyInArrow(of_part, held))
+    return parts.groupBy(case).cogroup(pairs.groupBy(case)).applyInArrow(of_case, f"{case} {kinds[case]}, node {kinds['ordinal']}, cluster {kinds['ordinal']}")
+
+
 def external(df: DataFrame, call, schema: str, columns: list[str]) -> DataFrame:
     """A stage that hands batches of ``columns`` to ``call`` (a model behind HTTP, a detector, a recogniser), which gives rows of ``schema``."""
 

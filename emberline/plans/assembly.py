@@ -432,16 +432,30 @@ def _base_sql(a: str, b: str) -> str:
     return f"(0.22::DOUBLE + 0.2::DOUBLE * CAST({a}.diagram_id = {b}.diagram_id AS INTEGER) + 0.15::DOUBLE * greatest(0, 1 - 2 * abs({_LEVEL.format(a)} - {_LEVEL.format(b)})) + 0.1::DOUBLE * ({a}.near + {b}.near) / 2 + 0.08::DOUBLE * CASE WHEN {a}.kind = {b}.kind THEN 1 WHEN {_NEXT.format(a, b)} THEN 0.75 ELSE greatest(0, 1 - 2 * abs({_PLACE.format(a)} - {_PLACE.format(b)})) END)"
 
 
-def ops_alerts(spark, d):
-    """Alerts with their node's kind, its nearness to the case's likely roots and the case's longest time."""
+def _nearness(spark, d):
+    """Nearness to the case's likely roots of each node of a case."""
     s = _scores(spark, d).withColumn("a", F.round("a", 6))
     r = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("a"), "o"))
-    near = s.select("case_id", "node", F.when(r <= 5, F.round(1 - (r - 1) * 0.18, 2)).otherwise(0.0).alias("near"))
-    al = A.alerts(spark, d).join(near, ["case_id", "node"]).join(A.nodes(spark, d).select(F.col("node_id").alias("node"), "kind"), "node")
+    return s.select("case_id", "node", F.when(r <= 5, F.round(1 - (r - 1) * 0.18, 2)).otherwise(0.0).alias("near"))
+
+
+def ops_alerts(spark, d):
+    """Alerts with their node's kind, its nearness to the case's likely roots and the case's longest time."""
+    al = A.alerts(spark, d).join(_nearness(spark, d), ["case_id", "node"]).join(A.nodes(spark, d).select(F.col("node_id").alias("node"), "kind"), "node")
     top = A.alerts(spark, d).groupBy("case_id").agg(F.greatest(F.max("t"), F.lit(1)).alias("t_max"))
     return al.join(top, "case_id").select("case_id", "ordinal", "node", "t", "diagram_id", "severity", "kind", "near", "t_max")
 
 
+def whole_alerts(spark, d):
+    """As ``ops_alerts``, with the alerts of unknown nodes (of kind unknown) and those without a node or a time (at 0)."""
+    al = A.alerts(spark, d).withColumn("t", F.coalesce("t", F.lit(0)))
+    near = _nearness(spark, d).select(F.col("case_id").alias("_c"), F.col("node").alias("_n"), "near")
+    kinds = A.nodes(spark, d).groupBy(F.col("node_id").alias("_k")).agg(F.min("kind").alias("kind"))
+    top = al.groupBy(F.col("case_id").alias("_t")).agg(F.greatest(F.max("t"), F.lit(1)).alias("t_max"))
+    out = al.join(near, F.col("case_id").eqNullSafe(F.col("_c")) & (F.col("node") == F.col("_n")), "left").join(kinds, F.col("node") == F.col("_k"), "left").join(top, F.col("case_id").eqNullSafe(F.col("_t")))
+    return out.select("case_id", "ordinal", "node", "t", "diagram_id", "severity", F.coalesce("kind", F.lit("unknown")).alias("kind"), F.coalesce("near", F.lit(0.0)).alias("near"), "t_max")
+
+
 _CLUSTERED = _NEAR + f", cl AS (SELECT case_id, diagram_id, kind, severity, near, min(ordinal) AS o, list(DISTINCT t) AS ts, any_value(t_max) AS t_max, row_number() OVER () AS c FROM al GROUP BY ALL), mo AS (SELECT c, case_id, unnest(ts) AS t FROM cl), gp AS (SELECT a.c AS ca, b.c AS cb, min(abs(a.t - b.t)) AS gap FROM mo a JOIN mo b ON a.case_id = b.case_id AND a.c < b.c GROUP BY ALL), e AS (SELECT ca, cb FROM gp JOIN cl a ON a.c = ca JOIN cl b ON b.c = cb WHERE round({_base_sql('a', 'b')} + 0.25::DOUBLE * greatest(0, 1 - 3 * gap::DOUBLE / a.t_max), 4) >= 0.62), u AS (SELECT ca, cb FROM e UNION SELECT cb, ca FROM e), k AS (SELECT c AS x, c AS y FROM cl UNION SELECT k.x, u.cb FROM k JOIN u ON u.ca = k.y), rt AS (SELECT k.x AS c, min(cl.o) AS root FROM k JOIN cl ON cl.c = k.y GROUP BY ALL), mem AS (SELECT al.*, rt.root FROM al JOIN cl USING (case_id, diagram_id, kind, severity, near) JOIN rt USING (c))"
 
 

@@ -11,9 +11,8 @@ from emberline.operators import graph as G
 from emberline.operators import incidents as I
 from emberline.plans.correlation import _WINDOWS
 from emberline.plans.correlation import _MATCH
-from emberline.operators.assembly import timed_similarity
 from emberline.operators.graph import cut
-from emberline.plans.assembly import ops_alerts
+from emberline.plans.assembly import whole_alerts
 from emberline.sources import adapters as A
 from emberline.sources.adapters import with_sql
 
@@ -212,11 +211,8 @@ def wall_clock(spark, d):
 
 @query("average_linkage")
 def average_linkage(spark, d):
-    al = cut(ops_alerts(spark, d).where("severity = 'critical'"))
-    a, b = al.alias("a"), al.alias("b")
-    both = a.join(b, (F.col("a.case_id") == F.col("b.case_id")) & (F.col("a.ordinal") < F.col("b.ordinal")))
-    pairs = both.select(F.col("a.case_id").alias("case_id"), F.col("a.ordinal").alias("a"), F.col("b.ordinal").alias("b"), F.round(timed_similarity("a", "b"), 4).alias("similarity"))
-    return I.average_linkage(pairs, "case_id", 0.62)
+    """Average-linkage clusters of all alerts of each case."""
+    return I.alert_linkage(cut(whole_alerts(spark, d)), "case_id", 0.62)
 
 
 @query("dataset_summary", "SELECT source, lang, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM documents GROUP BY GROUPING SETS ((source), (lang), (source, lang), ())")
