@@ -219,12 +219,94 @@ def _kernels():
             self.far = -(-int(t_max) // 3)
             gaps = np.arange(self.far + 1)
             self.table = rounded(values[:, None] + 0.25 * np.maximum(0.0, 1 - (3 * gaps) / float(t_max)))
+            self.shapes, self.shape = np.unique(self.table - self.table[:, -1:], axis=0, return_inverse=True)
+            self.shape = self.shape.ravel()
 
         def between(self, cls_a: np.ndarray, t_a: np.ndarray, cls_b: np.ndarray, t_b: np.ndarray) -> np.ndarray:
             """Of each of the first to each of the second alerts, classes as places among the names."""
             gap = np.minimum(np.abs(t_a[:, None] - t_b), self.far)
             return self.table.ravel().take(self.kind[cls_a][:, cls_b] * (self.far + 1) + gap)
 
+        def sums(self, who: np.ndarray, cls: np.ndarray, t: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+            """Whole similarities of ``k`` clusters, by entries (who, class, time, weight) in the order of who."""
+            times, at_time = np.unique(t, return_inverse=True)
+            if len(who) ** 2 <= len(self.shapes) * len(times) * (len(who) + len(times)):
+                out, starts = np.zeros((k, k)), np.searchsorted(who, np.arange(k))
+                for p in np.array_split(np.arange(len(who)), max(1, len(who) ** 2 // 1_000_000)):
+                    some = np.add.reduceat(self.between(cls[p], t[p], cls, t) * weight, starts, axis=1) * weight[p, None]
+                    own, at = np.unique(who[p], return_index=True)
+                    out[own] += np.add.reduceat(some, at, axis=0)
+                return out
+            # What does not depend on the gap comes from counts of classes; the rest has few shapes, each a table of times.
+            counts = np.zeros((k, len(self.names)))
+            np.add.at(counts, (who, cls), weight)
+            out = counts @ self.table[:, -1][self.kind] @ counts.T
+            shape = self.shape[self.kind]
+            _, one, group = np.unique(shape, axis=0, return_index=True, return_inverse=True)
+            group, shape = group.ravel()[cls], shape[one][:, one]
+            gaps = np.minimum(np.abs(times[:, None] - times), self.far)
+            for n, curve in enumerate(self.shapes):
+                if not curve.any():
+                    continue
+                table = curve[gaps]
+                for q in np.flatnonzero((shape == n).any(1)):
+                    mine, other = np.flatnonzero(group == q), np.flatnonzero((shape[q] == n)[group])
+                    if not len(mine) or not len(other):
+                        continue
+                    rows, starts = np.unique(who[mine], return_index=True)
+                    cols, begins = np.unique(who[other], return_index=True)
+                    ends = np.append(starts[1:], len(mine))
+                    for p in np.array_split(np.arange(len(rows)), max(1, max(len(rows) * len(other), len(mine) * len(times)) // 1_000_000)):
+                        if len(p):
+                            e = mine[starts[p[0]] : ends[p[-1]]]
+                            by_time = np.add.reduceat(table[at_time[e]] * weight[e, None], starts[p] - starts[p[0]], axis=0)
+                            out[np.ix_(rows[p], cols)] += np.add.reduceat(by_time[:, at_time[other]] * weight[other], begins, axis=1)
+            return out
+
+        def components(self, who: np.ndarray, cls: np.ndarray, t: np.ndarray, weight: np.ndarray, k: int, level: float) -> np.ndarray | None:
+            """The least cluster that each reaches by means of ``level`` or more; None if too many pairs have to be looked at."""
+            span, order = int(t.max()) + 1, np.lexsort((t, cls))
+            key = cls[order] * span + t[order]
+            most, found = 4_000_000, [np.zeros(0, np.int64)]
+            present = np.unique(cls)
+            near = np.argwhere(np.triu(self.table[:, 0][self.kind[np.ix_(present, present)]] >= level))
+            for ci, cj in present[near]:
+                g = np.count_nonzero(self.table[self.kind[ci, cj]] >= level) - 1
+                g = span if g >= self.far else g
+                mine = order[np.searchsorted(key, ci * span) : np.searchsorted(key, (ci + 1) * span)]
+                lo = np.searchsorted(key, cj * span + np.maximum(t[mine] - g, 0))
+                n = np.searchsorted(key, cj * span + np.minimum(t[mine] + g, span - 1), "right") - lo
+                most -= n.sum()
+                if most < 0:
+                    return None
+                a = who[np.repeat(mine, n)]
+                b = who[order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]]
+                found.append(np.unique((np.minimum(a, b) * k + np.maximum(a, b))[a != b]))
+            pairs = np.unique(np.concatenate(found))
+            x, y = pairs // k, pairs % k
+            start, many = np.searchsorted(who, np.arange(k)), np.bincount(who, minlength=k)
+            size, work = np.bincount(who, weight, minlength=k), many[x] * many[y]
+            if work.sum() > 100_000_000:
+                return None
+            linked = np.zeros(len(pairs), bool)
+            block = np.cumsum(work) // 2_000_000
+            for p in np.split(np.arange(len(pairs)), np.flatnonzero(np.diff(block)) + 1):
+                if len(p):
+                    ends = np.cumsum(work[p])
+                    off = np.arange(ends[-1]) - np.repeat(ends - work[p], work[p])
+                    wide = np.repeat(many[y[p]], work[p])
+                    i, j = np.repeat(start[x[p]], work[p]) + off // wide, np.repeat(start[y[p]], work[p]) + off % wide
+                    v = self.table[self.kind[cls[i], cls[j]], np.minimum(np.abs(t[i] - t[j]), self.far)] * (weight[i] * weight[j])
+                    linked[p] = np.add.reduceat(v, ends - work[p]) / (size[x[p]] * size[y[p]]) >= level
+            x, y, label = x[linked], y[linked], np.arange(k)
+            while (label[x] != label[y]).any():
+                low = np.minimum(label[x], label[y])
+                np.minimum.at(label, label[x], low)
+                np.minimum.at(label, label[y], low)
+                while (label[label] != label).any():
+                    label = label[label]
+            return label
+
     return joined, rounded, Similarities
 
 
@@ -255,15 +337,16 @@ def average_linkage(pairs: DataFrame, key: str, threshold: float) -> DataFrame:
     return pairs.groupBy(key).applyInArrow(join, f"{key} {kinds[key]}, node {kinds['a']}, cluster {kinds['a']}")
 
 
-def alert_linkage(alerts: DataFrame, case: str, threshold: float) -> DataFrame:
+def alert_linkage(alerts: DataFrame, case: str, threshold: float, wide: int = 4000) -> DataFrame:
     """case, node, cluster: average-linkage clusters of all of a case's ``alerts`` (case, ordinal, t, diagram_id, kind, severity, near, t_max), by ordinals.
 
     As ``average_linkage`` over all pairs of a case's alerts, without the pairs:
     equal alerts (class and time) are one row until they are joined, and a
     diagram's alerts are joined on their own as long as the means are over any
     similarity to another diagram, since no such pair can come first. Means go
-    down, so what is left is joined by case as if nothing had been split. A task
-    holds a square of a diagram's different alerts, then of a case's clusters.
+    down, so what is left is joined by case as if nothing had been split. More
+    than ``wide`` rows of a diagram are first joined down to levels at which
+    their components (by means) have no more; a task holds a square of these.
     """
     from emberline.operators.assembly import similarity_terms
     from emberline.operators.graph import cut
@@ -286,16 +369,54 @@ def alert_linkage(alerts: DataFrame, case: str, threshold: float) -> DataFrame:
         floor = bases.column("floor")[0].as_py()
         g = g.sort_by([("ordinal", "ascending"), ("t", "ascending"), ("cls", "ascending")])
         t, cls = g.column("t").to_numpy().astype(np.int64), np.searchsorted(sim.names, g.column("cls").to_numpy())
-        _, at, row = np.unique(t * len(sim.names) + cls, return_index=True, return_inverse=True)
-        stacks = [[] for _ in at]
-        for v in range(len(row) - 1, -1, -1):
-            stacks[row[v]].append([v])
-        sums = np.empty((len(at), len(at)))
-        for p in np.array_split(np.arange(len(at)), max(1, len(at) ** 2 // 1_000_000)):
-            sums[p] = sim.between(cls[at[p]], t[at[p]], cls[at], t[at])
+        _, at, place = np.unique(t * len(sim.names) + cls, return_index=True, return_inverse=True)
         above = -np.inf if floor is None else float(rounded(np.array([floor]))[0])
-        k = np.empty(len(row), np.int64)
-        for n, c in enumerate(joined(sums, np.ones(len(at)), stacks, least, above)):
+        bottom, level, step = max(least, above), sim.table.max(), 8.0
+        clusters = [[v] for v in range(len(place))]
+        while True:
+            # Single alerts of one place are one row; what was joined is a row of its own.
+            singles, stacks = {}, []
+            for c in clusters:
+                if len(c) > 1:
+                    stacks.append([c])
+                else:
+                    singles.setdefault(place[c[0]], []).append(c)
+            stacks += [sorted(x, reverse=True) for x in singles.values()]
+            sizes = np.array([len(x[-1]) for x in stacks])
+            keys, weight = np.unique(np.repeat(np.arange(len(stacks)), sizes) * len(at) + place[np.concatenate([x[-1] for x in stacks])], return_counts=True)
+            who, what, when = keys // len(at), cls[at][keys % len(at)], t[at][keys % len(at)]
+            label, to = None, bottom
+            while len(stacks) > wide:
+                to = max(level - step, bottom)
+                label = sim.components(who, what, when, weight, len(stacks), to)
+                if label is not None and np.bincount(label).max() <= wide:
+                    break
+                label = None
+                if step == 1:
+                    break
+                step = max(1.0, step / 2)
+            if label is None:
+                clusters = joined(sim.sums(who, what, when, weight, len(stacks)), sizes, stacks, least, above)
+                break
+            # Means of clusters of two components are under the level, so each is joined on its own, some at a time.
+            several = np.array([len(x) > 1 for x in stacks]) | (np.bincount(label, minlength=len(stacks))[label] > 1)
+            clusters = [c for i in np.flatnonzero(~several) for c in stacks[i]]
+            rows = np.flatnonzero(several)
+            rows = rows[np.argsort(label[rows], kind="stable")]
+            first = np.flatnonzero(np.diff(label[rows], prepend=-1))
+            turn = np.repeat(first // 500, np.diff(np.append(first, len(rows))))
+            for some in np.split(rows, np.flatnonzero(np.diff(turn)) + 1):
+                if len(some):
+                    some = np.sort(some)
+                    new = np.full(len(stacks), -1)
+                    new[some] = np.arange(len(some))
+                    m = new[who] >= 0
+                    clusters += joined(sim.sums(new[who[m]], what[m], when[m], weight[m], len(some)), sizes[some], [stacks[i] for i in some], max(to, least), above)
+            if to == bottom:
+                break
+            level, step = to, step * 1.5
+        k = np.empty(len(place), np.int64)
+        for n, c in enumerate(clusters):
             k[c] = n
         return g.append_column("k", pa.array(k))
 
@@ -312,12 +433,7 @@ def alert_linkage(alerts: DataFrame, case: str, threshold: float) -> DataFrame:
         span = t.max() + 1
         keys, weight = np.unique((of * len(sim.names) + cls) * span + t, return_counts=True)
         who, what, when = keys // span // len(sim.names), keys // span % len(sim.names), keys % span
-        starts = np.searchsorted(who, np.arange(len(first)))
-        sums = np.zeros((len(first), len(first)))
-        for p in np.array_split(np.arange(len(keys)), max(1, len(keys) ** 2 // 1_000_000)):
-            some = np.add.reduceat(sim.between(what[p], when[p], what, when) * weight, starts, axis=1) * weight[p, None]
-            own, at = np.unique(who[p], return_index=True)
-            sums[own] += np.add.reduceat(some, at, axis=0)
+        sums = sim.sums(who, what, when, weight, len(first))
         leader = np.empty(len(first), np.int64)
         for c in joined(sums, np.bincount(of), [[[v]] for v in range(len(first))], least):
             leader[c] = first[min(c)]

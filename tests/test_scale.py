@@ -113,6 +113,7 @@ def test_linkage_of_all_alerts(spark, tmp_path):
         want |= {(case, v, i) for i, x in groups.items() for v in x}
     got = [tuple(r) for r in incidents.alert_linkage(al, "case_id", 0.62).collect()]
     assert len(got) == len(rows) and set(got) == want
+    assert {tuple(r) for r in incidents.alert_linkage(al, "case_id", 0.62, wide=3).collect()} == want
     assert len({g[::2] for g in got}) > 8
 
     sf = "/root/testdata/sf0.001"
