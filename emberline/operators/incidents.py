@@ -443,8 +443,11 @@ def alert_linkage(alerts: DataFrame, case: str, threshold: float, wide: int = 40
     f = floors.select(F.col(case).alias("_c"), F.col("part").alias("_f"), "floor")
     inner = pairs.where(F.col("part") == F.col("_p")).drop("_p").join(f, F.col(case).eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_f"))).drop("_c", "_f")
     held = f"{case} {kinds[case]}, ordinal {kinds['ordinal']}, t {kinds['t']}, cls int, part int, k long"
-    parts = cut(points.groupBy(case, "part").cogroup(inner.groupBy(case, "part")).applyInArrow(of_part, held))
-    return parts.groupBy(case).cogroup(pairs.groupBy(case)).applyInArrow(of_case, f"{case} {kinds[case]}, node {kinds['ordinal']}, cluster {kinds['ordinal']}")
+    # Groups are small and dear, so their tasks are counted, not sized by bytes.
+    tasks = 4 * alerts.sparkSession.sparkContext.defaultParallelism
+    dealt = lambda df, *k: df.repartition(tasks, *k).groupBy(*k)
+    parts = cut(dealt(points, case, "part").cogroup(dealt(inner, case, "part")).applyInArrow(of_part, held))
+    return dealt(parts, case).cogroup(dealt(pairs, case)).applyInArrow(of_case, f"{case} {kinds[case]}, node {kinds['ordinal']}, cluster {kinds['ordinal']}")
 
 
 def external(df: DataFrame, call, schema: str, columns: list[str]) -> DataFrame:
